@@ -1,0 +1,5 @@
+"""Streaming jobs: none.
+
+Every job of this domain reads a finite table to its end; there is no watermark,
+window over time or late data anywhere in it, so nothing is built here.
+"""
