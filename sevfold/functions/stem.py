@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Suffix tables of the published steps 2, 3 and 4.
 STEP2 = (
@@ -103,7 +104,7 @@ def porter(word: str) -> str:
     return word
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda words: None if words is None else [porter(w) for w in words])
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from sevfold.functions.cvss import CVSS2_SCALES, partial_score
 from sevfold.operators.ranking import mid_rank, with_index
@@ -21,7 +22,7 @@ EXACT_U_CELLS = 10_000  # n_a * n_b up to which small samples get the exact U di
 EXACT_W_PAIRS = 50
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal; runs on one row per comparison."""
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2)))
@@ -49,12 +50,12 @@ def _exact_w_tail(w: float, n: int) -> float:
     return float(ways[: math.floor(w) + 1].sum() / 2.0**n)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def exact_u(u: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     return pd.Series([_exact_u_tail(x, int(a), int(b)) for x, a, b in zip(u, n_a, n_b)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def exact_w(w: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_exact_w_tail(x, int(m)) for x, m in zip(w, n)])
 

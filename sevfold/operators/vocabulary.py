@@ -52,6 +52,13 @@ def apply_label_index(df: DataFrame, index: DataFrame, c: str, out: str = "code"
     return coded.withColumn(out, code).select(*df.columns, out)
 
 
-def index_terms(vocab: DataFrame) -> list[str]:
-    """Terms of a bounded vocabulary in alphabetical order, on the driver, for ``pyspark.ml``."""
-    return sorted(r["term"] for r in vocab.select("term").limit(MAX_FEATURES * 10).collect())
+def index_terms(vocab: DataFrame, most: int = 1_000_000) -> list[str]:
+    """Terms in alphabetical order, on the driver, for ``pyspark.ml`` models.
+
+    A vocabulary is bounded by a feature number or by a share of documents; one beyond
+    ``most`` terms stops the job rather than being cut.
+    """
+    terms = [r["term"] for r in vocab.select("term").limit(most + 1).collect()]
+    if len(terms) > most:
+        raise ValueError(f"vocabulary has more than {most} terms; use the long-form features")
+    return sorted(terms)

@@ -132,7 +132,7 @@ def desc_vectors(df: DataFrame, fit_on: DataFrame, text: str, config: int, out:
     cfg = DESC_CONFIGS[config]
     n = count_docs(fit_on)
     terms = fit_on.select(F.inline(term_counts(desc_terms(F.col(text), cfg.hi))))
-    vocab = vocabulary(terms, n, min_df=MIN_DF_SHARE, max_features=MAX_FEATURES * 10)
+    vocab = vocabulary(terms, n, min_df=MIN_DF_SHARE, max_features=None)
     model = count_model(vocab, "words", "counts" if cfg.tfidf else out)
     counted = model.transform(df.withColumn("words", desc_terms(F.col(text), cfg.hi))).drop("words")
     if not cfg.tfidf:
