@@ -64,13 +64,18 @@ def parse_lines(c: Column) -> Column:
     return F.coalesce(F.transform(words, lambda w: w.cast("int")), F.expr(EMPTY_INTS))
 
 
+# A column that a lambda refers to is evaluated again for each element, so what is used
+# inside one is bound with ``let`` first.
+
+
 def existing(lines: Column, numbers: Column) -> Column:
     """Line numbers that the function has; numbers count from 1."""
-    return F.filter(numbers, lambda i: (i >= 1) & (i <= F.size(lines)))
+    return let(F.size(lines), lambda n: F.filter(numbers, lambda i: (i >= 1) & (i <= n)))
 
 
 def pick(lines: Column, numbers: Column) -> Column:
-    return F.transform(numbers, lambda i: F.get(lines, i - 1))
+    """Lines of the given numbers, in their order; numbers without a line are passed over."""
+    return let(lines, lambda a: F.transform(existing(a, numbers), lambda i: F.get(a, i - 1)))
 
 
 def slice_all(lines: Column) -> Column:
@@ -79,43 +84,49 @@ def slice_all(lines: Column) -> Column:
 
 def slice_vuln(lines: Column, vul: Column) -> Column:
     """Only the vulnerable lines, in the order they are listed."""
-    return filter_lines(pick(lines, existing(lines, vul)))
+    return filter_lines(pick(lines, vul))
 
 
 def slice_context(lines: Column, vul: Column) -> Column:
     """Every line but the vulnerable ones."""
-    return filter_lines(F.filter(lines, lambda _, i: ~F.array_contains(vul, i + 1)))
+    return filter_lines(let(vul, lambda v: F.filter(lines, lambda _, i: ~F.array_contains(v, i + 1))))
 
 
 def scope_lines(lines: Column, vul: Column, k: int) -> Column:
     """Numbers of the vulnerable lines and of the ``k`` lines on both sides."""
-    around = F.transform(
-        existing(lines, vul),
-        lambda i: F.sequence(F.greatest(i - k, F.lit(1)), F.least(i + k, F.size(lines))),
-    )
-    return F.array_sort(F.array_distinct(F.flatten(around)))
+
+    def around(n: Column) -> Column:
+        inside = F.filter(vul, lambda i: (i >= 1) & (i <= n))
+        return F.transform(inside, lambda i: F.sequence(F.greatest(i - k, F.lit(1)), F.least(i + k, n)))
+
+    return F.array_sort(F.array_distinct(F.flatten(let(F.size(lines), around))))
 
 
 def slice_surrounding(lines: Column, vul: Column, k: int = 6) -> Column:
-    return filter_lines(pick(lines, scope_lines(lines, vul, k)))
+    return let(lines, lambda a: filter_lines(pick(a, scope_lines(a, vul, k))))
 
 
 def slice_surrounding_only(lines: Column, vul: Column, k: int = 6) -> Column:
-    return filter_lines(pick(lines, F.array_except(scope_lines(lines, vul, k), vul)))
+    return let(lines, lambda a: filter_lines(pick(a, F.array_except(scope_lines(a, vul, k), vul))))
 
 
 def random_lines(lines: Column, vul: Column, key: Column, seed: int = 42) -> Column:
     """As many other lines as there are vulnerable ones, drawn by a hash of key and line."""
-    numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines))).otherwise(F.expr(EMPTY_INTS))
-    others = F.filter(numbers, lambda i: ~F.array_contains(vul, i))
-    drawn = F.array_sort(
-        F.transform(
+
+    def drawn(n: Column, v: Column) -> Column:
+        numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr(EMPTY_INTS))
+        others = F.filter(numbers, lambda i: ~F.array_contains(v, i))
+        hashed = F.transform(
             others,
-            lambda i: F.struct(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))).alias("h"), i.alias("line")),
+            lambda i: F.struct(
+                F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))).alias("h"), i.alias("line")
+            ),
         )
-    )
-    return F.transform(F.slice(drawn, F.lit(1), F.size(existing(lines, vul))), lambda s: s["line"])
+        wanted = F.size(F.filter(v, lambda i: (i >= 1) & (i <= n)))
+        return F.transform(F.slice(F.array_sort(hashed), F.lit(1), wanted), lambda s: s["line"])
+
+    return let(F.size(lines), lambda n: let(vul, lambda v: drawn(n, v)))
 
 
 def slice_random(lines: Column, vul: Column, key: Column, seed: int = 42) -> Column:
-    return filter_lines(pick(lines, random_lines(lines, vul, key, seed)))
+    return let(lines, lambda a: filter_lines(pick(a, random_lines(a, vul, key, seed))))

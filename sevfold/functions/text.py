@@ -73,15 +73,15 @@ def description_words(c: Column) -> Column:
 def ngrams(words: Column, lo: int, hi: int) -> Column:
     """Word grams of ``lo`` to ``hi`` words, joined by a blank."""
 
-    def of_size(n: int) -> Column:
+    def of_size(w: Column, n: int) -> Column:
         if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
+            return w
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(
             F.expr("cast(array() as array<int>)")
         )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
-    return F.concat(*[of_size(n) for n in range(lo, hi + 1)])
+    return let(words, lambda w: F.concat(*[of_size(w, n) for n in range(lo, hi + 1)]))
 
 
 def char_ngrams(c: Column, lo: int, hi: int) -> Column:
@@ -91,9 +91,11 @@ def char_ngrams(c: Column, lo: int, hi: int) -> Column:
     more white-space characters count as one blank.
     """
     text = F.regexp_replace(F.lower(c), r"(?U)\s\s+", " ")
-    return F.concat(
-        *[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(lo, hi + 1)]
-    )
+
+    def of_size(t: Column, n: int) -> Column:
+        return F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+    return let(text, lambda t: F.concat(*[of_size(t, n) for n in range(lo, hi + 1)]))
 
 
 def strip(c: Column) -> Column:

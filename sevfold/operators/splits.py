@@ -42,12 +42,9 @@ def stratified_fractions(
     """
     labelled = df.filter(F.col(cls).isNotNull())
     cuts = hash_cuts(labelled, [key], {f"_r{i}": F.floor(F.col("n") * r) for i, r in enumerate(ratios)}, seed, [cls])
-    samples = F.filter(
-        F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"_r{i}").alias("cut")) for i, r in enumerate(ratios)]),
-        lambda s: hash_of([key], seed) <= s["cut"],
-    )
-    joined = labelled.join(bounded(cuts), cls).withColumn("_s", F.explode(samples))
-    return joined.select(*df.columns, F.col("_s.ratio").alias("ratio"))
+    cut_list = F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"_r{i}").alias("cut")) for i, r in enumerate(ratios)])
+    joined = labelled.join(bounded(cuts), cls).select(*df.columns, F.inline(cut_list))
+    return joined.filter(hash_of([key], seed) <= F.col("cut")).drop("cut")
 
 
 def fold_ends(n: Column, folds: int | list[float]) -> list[Column]:

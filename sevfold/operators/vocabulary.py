@@ -15,7 +15,7 @@ def term_table(df: DataFrame, doc: list[str], terms: Column) -> DataFrame:
 
 
 def vocabulary(
-    terms: DataFrame, n_docs: Column | int, min_df: int | float = 0.0, max_df: int | float = 1.0, max_features: int | None = MAX_FEATURES
+    terms: DataFrame, n_docs: Column | None = None, min_df: int | float = 0.0, max_df: int | float = 1.0, max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
     """``term, df, cf`` from a term table: document and corpus frequency.
 
@@ -24,11 +24,17 @@ def vocabulary(
     """
 
     def bound(limit: int | float) -> Column:
-        share = F.lit(limit) * (F.lit(n_docs) if isinstance(n_docs, int) else n_docs)
-        return F.lit(limit) if isinstance(limit, int) else share
-
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    kept = counts.filter((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
+        if isinstance(limit, int):
+            return F.lit(limit)
+        if n_docs is None:
+            raise ValueError("a share of documents needs their number")
+        return F.lit(limit) * n_docs
+
+    kept = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    if min_df:
+        kept = kept.filter(F.col("df") >= bound(min_df))
+    if isinstance(max_df, int) or max_df < 1.0:
+        kept = kept.filter(F.col("df") <= bound(max_df))
     return kept if max_features is None else kept.orderBy(F.desc("cf"), "term").limit(max_features)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -43,7 +43,7 @@ def in_vocabulary(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def bow_counts(df: DataFrame, fit_on: DataFrame, doc: str, code: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """Code token counts over the vocabulary of ``fit_on``; that is ``max_features`` terms at most."""
-    vocab = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), 0, max_features=max_features)
+    vocab = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), max_features=max_features)
     terms = term_table(df, [doc], code_tokens(F.col(code)))
     return terms.join(F.broadcast(vocab.select("term")), "term", "left_semi").select(doc, "term", "tf")
 
@@ -76,9 +76,14 @@ def drop_empty_docs(df: DataFrame, terms: DataFrame, doc: str) -> DataFrame:
     return df.join(terms.select(doc).distinct(), doc, "left_semi")
 
 
+def stored_values(vec: str) -> Column:
+    """Values that a vector stores: the non-zero ones of a sparse vector, which is never spread out."""
+    return F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), "v struct<values: array<double>>")["v"]["values"]
+
+
 def drop_empty_vectors(df: DataFrame, vec: str) -> DataFrame:
     """Rows whose vector has an element other than 0."""
-    return df.filter(F.exists(vector_to_array(F.col(vec)), lambda x: x != 0))
+    return df.filter(F.exists(stored_values(vec), lambda x: x != 0))
 
 
 def gram_vocabulary(fit_on: DataFrame, code: str, min_df: int = MIN_DF_GRAMS) -> DataFrame:
@@ -104,7 +109,7 @@ def subword_features(
     The chosen grams are counted as grams of 2 to 6 characters, since stripping may shorten them.
     """
     grams = gram_vocabulary(fit_on, code, min_df)
-    all_words = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), 0, max_features=max_words)
+    all_words = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), max_features=max_words)
     words = vocabulary_difference(all_words.select("term"), grams)
     gram_rows = in_vocabulary(term_table(df, [doc], char_ngrams(F.col(code), GRAM_LO - 1, GRAM_HI)), grams)
     word_rows = term_table(df, [doc], code_tokens(F.col(code))).join(F.broadcast(words), "term", "left_semi")
@@ -120,7 +125,7 @@ def count_model(vocab: DataFrame, words: str = "words", out: str = "features") -
 
 def bow_model(fit_on: DataFrame, code: str, max_features: int = MAX_FEATURES, out: str = "bow") -> CountVectorizerModel:
     terms = fit_on.select(F.inline(term_counts(code_tokens(F.col(code)))))
-    return count_model(vocabulary(terms, 0, max_features=max_features), "tokens", out)
+    return count_model(vocabulary(terms, max_features=max_features), "tokens", out)
 
 
 def bow_vectors(df: DataFrame, model: Model, code: str) -> DataFrame:
@@ -128,17 +133,21 @@ def bow_vectors(df: DataFrame, model: Model, code: str) -> DataFrame:
 
 
 def desc_vectors(df: DataFrame, fit_on: DataFrame, text: str, config: int, out: str = "features") -> DataFrame:
-    """Vectors of a description configuration, for ``pyspark.ml`` classifiers."""
+    """Vectors of a description configuration, for ``pyspark.ml`` classifiers.
+
+    The share of documents bounds the vocabulary, so ``vocabSize`` is set out of its reach.
+    Spark's idf lacks the 1 that is added to each weight here.
+    """
     cfg = DESC_CONFIGS[config]
-    n = count_docs(fit_on)
-    terms = fit_on.select(F.inline(term_counts(desc_terms(F.col(text), cfg.hi))))
-    vocab = vocabulary(terms, n, min_df=MIN_DF_SHARE, max_features=None)
-    model = count_model(vocab, "words", "counts" if cfg.tfidf else out)
-    counted = model.transform(df.withColumn("words", desc_terms(F.col(text), cfg.hi))).drop("words")
+    words = desc_terms(F.col(text), cfg.hi)
+    counter = CountVectorizer(inputCol="words", outputCol="counts" if cfg.tfidf else out, minDF=MIN_DF_SHARE, vocabSize=1 << 26)
+    train = fit_on.select(words.alias("words"))
+    model = counter.fit(train)
+    counted = model.transform(df.withColumn("words", words)).drop("words")
     if not cfg.tfidf:
         return counted
-    idf = {r["term"]: r["idf"] for r in vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).collect()}
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([idf[t] for t in model.vocabulary]), inputCol="counts", outputCol="weighed")
+    idf = IDF(inputCol="counts", outputCol="weighed").fit(model.transform(train)).idf.toArray() + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighed")
     return Normalizer(p=2.0, inputCol="weighed", outputCol=out).transform(scale.transform(counted)).drop("counts", "weighed")
 
 

@@ -29,16 +29,16 @@ def classifier(name: str, *params, n_rows: int = 1, multinomial: bool = True) ->
         return NaiveBayes(modelType="multinomial", smoothing=1.0)
     if name == "svm":
         reg = 1.0 / (float(params[0]) * n_rows)
-        return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=100, standardization=False), parallelism=2)
+        return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=100, tol=1e-3, standardization=False), parallelism=4)
     if name == "lr":
         reg = 1.0 / (float(params[0]) * n_rows)
-        lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=100, standardization=False, family="multinomial" if multinomial else "auto")
-        return lr if multinomial else OneVsRest(classifier=lr, parallelism=2)
+        lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=100, tol=1e-3, standardization=False, family="multinomial" if multinomial else "auto")
+        return lr if multinomial else OneVsRest(classifier=lr, parallelism=4)
     if name == "rf":
         return RandomForestClassifier(numTrees=int(params[0]), maxDepth=depth_of(int(params[1])), seed=SEED)
     if name == "gbt":
         tree = GBTClassifier(maxIter=int(params[0]), maxDepth=depth_of(int(params[1])), seed=SEED)
-        return OneVsRest(classifier=tree, parallelism=2)
+        return OneVsRest(classifier=tree, parallelism=4)
     raise ValueError(f"unknown classifier {name!r}")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sevfold.functions.text import strip
+
 # Where a vulnerability page holds its fields.
 CVE_RULES = {
     "cve_id": r'(?s)id="contentdiv".*?<h1[^>]*>.*?<a[^>]*>\s*(.*?)\s*</a>',
@@ -25,7 +27,7 @@ def field(html: Column, rule: str) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(html, "<[^>]*>", "")), F.lit(""))
+    return F.nullif(strip(F.regexp_replace(html, "<[^>]*>", "")), F.lit(""))
 
 
 def cve_records(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -14,7 +14,15 @@ PARTITION_SQL = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THE
 
 
 def documents(t: Tables) -> DataFrame:
-    return t.documents.withColumns({"severity": F.expr(SEVERITY_SQL), "partition": F.expr(PARTITION_SQL)})
+    return with_labels(t.documents)
+
+
+def texts(t: Tables) -> DataFrame:
+    return with_labels(t.texts)
+
+
+def with_labels(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"severity": F.expr(SEVERITY_SQL), "partition": F.expr(PARTITION_SQL)})
 
 
 DOCS = f"docs AS (SELECT *, {SEVERITY_SQL} AS severity, {PARTITION_SQL} AS partition FROM documents)"
@@ -28,7 +36,7 @@ def funcs(t: Tables) -> DataFrame:
     n = F.size(split_lines(F.col("func_before")))
     first, second = (F.col("id") % n + 1).cast("string"), ((F.col("id") * 7) % n + 1).cast("string")
     return (
-        documents(t)
+        texts(t)
         .select(F.col("doc_id").alias("id"), F.col("source").alias("cve_id"), code.alias("func_before"), "lang", "n_chars", "severity", "partition")
         .withColumn("vul_line", F.when(first == second, first).otherwise(F.concat_ws(" ", first, second)))
     )

@@ -33,9 +33,9 @@ def m1(t: Tables) -> DataFrame:
 
 @query("m2_desc_vectors")
 def m2(t: Tables) -> DataFrame:
-    docs = d.documents(t).select("doc_id", "text", "partition")
+    docs = d.texts(t).select("doc_id", "text", "partition")
     out = ft.desc_vectors(docs, docs.filter("partition = 'train'"), "text", 6)
-    kept = ft.drop_empty_vectors(out, "features").select("doc_id", vector_to_array("features").alias("v"))
+    kept = ft.drop_empty_vectors(out, "features").select("doc_id", ft.stored_values("features").alias("v"))
     return kept.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
@@ -48,12 +48,12 @@ def m4(t: Tables) -> DataFrame:
 
 @query("m5_word_vectors")
 def m5(t: Tables) -> DataFrame:
-    return ft.train_word_vectors(t.documents, "text", size=16, epochs=1).select("word", F.size(vector_to_array("vector")).alias("size"))
+    return ft.train_word_vectors(t.texts, "text", size=16, epochs=1).select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
 @query("m7_pair_features")
 def m7(t: Tables) -> DataFrame:
-    texts = t.documents.select("doc_id", F.col("text").alias("prev"), F.replace(F.col("text"), F.lit(". "), F.lit(" ##<END>##\n")).alias("cur"))
+    texts = t.texts.select("doc_id", F.col("text").alias("prev"), F.replace(F.col("text"), F.lit(". "), F.lit(" ##<END>##\n")).alias("cur"))
     words = ft.train_word_vectors(texts, "prev", size=16, min_count=1, epochs=1)
     bow = ft.bow_model(texts, "prev", max_features=TERMS)
     pairs = ft.pair_features(texts, "doc_id", "prev", "cur", words.withColumn("vector", vector_to_array("vector")), bow, size=16)
@@ -62,8 +62,8 @@ def m7(t: Tables) -> DataFrame:
 
 @query("m7_side_features")
 def m7b(t: Tables) -> DataFrame:
-    bow = ft.bow_model(t.documents, "text", max_features=TERMS)
-    side = ft.side_features(t.documents, "doc_id", "text", bow)
+    bow = ft.bow_model(t.texts, "text", max_features=TERMS)
+    side = ft.side_features(t.texts, "doc_id", "text", bow)
     return side.select("doc_id", F.size(vector_to_array("features")).alias("size"))
 
 
@@ -99,7 +99,7 @@ def m14b(t: Tables) -> DataFrame:
 @query("m17_save_load_model")
 def m17(t: Tables) -> DataFrame:
     path = scratch(t.spark, "bow-model")
-    ft.save_model(ft.bow_model(t.documents, "text", max_features=TERMS), path)
+    ft.save_model(ft.bow_model(t.texts, "text", max_features=TERMS), path)
     loaded = ft.load_model(CountVectorizerModel, path)
-    counted = loaded.transform(t.documents.withColumn("tokens", code_tokens(F.col("text"))))
+    counted = loaded.transform(t.texts.withColumn("tokens", code_tokens(F.col("text"))))
     return counted.select("doc_id", F.size(vector_to_array(loaded.getOutputCol())).alias("size"))

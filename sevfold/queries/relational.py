@@ -38,10 +38,10 @@ def p3(t: Tables) -> DataFrame:
     return d.documents(t).filter((F.col("severity") == "HIGH") & (F.col("partition") == "train")).select("doc_id", "lang")
 
 
-@query("p4_keep_keys", "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("p4_keep_keys", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def p4(t: Tables) -> DataFrame:
     keys = t.customer.filter("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey")
-    return rel.keep_keys(t.orders, keys, "o_custkey")
+    return rel.keep_keys(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), keys, "o_custkey")
 
 
 @query(

@@ -62,7 +62,7 @@ SCOPE_SQL = {
     "whole": sliced("lines"),
     "lines_without_context": picked("vul"),
     "lines_with_surrounding_context": picked(AROUND),
-    "context_only": picked(OTHERS),
+    "context_only": sliced("list_filter(lines, lambda x, i: NOT list_contains(vul, i))"),
     "surrounding_only": picked(f"list_filter({AROUND}, lambda i: NOT list_contains(vul, i))"),
     "random_context": picked(RANDOM),
 }
@@ -197,31 +197,36 @@ DESC_SQL = "list_filter(regexp_extract_all(lower(text), '\\S*[A-Za-z]\\S+'), lam
 
 @query("f19_desc_tokens", f"SELECT doc_id, array_to_string({DESC_SQL}, ' ') AS tokens FROM documents")
 def f19(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(tx.desc_tokens(F.col("text")), " ").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(tx.desc_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(
     "f20_ngrams",
     f"""WITH words AS (SELECT doc_id, {DESC_SQL} AS w FROM documents), sizes AS (SELECT unnest([1, 2, 3, 4]) AS n),
-        grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS gram
-                  FROM words, sizes)
-        SELECT gram, count(*) AS n FROM grams GROUP BY 1""",
+        flat AS (SELECT doc_id, unnest(w) AS t1, unnest(range(len(w))) AS i FROM words),
+        led AS (SELECT t1, lead(t1) OVER o AS t2, lead(t1, 2) OVER o AS t3, lead(t1, 3) OVER o AS t4 FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        grams AS (SELECT CASE n WHEN 1 THEN t1 WHEN 2 THEN t1 || ' ' || t2 WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3
+                         ELSE t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS gram FROM led, sizes)
+        SELECT gram, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY 1""",
 )
 def f20(t: Tables) -> DataFrame:
-    words = t.documents.select(tx.desc_tokens(F.col("text")).alias("w"))
+    words = t.texts.select(tx.desc_tokens(F.col("text")).alias("w"))
     return words.select(F.explode(tx.ngrams(F.col("w"), 1, 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 GRAMS_SQL = """plain AS (SELECT doc_id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS c FROM documents),
-chars AS (SELECT doc_id, regexp_extract_all(c, '(?s).') AS ch FROM plain),
+chars AS (SELECT doc_id, unnest(ch) AS c1, unnest(range(len(ch))) AS i FROM (SELECT doc_id, regexp_extract_all(c, '(?s).') AS ch FROM plain)),
+led AS (SELECT doc_id, c1, lead(c1) OVER o AS c2, lead(c1, 2) OVER o AS c3, lead(c1, 3) OVER o AS c4, lead(c1, 4) OVER o AS c5, lead(c1, 5) OVER o AS c6
+        FROM chars WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 sizes AS (SELECT unnest(range(3, 7)) AS n),
-grams AS (SELECT doc_id, n, unnest(list_transform(range(1, len(ch) - n + 2), lambda i: array_to_string(list_slice(ch, i, i + n - 1), ''))) AS gram FROM chars, sizes)"""
+grams AS (SELECT doc_id, n, CASE n WHEN 2 THEN c1 || c2 WHEN 3 THEN c1 || c2 || c3 WHEN 4 THEN c1 || c2 || c3 || c4
+            WHEN 5 THEN c1 || c2 || c3 || c4 || c5 ELSE c1 || c2 || c3 || c4 || c5 || c6 END AS gram FROM led, sizes)"""
 
 
-@query("f21_char_ngrams", f"WITH {GRAMS_SQL} SELECT gram, count(*) AS n FROM grams GROUP BY 1")
+@query("f21_char_ngrams", f"WITH {GRAMS_SQL} SELECT gram, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY 1")
 def f21(t: Tables) -> DataFrame:
     grams = F.explode(tx.char_ngrams(F.col("text"), 3, 6)).alias("gram")
-    return t.documents.select(grams).groupBy("gram").agg(F.count("*").alias("n"))
+    return t.texts.select(grams).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -230,7 +235,7 @@ def f21(t: Tables) -> DataFrame:
         WHERE regexp_matches(gram, '^\\s*\\S\\S+\\s*$') GROUP BY 1""",
 )
 def f22(t: Tables) -> DataFrame:
-    counts = t.documents.select("doc_id", F.size(tx.usable_grams(tx.char_ngrams(F.col("text"), 3, 6))).cast("long").alias("n"))
+    counts = t.texts.select("doc_id", F.size(tx.usable_grams(tx.char_ngrams(F.col("text"), 3, 6))).cast("long").alias("n"))
     return counts.filter("n > 0")
 
 

@@ -51,8 +51,11 @@ def m1(t: Tables) -> DataFrame:
 
 def _desc_sql(hi: int) -> str:
     return f"""{d.DOCS}, words AS (SELECT doc_id, partition, {DESC_SQL} AS w FROM docs), sizes AS (SELECT unnest(range(1, {hi + 1})) AS n),
-grams AS (SELECT doc_id, partition, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS term FROM words, sizes),
-terms AS (SELECT doc_id, partition, term, count(*) AS tf FROM grams GROUP BY 1, 2, 3),
+flat AS (SELECT doc_id, partition, unnest(w) AS t1, unnest(range(len(w))) AS i FROM words),
+led AS (SELECT doc_id, partition, t1, lead(t1) OVER o AS t2, lead(t1, 2) OVER o AS t3, lead(t1, 3) OVER o AS t4 FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT doc_id, partition, CASE n WHEN 1 THEN t1 WHEN 2 THEN t1 || ' ' || t2 WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3
+            ELSE t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS term FROM led, sizes),
+terms AS (SELECT doc_id, partition, term, count(*) AS tf FROM grams WHERE term IS NOT NULL GROUP BY 1, 2, 3),
 train AS (SELECT count(*) AS n FROM docs WHERE partition = 'train'),
 vocab AS (SELECT term, count(*) AS df FROM terms WHERE partition = 'train' GROUP BY 1 HAVING count(*) >= 0.001::DOUBLE * (SELECT n FROM train))"""
 
@@ -68,7 +71,7 @@ def register_desc(config: int) -> None:
 
     @query(f"m2_desc_features_config{config}", sql)
     def weighted(t: Tables) -> DataFrame:
-        docs = d.documents(t).select("doc_id", "text", "partition")
+        docs = d.texts(t).select("doc_id", "text", "partition")
         out = ft.desc_features(docs, docs.filter("partition = 'train'"), "doc_id", "text", config)
         return out.withColumn("weight", F.round("weight", 6))
 
@@ -87,8 +90,8 @@ words AS (SELECT term FROM all_words WHERE term NOT IN (SELECT term FROM slt))""
 
 @query("u4_vocabulary_difference", f"WITH {d.DOCS}, {TRAIN_GRAMS} SELECT term FROM words")
 def u4(t: Tables) -> DataFrame:
-    train = d.documents(t).filter("partition = 'train'")
-    words = vocabulary(term_table(train, ["doc_id"], code_tokens(F.col("text"))), 0).select("term")
+    train = d.texts(t).filter("partition = 'train'")
+    words = vocabulary(term_table(train, ["doc_id"], code_tokens(F.col("text")))).select("term")
     return ft.vocabulary_difference(words, ft.gram_vocabulary(train, "text"))
 
 
@@ -99,7 +102,7 @@ def u4(t: Tables) -> DataFrame:
         UNION ALL SELECT doc_id, 'char', gram, CAST(count(*) AS INT) FROM grams WHERE gram IN (SELECT term FROM slt) GROUP BY 1, 2, 3""",
 )
 def m3(t: Tables) -> DataFrame:
-    docs = d.documents(t).select("doc_id", "text", "partition")
+    docs = d.texts(t).select("doc_id", "text", "partition")
     return ft.subword_features(docs, docs.filter("partition = 'train'"), "doc_id", "text")
 
 

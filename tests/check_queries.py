@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession
 
 from sevfold.queries import ORACLES, QUERIES
-from tests.oracle import compare, connect
+from tests.oracle import compare, connect, spent
 
 
 def main(sf_dir: str, prefixes: list[str]) -> int:
@@ -24,6 +24,7 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         start = time.time()
+        spent["spark"] = 0.0
         try:
             df = build(spark, sf_dir)
             problem = compare(df, con, ORACLES[name]) if name in ORACLES else None
@@ -31,7 +32,7 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
         except Exception as e:
             problem, note = f"{type(e).__name__}: {str(e)[:700]}", ""
         failed += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name:38s} {time.time() - start:6.2f}s {problem or note}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name:38s} {time.time() - start:6.2f}s ({spent['spark']:.1f} Spark) {problem or note}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import decimal
 import math
+import time
 
 import duckdb
 
+spent: dict[str, float] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -43,6 +45,7 @@ def rows_of(rows, order) -> list[tuple]:
 
 def compare(df, con, sql: str) -> str | None:
     """What differs, or None."""
+    start = time.time()
     rel = con.sql(sql)
     names, sql_names = df.columns, rel.columns
     if sorted(names) != sorted(sql_names):
@@ -53,6 +56,7 @@ def compare(df, con, sql: str) -> str | None:
         return "types " + str({n: (types[n], sql_types[n]) for n in types if types[n] != sql_types[n]})
     ordered = sorted(names)
     mine = rows_of([tuple(r) for r in df.collect()], [names.index(n) for n in ordered])
+    spent["spark"] = time.time() - start
     theirs = rows_of(rel.fetchall(), [sql_names.index(n) for n in ordered])
     if len(mine) != len(theirs):
         return f"{len(mine)} rows vs {len(theirs)}"
