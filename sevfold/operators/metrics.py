@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+NOISE = 10  # decimals beyond which sums differ by the order of adding; cut before rounding
+
 
 def confusion(df: DataFrame, gold: str, pred: str, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or []), F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
@@ -104,7 +106,7 @@ def metrics_row(cm: DataFrame, keys: list[str] | None = None, digits: int | None
     )
     full = raw.withColumn("gmean", gmean(F.col("prec"), F.col("rec")))
     names = ("acc", "prec", "rec", "gmean", "f1", "mcc")
-    shown = [F.col(m) if digits is None else F.round(m, digits).alias(m) for m in names]
+    shown = [F.col(m) if digits is None else F.round(F.round(m, NOISE), digits).alias(m) for m in names]
     return full.select(*keys, *shown)
 
 

@@ -6,11 +6,12 @@ give every bucket its offset, and only the rows inside a bucket are numbered by
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sevfold.functions.code import let
 from sevfold.sources.paths import ensure_checkpoint_dir
 
 HASH_DIGITS = 3  # leading hex digits of the hash: 4096 buckets
@@ -110,17 +111,22 @@ def bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def value_buckets(df: DataFrame, value: str, out: str, buckets: int) -> DataFrame:
     """Put numbers into ranges of about equal weight; equal numbers share a range.
 
-    The driver holds ``buckets`` bounds at most, whatever the size of the data.
+    The bounds come from a mergeable sketch inside the same plan. They only balance the work:
+    any bounds give the same ranks. A row looks at every ``step``-th bound, then at the
+    ``step`` bounds that follow the last one it reaches.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.col(value).cast("double").alias(value)).approxQuantile(value, probabilities, 0.2 / buckets)
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket")
-    return (
-        ranged.transform(df.withColumn("_v", F.col(value).cast("double")))
-        .withColumn(out, F.col("_bucket").cast("int"))
-        .drop("_v", "_bucket")
-    )
+    step = max(1, math.isqrt(buckets))
+    probabilities = [i / buckets for i in range(1, buckets)] or [0.5]
+    v = F.col(value).cast("double")
+    bounds = df.agg(F.percentile_approx(v, probabilities, 20 * buckets).alias("b")).scalar()
+
+    def place(b: Column) -> Column:
+        reached = F.size(F.filter(b, lambda x, i: (i % step == 0) & (x <= v)))
+        first = F.greatest((reached - 1) * step, F.lit(0))
+        return first + F.size(F.filter(F.slice(b, first + 1, F.lit(step)), lambda x: x <= v))
+
+    bounded_rows = df.withColumn("_bounds", bounds)
+    return bounded_rows.withColumn(out, F.coalesce(let(F.col("_bounds"), place), F.lit(0))).drop("_bounds")
 
 
 def mid_rank(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None, buckets: int = 64) -> DataFrame:

@@ -22,17 +22,17 @@ def depth_of(leaves: int) -> int:
     return min(30, math.ceil(math.log2(leaves)) + 2)
 
 
-def classifier(name: str, *params, n_rows: int = 1, multinomial: bool = True) -> Estimator:
+def classifier(name: str, *params, n_rows: int = 1, multinomial: bool = True, max_iter: int = 100) -> Estimator:
     """Untrained classifier. ``params`` is C for ``svm`` and ``lr``; trees and leaves for ``rf``
     and ``gbt``. The penalty weight is 1 / (C * n_rows)."""
     if name == "nb":
         return NaiveBayes(modelType="multinomial", smoothing=1.0)
     if name == "svm":
         reg = 1.0 / (float(params[0]) * n_rows)
-        return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=100, tol=1e-3, standardization=False), parallelism=4)
+        return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=1e-3, standardization=False), parallelism=4)
     if name == "lr":
         reg = 1.0 / (float(params[0]) * n_rows)
-        lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=100, tol=1e-3, standardization=False, family="multinomial" if multinomial else "auto")
+        lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=1e-3, standardization=False, family="multinomial" if multinomial else "auto")
         return lr if multinomial else OneVsRest(classifier=lr, parallelism=4)
     if name == "rf":
         return RandomForestClassifier(numTrees=int(params[0]), maxDepth=depth_of(int(params[1])), seed=SEED)

@@ -134,8 +134,8 @@ rule AS (
 
 @query(
     "a14_metrics_row",
-    f"""{METRICS_ROW} SELECT source, round(acc, 3) AS acc, round(prec, 3) AS prec, round(rec, 3) AS rec,
-        round(sqrt(prec * rec), 3) AS gmean, round(f1, 3) AS f1, round(mcc, 3) AS mcc FROM rule""",
+    f"""{METRICS_ROW} SELECT source, round(round(acc, 10), 3) AS acc, round(round(prec, 10), 3) AS prec, round(round(rec, 10), 3) AS rec,
+        round(round(sqrt(prec * rec), 10), 3) AS gmean, round(round(f1, 10), 3) AS f1, round(round(mcc, 10), 3) AS mcc FROM rule""",
 )
 def a14(t: Tables) -> DataFrame:
     return m.metrics_row(matrix(t), ["source"])

@@ -73,7 +73,7 @@ def register_classifier(name: str, classifier: str, *params) -> None:
         held = vectors(t)
         train = held.filter("partition = 'train'")
         n_rows = train.count() if classifier in ("svm", "lr") else 1
-        pred = md.predictions(md.classifier(classifier, *params, n_rows=n_rows), train, held.filter("partition <> 'train'"), "id")
+        pred = md.predictions(md.classifier(classifier, *params, n_rows=n_rows, max_iter=20), train, held.filter("partition <> 'train'"), "id")
         return metrics_row(confusion(pred, "gold", "pred"))
 
 

@@ -105,13 +105,13 @@ TIMES = {
     "total_time_at_best_model": "sum(CASE WHEN epoch <= best THEN train_s END) + sum(CASE WHEN epoch <= best THEN val_s END)",
     "total_time_at_finish": "sum(train_s) + sum(val_s)", "final_evaluation_time": "max(final_s)",
 }
-TIMES_SQL = ", ".join(f"round({e}, 3) AS {c}" for c, e in TIMES.items())
+TIMES_SQL = ", ".join(f"round({e}, 7) AS {c}" for c, e in TIMES.items())
 
 
 def timed(t: Tables) -> DataFrame:
     best = d.epochs(t).withColumn("is_best", F.col("f1") > 0.9).withColumn("final_s", F.col("val_s") + F.col("run"))
     times = ep.run_times(best, RUN)
-    return times.withColumns({c: F.round(c, 3) for c in TIMES})
+    return times.withColumns({c: F.round(c, 7) for c in TIMES})
 
 
 RUN_TIMES = f"""WITH {d.EPOCHS}, marked AS (SELECT *, val_s + run AS final_s, max(CASE WHEN f1 > 0.9 THEN epoch END) OVER (PARTITION BY run) AS best FROM epochs)
