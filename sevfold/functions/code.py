@@ -99,7 +99,7 @@ def scope_lines(lines: Column, vul: Column, k: int) -> Column:
         inside = F.filter(vul, lambda i: (i >= 1) & (i <= n))
         return F.transform(inside, lambda i: F.sequence(F.greatest(i - k, F.lit(1)), F.least(i + k, n)))
 
-    return F.array_sort(F.array_distinct(F.flatten(let(F.size(lines), around))))
+    return F.sort_array(F.array_distinct(F.flatten(let(F.size(lines), around))))
 
 
 def slice_surrounding(lines: Column, vul: Column, k: int = 6) -> Column:
@@ -123,7 +123,7 @@ def random_lines(lines: Column, vul: Column, key: Column, seed: int = 42) -> Col
             ),
         )
         wanted = F.size(F.filter(v, lambda i: (i >= 1) & (i <= n)))
-        return F.transform(F.slice(F.array_sort(hashed), F.lit(1), wanted), lambda s: s["line"])
+        return F.transform(F.slice(F.sort_array(hashed), F.lit(1), wanted), lambda s: s["line"])
 
     return let(F.size(lines), lambda n: let(vul, lambda v: drawn(n, v)))
 

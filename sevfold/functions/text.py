@@ -133,7 +133,7 @@ def term_counts(terms: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(terms), with_sorted)
+    return let(F.sort_array(terms), with_sorted)
 
 
 def parse_vector(c: Column) -> Column:

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 SLACK = 1e-9
+BLOCK_CELLS = 4_000_000  # numbers in one block of differences
 
 
 def _distances(rows: np.ndarray, point: np.ndarray, p: int) -> np.ndarray:
     gap = rows - point
-    return np.abs(gap).sum(axis=1) if p == 1 else np.sqrt((gap * gap).sum(axis=1))
+    return np.abs(gap).sum(axis=-1) if p == 1 else np.sqrt((gap * gap).sum(axis=-1))
 
 
 def _stacked(vectors: pd.Series) -> np.ndarray:
@@ -116,23 +117,31 @@ def knn(
     schema = f"query {types['neighbour']}, neighbour {types['neighbour']}, distance double, carry {types['carry']}"
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        matrix = _stacked(held["vec"])
-        names = held["neighbour"].to_numpy()
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query": [], "neighbour": [], "distance": [], "carry": []})
+        held = held.sort_values("neighbour")
+        matrix, points = _stacked(held["vec"]), _stacked(asked["vec"])
+        names, queries_here = held["neighbour"].to_numpy(), asked["query"].to_numpy()
+        block = max(1, BLOCK_CELLS // matrix.size)
         found = []
-        for query, point in zip(asked["query"], asked["vec"]):
-            if not len(held):
-                break
-            gaps = _distances(matrix, np.asarray(point), p)
+        for start in range(0, len(points), block):
+            part = slice(start, start + block)
+            gaps = _distances(matrix[None, :, :], points[part, None, :], p)
             if exclude_self:
-                gaps = np.where(names == query, np.inf, gaps)
-            order = np.lexsort((names, gaps))[:k]
-            order = order[np.isfinite(gaps[order])]
-            found.append(
-                pd.DataFrame(
-                    {"query": query, "neighbour": names[order], "distance": gaps[order], "carry": held["carry"].to_numpy()[order]}
-                )
-            )
-        return pd.concat(found) if found else pd.DataFrame(columns=["query", "neighbour", "distance", "carry"])
+                gaps[names[None, :] == queries_here[part, None]] = np.inf
+            order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(gaps, order, axis=1)
+            at, rank = np.nonzero(np.isfinite(best))
+            found.append((queries_here[part][at], order[at, rank], best[at, rank]))
+        where = np.concatenate([f[1] for f in found])
+        return pd.DataFrame(
+            {
+                "query": np.concatenate([f[0] for f in found]),
+                "neighbour": names[where],
+                "distance": np.concatenate([f[2] for f in found]),
+                "carry": held["carry"].to_numpy()[where],
+            }
+        )
 
     by = ["cell", "rc", "qc"]
     partial = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, schema)

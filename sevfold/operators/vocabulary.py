@@ -46,7 +46,7 @@ def count_docs(df: DataFrame) -> Column:
 def label_index(df: DataFrame, c: str) -> DataFrame:
     """Labels with their alphabetical codes from 0. A task has few labels, so one array holds them."""
     labels = df.filter(F.col(c).isNotNull()).select(c).distinct()
-    ordered = labels.agg(F.array_sort(F.collect_list(c)).alias("_l"))
+    ordered = labels.agg(F.sort_array(F.collect_list(c)).alias("_l"))
     return ordered.select(F.posexplode("_l").alias("code", c)).select(c, "code")
 
 

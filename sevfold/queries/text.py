@@ -103,7 +103,7 @@ def f7(t: Tables) -> DataFrame:
 )
 def o2(t: Tables) -> DataFrame:
     both = F.concat(F.col("vul"), F.array(F.lit(1), F.size("lines")))
-    return with_lines(d.funcs(t)).select("id", F.array_join(F.array_sort(F.array_distinct(both)).cast("array<string>"), " ").alias("numbers"))
+    return with_lines(d.funcs(t)).select("id", F.array_join(F.sort_array(F.array_distinct(both)).cast("array<string>"), " ").alias("numbers"))
 
 
 HEAD = "array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')"
