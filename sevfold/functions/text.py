@@ -35,9 +35,10 @@ mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn w
 weren't won won't wouldn wouldn't
 """.split()
 
-# Words keep inner marks (``buffer-overflow``, ``1.2``); clitics and marks stand alone.
+# Words keep inner marks (``buffer-overflow``, ``1.2``); clitics and marks stand alone. The
+# possessive repetition keeps the match of a very long word iterative.
 CLITIC = r"(n't|'(?:s|re|ve|ll|d|m))\b"
-WORD_TOKEN = r"n't|'(?:s|re|ve|ll|d|m)\b|\.\.\.|--|[^\s\p{P}\p{S}]+(?:[-.'/_][^\s\p{P}\p{S}]+)*|[\p{P}\p{S}]"
+WORD_TOKEN = r"n't|'(?:s|re|ve|ll|d|m)\b|\.\.\.|--|[^\s\p{P}\p{S}]+(?:[-.'/_][^\s\p{P}\p{S}]+)*+|[\p{P}\p{S}]"
 
 
 def head_words(c: Column, n: int) -> Column:

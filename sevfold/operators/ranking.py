@@ -71,7 +71,8 @@ def hash_cuts(
     ``cuts`` maps a name to a rank from 1, written over ``n``, the size of the group. The
     result has one row per group and one column of hashes per cut; rank 0 gives null. Rows
     belong to a cut when their own hash is not above it, so a split needs no join with its
-    rows, and only buckets that hold a cut are sorted.
+    rows. The buckets that hold a cut are few; they are found first, and only rows in them are
+    shuffled and sorted.
     """
     within = within or []
     hashed = df.select(*within, hash_of(key, seed).alias("_h"))
@@ -90,7 +91,7 @@ def hash_cuts(
         [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in within],
         F.col("_b") == F.col("_wb"),
     )
-    rows = hashed.withColumn("_b", _bucket(F.col("_h"), digits)).join(wanted, same)
+    rows = hashed.withColumn("_b", _bucket(F.col("_h"), digits)).join(bounded(wanted), same)
     in_bucket = Window.partitionBy(*within, "_b", "cut").orderBy("_h")
     at_cut = rows.withColumn("_rn", F.row_number().over(in_bucket)).filter(F.col("_rn") == F.col("_pos"))
     return at_cut.groupBy(*within).agg(

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sevfold.operators.ranking import bounded, hash_cuts, hash_of
 
 
+def as_scalar(row: DataFrame) -> Column:
+    """A one-row table as one struct, so that all its fields come from a single subquery."""
+    return row.select(F.struct(*row.columns).alias("row")).scalar()
+
+
 def group_split(df: DataFrame, key: str, seed: int = 42, approx: bool = False) -> DataFrame:
     """80/10/10 split in which no ``key`` is in two parts.
 
@@ -23,8 +28,9 @@ def group_split(df: DataFrame, key: str, seed: int = 42, approx: bool = False) -
     keys = df.select(key).distinct()
     cuts = hash_cuts(keys, [key], {"train": n - held, "valid": n - held + F.ceil(held / 2)}, seed)
     h = hash_of([key], seed)
-    in_train = h <= F.coalesce(cuts.select("train").scalar(), F.lit(""))
-    in_valid = h <= F.coalesce(cuts.select("valid").scalar(), F.lit(""))
+    cut = as_scalar(cuts)
+    in_train = h <= F.coalesce(cut["train"], F.lit(""))
+    in_valid = h <= F.coalesce(cut["valid"], F.lit(""))
     return df.withColumn("split", F.when(in_train, "train").when(in_valid, "valid").otherwise("test"))
 
 
@@ -65,7 +71,8 @@ def assign_folds(df: DataFrame, key: str, folds: int | list[float], seed: int =
     ends = fold_ends(n, folds)
     cuts = hash_cuts(df, [key], {f"_e{i}": F.least(end + 1, n) for i, end in enumerate(ends)}, seed)
     h = hash_of([key], seed)
-    above = [F.when(h > cuts.select(f"_e{i}").scalar(), 1).otherwise(0) for i in range(len(ends))]
+    cut = as_scalar(cuts)
+    above = [F.when(h > cut[f"_e{i}"], 1).otherwise(0) for i in range(len(ends))]
     fold = sum(above[1:], above[0]) if above else F.lit(0)
     return df.withColumn("fold", fold.cast("int"))
 

@@ -11,7 +11,7 @@ CVE_RULES = {
     "cve_id": r'(?s)id="contentdiv".*?<h1[^>]*>.*?<a[^>]*>\s*(.*?)\s*</a>',
     "cvss_vector": r">\s*(CVSS:3[^<]*?)\s*<",
 }
-SCORE_ROW = r"(?s)<tr\b(?:(?!</tr>).)*?<td[^>]*ps-2(?:(?!</tr>).)*</tr>"
+SCORE_ROW = r"<td[^>]*\bps-2\b"
 SCORE_CELL = r'(?s)<td[^>]*\bps-2\b[^>]*>(.*?)</td>'
 HREF = r"""<a\b[^>]*?\bhref=["']([^"']*)["']"""
 SITE = "https://www.cvedetails.com"
@@ -33,7 +33,8 @@ def plain_text(html: Column) -> Column:
 def cve_records(pages: DataFrame, html: str = "html") -> DataFrame:
     """Id, vector, score and severity of vulnerability pages. The last score row counts."""
     with_rules = extract_fields(pages, html, CVE_RULES)
-    last_row = F.try_element_at(F.regexp_extract_all(F.col(html), F.lit(SCORE_ROW), F.lit(0)), F.lit(-1))
+    table_rows = F.transform(F.split(F.col(html), r"<tr\b"), lambda r: F.substring_index(r, "</tr>", 1))
+    last_row = F.try_element_at(F.filter(table_rows, lambda r: r.rlike(SCORE_ROW)), F.lit(-1))
     cells = F.regexp_extract_all(F.col("_row"), F.lit(SCORE_CELL), F.lit(1))
     return (
         with_rules.withColumn("_row", last_row)

@@ -170,7 +170,7 @@ STOP_SQL = "[" + ", ".join(sql_text(w) for w in [*tx.STOP_WORDS, tx.EXTRA_STOP_W
 @query(
     "f16_normalize_text",
     f"""WITH spaced AS (SELECT conv_id, turn, regexp_replace(lower(text), {sql_text(tx.CLITIC)}, ' \\1', 'g') AS c FROM conversations),
-        words AS (SELECT conv_id, turn, regexp_extract_all(c, {sql_text(tx.WORD_TOKEN)}) AS w FROM spaced)
+        words AS (SELECT conv_id, turn, regexp_extract_all(c, {sql_text(tx.WORD_TOKEN.replace(')*+', ')*'))}) AS w FROM spaced)
         SELECT conv_id, turn, array_to_string(list_filter(w, lambda x: NOT contains({sql_text(string.punctuation)}, x)
                AND NOT list_contains({STOP_SQL}, x)), ' ') AS words FROM words""",
 )

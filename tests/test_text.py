@@ -36,6 +36,10 @@ def test_description_words(spark):
     assert words == ["parser", "n't", "check", "size", "--", "'s", "buffer-overflow", "v1.2"]
 
 
+def test_description_words_of_long_junk(spark):
+    assert one(spark, "a-" * 50_000 + "b c", lambda c: F.size(tx.description_words(c))) == 2
+
+
 def test_grams(spark):
     assert one(spark, "a b c", lambda c: tx.ngrams(F.split(c, " "), 1, 4)) == ["a", "b", "c", "a b", "b c", "a b c"]
     assert one(spark, "", lambda c: tx.ngrams(F.array(), 1, 2)) == []
