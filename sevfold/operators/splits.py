@@ -8,8 +8,8 @@ from sevfold.operators.ranking import bounded, hash_cuts, hash_of
 
 
 def as_scalar(row: DataFrame) -> Column:
-    """A one-row table as one struct, so that all its fields come from a single subquery."""
-    return row.select(F.struct(*row.columns).alias("row")).scalar()
+    """A one-row table as one struct. It is computed here, once for all its uses."""
+    return bounded(row).select(F.struct(*row.columns).alias("row")).scalar()
 
 
 def group_split(df: DataFrame, key: str, seed: int = 42, approx: bool = False) -> DataFrame:
