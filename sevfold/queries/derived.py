@@ -109,7 +109,7 @@ RESULTS = """results AS (
 def epochs(t: Tables) -> DataFrame:
     """Runs of epochs: a user is a run, and every twelve hours with events make one epoch."""
     return (
-        t.events.groupBy(F.col("user_id").alias("run"), F.expr("cast((unix_timestamp(ts) - 1704067200) div 43200 as int) + 1").alias("epoch"))
+        t.events.groupBy(F.col("user_id").alias("run"), F.expr("cast(timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 43200 as int) + 1").alias("epoch"))
         .agg(
             (F.max("value") / 500).alias("f1"),
             F.sum("value").alias("train_s"),

@@ -93,7 +93,7 @@ def w6(t: Tables) -> DataFrame:
 )
 def a21(t: Tables) -> DataFrame:
     steps = t.events.select(
-        F.col("user_id").alias("run"), F.expr("cast((unix_timestamp(ts) - 1704067200) div 43200 as int) + 1").alias("epoch"), F.col("value").alias("loss")
+        F.col("user_id").alias("run"), F.expr("cast(timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 43200 as int) + 1").alias("epoch"), F.col("value").alias("loss")
     )
     return ep.epoch_loss(steps, ["run", "epoch"]).withColumn("mean_loss", F.round("mean_loss", 6))
 
