@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import ngram_join
+from sevfold.llm import langid, ngram_join
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ reach AS (
 SELECT s.doc_id, len(any_value(s.sh))::BIGINT n_shingles, min(r) component_id
 FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
 """
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))

@@ -68,8 +68,8 @@ class Piece:
     offsets: np.ndarray
 
 
-def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[Piece]:
-    """Cut a string column in runs of rows of about ``limit`` bytes. A null is an empty text."""
+def pieces(column: pa.Array, limit: int = PIECE, rows: int = 1 << 30) -> Iterator[Piece]:
+    """Cut a string column in runs of at most ``rows`` rows and about ``limit`` bytes. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -82,7 +82,7 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[Piece]:
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield Piece(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
