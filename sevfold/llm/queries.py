@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, ngram_join, packing, secrets, warc
+from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,14 @@ FROM g
 """
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_license_scan"] = licenses.oracle()
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository, its source for the owner."""
