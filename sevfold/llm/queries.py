@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, warc
+from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, toxicity, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
 """
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
