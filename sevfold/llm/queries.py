@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, toxicity, warc
+from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, suffixes, toxicity, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(read(spark, sf_dir, "pages"))
