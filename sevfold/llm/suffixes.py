@@ -9,8 +9,10 @@ positions. Words that match over at least ``min_words`` in a row are a repeated
 
 A suffix carries ``min_words`` word hashes on each side. That is enough: any ``min_words`` words
 of a longer passage hold a minimiser of their own, and their matches overlap. Each suffix is
-compared with the ``NEAR`` rows before and after it, and with the nearest of another document;
-among suffixes with equal words to the right, those with equal words to the left are neighbours.
+compared with the ``NEAR`` rows before and after it, and with the nearest of another document,
+in two orders: by the words to the right, and by its k-gram and then the words to the left. So it
+meets the documents that agree with it longest on either side. A match whose partner is among
+the longest on neither side is the one kind that can be missed; the README has the measured share.
 
 Scale. The sort is by ranges of suffix, left side and id, so a passage in a third of all
 documents spreads over many tasks. Rows at the ends of ranges are compared afterwards; there are
@@ -235,12 +237,19 @@ def passage_matches(docs: DataFrame, min_words: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     bitmap = spark.sparkContext.broadcast(repeated_grams(texts, min_words))
     suffixes = texts.mapInArrow(_suffixes(bitmap, min_words), SUFFIX)
-    order = ["right", "left", "doc_id", "pos"]
+    gram = F.substring("right", 1, 4 * GRAM)
+    found = [_sorted_matches(suffixes, [F.col("right"), F.col("left")], min_words), _sorted_matches(suffixes, [gram, F.col("left"), F.col("right")], min_words)]
+    return found[0].union(found[1])
+
+
+def _sorted_matches(suffixes: DataFrame, sides: list, min_words: int) -> DataFrame:
+    """Matches of neighbours in one order of the suffixes, those across ranges included."""
+    order = [*sides, F.col("doc_id"), F.col("pos")]
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     out = set_down(ranged.mapInArrow(_compare(min_words), f"{MATCH}, {EDGES}"), "matches")
     edges = out.filter("part is not null").collect()  # 2 * EDGE + 1 rows per range at most
     across = [(int(d), int(s), int(e), int(o)) for m in _across(edges, min_words) for d, s, e, o in m]
-    return out.filter("part is null").select("doc_id", "start", "end", "other").union(spark.createDataFrame(across, MATCH))
+    return out.filter("part is null").select("doc_id", "start", "end", "other").union(suffixes.sparkSession.createDataFrame(across, MATCH))
 
 
 def _merged(spans):
