@@ -33,6 +33,8 @@ DIMS = 4096
 CENTROIDS = 4
 #: Share of a language's learning texts that may lie below its floor, and how far the floor is below that.
 FLOOR_SHARE, FLOOR_SLACK = 0.002, 0.5
+#: Columns of a prediction: language, cosine, whether it is not rejected.
+OUT = ("__lang_pred", "__lang_score", "__lang_kept")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -150,18 +152,18 @@ def _predictor(shared):
                 extra = [batch.column(c)[piece.lo : piece.hi] for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(
                     [*extra, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())],
-                    names=[*batch.schema.names, "lang_pred", "lang_score", "lang_kept"],
+                    names=[*batch.schema.names, *OUT],
                 )
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` (with ``text``) of ``docs``, then ``lang_pred, lang_score, lang_kept``."""
+    """Columns ``keep`` (with ``text``) of ``docs``, then those of ``OUT``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x CENTROIDS x DIMS floats
     read = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
-    return read.mapInArrow(_predictor(shared), f"{schema}, lang_pred string, lang_score double, lang_kept boolean")
+    return read.mapInArrow(_predictor(shared), f"{schema}, {OUT[0]} string, {OUT[1]} double, {OUT[2]} boolean")
 
 
 def fold_of(doc_id: Column, n: int) -> Column:
@@ -173,10 +175,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """Predicted language of each row, learnt from the rows outside of fold 2 of 4."""
     held_out = fold_of(F.col("doc_id"), 4) == 2
     model = fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
-    return predict(docs, model, ["doc_id", "text"]).select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), (~F.col("lang_kept")).alias("rejected"))
+    return predict(docs, model, ["doc_id", "text"]).select("doc_id", held_out.alias("held_out"), F.col(OUT[0]).alias("lang_pred"), F.col(OUT[1]).alias("score"), (~F.col(OUT[2])).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is not rejected, with the columns they had."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return predict(docs, model, docs.columns).filter("lang_kept").select(docs.columns)
+    return predict(docs, model, docs.columns).filter(F.col(OUT[2])).select(docs.columns)

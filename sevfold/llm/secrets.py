@@ -36,6 +36,7 @@ HINTS = ("passw", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|your|dummy|xxx|000000|123456|abcdef", re.I)
 BARE_LENGTH = 16
 MASK = "[secret]"
+HIDE = "__hide"
 
 _HEX = K._table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
 _TOKEN = K._table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b in b"+/_=-")
@@ -159,7 +160,7 @@ def find_secrets(docs: DataFrame, repo: str, owner: str, max_owners: int = 1, mi
 def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, lengths = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-        for i, spans in enumerate(batch.column("hide").to_pylist()):
+        for i, spans in enumerate(batch.column(HIDE).to_pylist()):
             if not spans or texts[i] is None:
                 continue
             old, out, done = texts[i], [], 0
@@ -170,7 +171,7 @@ def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if done:
                 texts[i] = "".join(out) + old[done:]
                 lengths[i] = len(texts[i])
-        names = [c for c in batch.schema.names if c != "hide"]
+        names = [c for c in batch.schema.names if c != HIDE]
         new = {"text": pa.array(texts, batch.schema.field("text").type), "n_chars": pa.array(lengths, pa.int64())}
         yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
@@ -181,7 +182,7 @@ def mask_live(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     A row with a null id is left as it is.
     """
     spans = classified(scan(docs, repo, owner), 1, 3).withColumn("hide", F.filter("spans", lambda s: s["live"])).filter("size(hide) > 0 and doc_id is not null")
-    hide = set_down(spans.groupBy("doc_id").agg(F.max("hide").alias("hide")), "hide")
-    read = docs.withColumn("n_chars", F.col("n_chars").cast("long")).join(sized(hide, 200), "doc_id", "left").select(*docs.columns, "hide")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "hide")
+    hide = set_down(spans.groupBy("doc_id").agg(F.max("hide").alias(HIDE)), "hide")
+    read = docs.withColumn("n_chars", F.col("n_chars").cast("long")).join(sized(hide, 200), "doc_id", "left").select(*docs.columns, HIDE)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != HIDE)
     return read.mapInArrow(_masker, schema)
