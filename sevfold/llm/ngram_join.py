@@ -13,8 +13,14 @@ Frequencies below a floor count as rare. The floor is at least the counted rows
 ``MAX_FREQUENT``, so the table of frequent shingles that is broadcast has at most
 ``MAX_FREQUENT`` rows at any input size. Any order gives the same result.
 
+Groups of near copies. Frequent shingles are in a prefix only where a document has little else.
+Such documents are ordered once more, by the frequencies of all their shingles among themselves:
+what sets a copy apart then comes first, and copies that differ in more than the threshold allows
+share no prefix shingle, or fail the positional filter. A pair that reaches the threshold either
+shares a rare shingle in the first order, or both are such documents and meet in the second.
+
 No group emits all its pairs. First every member of a group is compared with the first member,
-and every group of a shingle with the first group. Pairs of the second step are only those that
+and every group of a shingle with the one that has it in front, which has the least of its own. Pairs of the second step are only those that
 share a prefix shingle or a group and are not in one component already; they cannot be skipped,
 as a link may lead through any member.
 
@@ -36,9 +42,9 @@ from sevfold.llm import textkernel as K
 from sevfold.llm.tables import components, set_down, sized
 
 MAX_FREQUENT = 1 << 21
-RARE = 32
+RARE = 8
 #: Part of the hash range that is counted, as a multiple of the prefix share.
-SPAN = 1.6
+SPAN = 1.5
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -65,17 +71,18 @@ def _summaries(size: int, percent: int):
         for batch in batches:
             ids = batch.column("doc_id")
             for piece in K.pieces(batch.column("text")):
-                n, one, two, low = [], [], [], []
+                n, n_low, one, two, low = [], [], [], [], []
                 for s in K.shingle_sets(K.words(piece, K.NOT_SPACE), size):
                     n.append(len(s))
                     a, b = _signature(s) if len(s) else (0, 0)
                     one.append(a)
                     two.append(b)
-                    keep = max(int(np.searchsorted(s, bound)), prefix_length(len(s), percent) if len(s) else 0)
+                    n_low.append(int(np.searchsorted(s, bound)))
+                    keep = max(n_low[-1], prefix_length(len(s), percent) if len(s) else 0)
                     low.append(s[:keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids[piece.lo : piece.hi].cast(pa.int64()), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), K.long_lists(low)],
-                    names=["doc_id", "n", "s1", "s2", "low"],
+                    [ids[piece.lo : piece.hi].cast(pa.int64()), pa.array(n, pa.int32()), pa.array(n_low, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), K.long_lists(low)],
+                    names=["doc_id", "n", "n_low", "s1", "s2", "low"],
                 )
 
     return run
@@ -84,23 +91,23 @@ def _summaries(size: int, percent: int):
 def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Set size, two signatures of the set, and its shingles that may be in a prefix."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _summaries(size, percent), "doc_id long, n int, s1 long, s2 long, low array<long>"
+        _summaries(size, percent), "doc_id long, n int, n_low int, s1 long, s2 long, low array<long>"
     )
 
 
-def frequent_shingles(low: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(low: DataFrame, rare: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes with a frequency at or above the floor, sorted as unsigned, and their levels."""
     rows = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    floor = max(RARE, -(-rows // MAX_FREQUENT))
+    floor = max(rare, -(-rows // MAX_FREQUENT))
     counts = low.select(F.explode("low").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= floor)
-    found = counts.select("h", F.log2("c").cast("int").alias("level")).toPandas()
+    found = counts.select("h", F.least(F.lit(120), F.log2("c") * 4).cast("int").alias("level")).toPandas()
     h = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], found["level"].to_numpy(dtype=np.int8)[order]
 
 
-def _prefixes(percent: int, frequent):
-    bound = _bound(percent)
+def _prefixes(percent: int, frequent, bound: np.uint64):
+    """Prefixes in the order of level and hash; hashes not below ``bound`` come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, levels = frequent.value
@@ -112,48 +119,113 @@ def _prefixes(percent: int, frequent):
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 rank = np.where((known[at] == flat) & (flat < bound), levels[at], 0).astype(np.int8)
+            often = rank > 0
             rank[flat >= bound] = 127
-            rows, keys = [], []
+            rows, keys, marks = [], [], []
             for n, a, b in zip(batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
-                part = flat[a:b][np.argsort(rank[a:b], kind="stable")[: prefix_length(n, percent) if n else 0]]
+                taken = np.argsort(rank[a:b], kind="stable")[: prefix_length(n, percent) if n else 0]
+                part = flat[a:b][taken]
                 rows.append(part)
+                marks.append(np.flatnonzero(often[a:b][taken]))
                 keys.append(int(K.window_hashes(part, len(part))[0].astype(np.int64)) if n else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "n", "s1", "s2")] + [pa.array(keys, pa.int64()), K.long_lists(rows)],
-                names=["doc_id", "n", "s1", "s2", "pk", "prefix"],
+                [batch.column(c) for c in ("doc_id", "n", "s1", "s2")] + [pa.array(keys, pa.int64()), K.long_lists(rows), K.long_lists(marks)],
+                names=["doc_id", "n", "s1", "s2", "pk", "prefix", "often"],
             )
 
     return run
 
 
-def _sets(size: int):
+PREFIXES = "doc_id long, n int, s1 long, s2 long, pk long, prefix array<long>, often array<long>"
+
+
+def _copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Prefix shingles ``gid, n, pos, token`` of documents by the frequency of all their shingles among them."""
+    every = texts.mapInArrow(_sets(size, False), "id long, s array<long>")
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(every.select(F.col("s").alias("low")), 2))
+    rows = every.select(F.col("id").alias("doc_id"), F.size("s").alias("n"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("s").alias("low"))
+    prefixes = rows.mapInArrow(_prefixes(percent, frequent, np.uint64((1 << 64) - 1)), PREFIXES)
+    # Bits are turned over, so a shingle is another token than in the first order.
+    return prefixes.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.bitwise_not("token"))
+
+
+def _sets(size: int, short: bool):
+    """Whole sets as longs; or, for a bound, the last 16 bits of each hash, sorted, as shorts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for piece in K.pieces(batch.column("text")):
                 rows = list(K.shingle_sets(K.words(piece, K.NOT_SPACE), size))
-                yield pa.RecordBatch.from_arrays([ids[piece.lo : piece.hi].cast(pa.int64()), K.long_lists(rows)], names=["id", "s"])
+                if short:
+                    column = pa.array([np.sort(r.astype(np.uint16)).tobytes() for r in rows], pa.binary())
+                else:
+                    column = K.long_lists(rows)
+                yield pa.RecordBatch.from_arrays([ids[piece.lo : piece.hi].cast(pa.int64()), column], names=["id", "s"])
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the ``(a, b)`` pairs of document ids whose whole sets reach the threshold."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets of shorts."""
+    x, nx = np.unique(a, return_counts=True)
+    y, ny = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(nx[i], ny[j]).sum())
+
+
+def _may_link(percent: int):
+    """Pairs whose common shorts, never fewer than their common shingles, are enough for the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                a, b = np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)
+                keep.append((100 + percent) * _common(a, b) >= percent * (len(a) + len(b)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame, size: int, short: bool) -> DataFrame:
     ids = set_down(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids, 16), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = set_down(texts.mapInArrow(_sets(size), "id long, s array<long>").dropDuplicates(["id"]), "sets")
-    both = (
+    texts = docs.join(sized(ids, 16), F.col("doc_id") == F.col("id"), "left_semi")
+    sets = texts.mapInArrow(_sets(size, short), "id long, s " + ("binary" if short else "array<long>"))
+    return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     )
-    return both.filter((100 + percent) * F.col("shared") >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the ``(a, b)`` pairs of document ids whose whole sets reach the threshold.
+
+    A bound from 16 bits of each shingle, which never loses a link, leaves few pairs for the
+    comparison of whole sets. ``docs`` has one row per id.
+    """
+    near = set_down(_with_sets(docs, pairs, size, True).mapInArrow(_may_link(percent), "a long, b long"), "near")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = (100 + percent) * shared >= percent * (F.size("sa") + F.size("sb"))
+    return _with_sets(docs, near, size, False).filter(links).select("a", "b")
+
+
+def _low_bound(pairs: DataFrame, low: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may reach the threshold by what they share in the counted part of the hash range."""
+    part = low.select(F.col("doc_id").alias("id"), "n", F.expr("slice(low, 1, n_low)").alias("l"))
+    both = pairs.join(part.toDF("a", "na", "la"), "a").join(part.toDF("b", "nb", "lb"), "b")
+    most = F.size(F.array_intersect("la", "lb")) + F.least(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
+    return both.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _may_reach(percent: int, n1: str, p1: str, n2: str, p2: str):
-    """Size and positional filter of two sets that share a shingle at positions ``p1`` and ``p2`` from 0."""
+    """Size and positional filter of two sets that share a shingle at positions ``p1`` and ``p2`` from 0.
+
+    The bound is that of the first shingle they share, before which nothing is common; a pair
+    that reaches the threshold passes by that one, whatever becomes of it by others.
+    """
     n1, n2, p1, p2 = F.col(n1), F.col(n2), F.col(p1), F.col(p2)
-    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+    most = F.least(n1 - p1, n2 - p2)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
@@ -165,20 +237,29 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     low = set_down(summaries(docs, size, percent), "shingles")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(low))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(low, RARE))
     known = low.filter("n > 0 and doc_id is not null")
-    prefixes = known.mapInArrow(_prefixes(percent, frequent), "doc_id long, n int, s1 long, s2 long, pk long, prefix array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not low.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        known, docs = known.dropDuplicates(["doc_id"]), docs.dropDuplicates(["doc_id"])
+    prefixes = set_down(known.mapInArrow(_prefixes(percent, frequent, _bound(percent)), PREFIXES), "prefixes")
 
     # One member per distinct set, one group per prefix and size; names are smallest ids.
-    members = set_down(prefixes.groupBy("n", "pk", "s1", "s2").agg(F.min("doc_id").alias("cid")), "members")
-    groups = members.groupBy("n", "pk").agg(F.min("cid").alias("gid"), F.count("*").alias("n_members"))
-    members = set_down(members.join(groups, ["n", "pk"]), "grouped")
-    heads = members.filter("cid = gid").select(F.col("gid"))
+    # Documents of the second order are ordered by whole sets, so each set is a group of its own.
+    members = prefixes.groupBy("n", "pk", "s1", "s2").agg(F.min("doc_id").alias("cid"), F.max(F.size("often")).alias("often"))
+    members = set_down(members.withColumn("salt", F.when(F.col("often") > 0, F.col("cid")).otherwise(0)), "members")
+    groups = members.groupBy("n", "pk", "salt").agg(F.min("cid").alias("gid"))
+    members = set_down(members.join(groups, ["n", "pk", "salt"]), "grouped")
+    heads = members.filter("cid = gid").select("gid")
+    first_order = prefixes.select("doc_id", "n", "prefix", "often").join(heads, F.col("doc_id") == F.col("gid"), "left_semi")
+    copies = set_down(first_order.filter(F.size("often") > 0).select(F.col("doc_id").alias("id")), "copies")
+    texts = docs.join(sized(copies, 16), F.col("doc_id") == F.col("id"), "left_semi")
     tokens = (
-        prefixes.select("doc_id", "n", "prefix").join(heads, F.col("doc_id") == F.col("gid"), "left_semi").dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+        first_order.select(F.col("doc_id").alias("gid"), "n", "often", F.posexplode("prefix").alias("pos", "token"))
+        .filter(~F.array_contains("often", F.col("pos").cast("long"))).select("gid", "n", "pos", "token")
+        .unionByName(set_down(_copies(texts, size, percent), "tokens"))
     )
-    firsts = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    firsts = tokens.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("head"), F.count("*").alias("c")).filter("c > 1")
     shared = set_down(tokens.join(firsts.select("token", "head"), "token"), "shared")
 
     # Step 1: members against the first of their group, groups against the first of a shingle.
@@ -188,7 +269,8 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         .select(F.col("gid").alias("a"), F.col("hgid").alias("b")).distinct()
     )
     in_groups = members.filter("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    first_links = set_down(_verified(docs, set_down(to_heads.union(in_groups), "pairs"), size, percent), "links1")
+    pairs = set_down(_low_bound(to_heads.union(in_groups), known, percent), "pairs")
+    first_links = set_down(_verified(docs, pairs, size, percent), "links1")
     comps = set_down(components(first_links), "comps1")
 
     # Step 2: what still is in different components and shares a group or a prefix shingle.
@@ -215,7 +297,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         .join(placed.select(F.col("gid").alias("gid2"), F.col("comp").alias("comp2"), F.col("cid").alias("b")), ["gid2", "comp2"])
         .select("a", "b")
     )
-    left = set_down(inside.union(across).distinct().join(to_heads, ["a", "b"], "left_anti"), "pairs")
+    left = set_down(_low_bound(inside.union(across).distinct(), known, percent), "pairs")
     more = set_down(_verified(docs, left, size, percent), "links2") if not left.isEmpty() else left
     whole = components(first_links.union(more)) if not more.isEmpty() else comps
 
