@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
@@ -106,9 +107,14 @@ def porter(word: str) -> str:
 
 @pandas_udf(ArrayType(StringType()))
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda words: None if words is None else [porter(w) for w in words])
+    flat = pd.Series([w for words in tokens if words is not None for w in words], dtype=object)
+    codes, distinct = pd.factorize(flat)
+    stems = np.array([porter(w) for w in distinct], dtype=object)
+    ends = np.cumsum([0 if words is None else len(words) for words in tokens])
+    stemmed = stems[codes] if len(distinct) else stems
+    return pd.Series([None if words is None else stemmed[end - len(words) : end] for words, end in zip(tokens, ends)])
 
 
 def stem_tokens(tokens: Column) -> Column:
-    """Stems of an array of words, row by row: no explode, no shuffle."""
+    """Stems of an array of words: the distinct words of a batch are stemmed once; no explode, no shuffle."""
     return _stem_arrays(tokens)

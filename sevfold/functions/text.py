@@ -11,13 +11,13 @@ from sevfold.functions.code import let
 
 # Operators before words, longer operators where they come first.
 CODE_OPERATORS = (
-    "<= >= < > ? /= += -= ++ -- *= + - * / != == = ! &= & % || |= | $ :"
+    "<=", ">=", "<", ">", "?", "/=", "+=", "-=", "++", "--", "*=", "+", "-", "*", "/", "!=", "==", "=", "!", "&=", "&", "%", "||", "|=", "|", "$", ":",
 )
 CODE_WORD = "[a-zA-Z0-9]+"
-CODE_TOKEN = "|".join(re.escape(op) for op in CODE_OPERATORS.split()) + "|" + CODE_WORD
+CODE_TOKEN = "|".join(re.escape(op) for op in CODE_OPERATORS) + "|" + CODE_WORD
 
 # Fixed value: a description token holds a letter that something follows.
-DESC_TOKEN = r"\S*[A-Za-z]\S+"
+DESC_TOKEN = r"[a-z]\S"
 EXTRA_STOP_WORD = "aka"
 
 # The English stop words.
@@ -55,8 +55,9 @@ def code_tokens(c: Column) -> Column:
 
 
 def desc_tokens(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit(DESC_TOKEN), F.lit(0))
-    return F.filter(words, lambda w: w != EXTRA_STOP_WORD)
+    """Runs between blanks that hold a letter with something behind it; linear in the text."""
+    words = F.split(F.lower(c), r"\s+")
+    return F.filter(words, lambda w: w.rlike(DESC_TOKEN) & (w != EXTRA_STOP_WORD))
 
 
 def description_words(c: Column) -> Column:

@@ -110,6 +110,17 @@ def metrics_row(cm: DataFrame, keys: list[str] | None = None, digits: int | None
     return full.select(*keys, *shown)
 
 
+def average_row(cm: DataFrame, average: str, keys: list[str] | None = None, positive=1, digits: int | None = None) -> DataFrame:
+    """acc, prec, rec, f1 and mcc per key with a ``macro``, ``weighted``, ``micro`` or ``binary`` average."""
+    keys = keys or []
+    parts = [accuracy(cm, keys), prf(cm, average, keys, positive), mcc(cm, keys)]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.join(part, keys) if keys else joined.crossJoin(part)  # one row each
+    names = {"acc": "accuracy", "prec": "precision", "rec": "recall", "f1": "f1", "mcc": "mcc"}
+    return joined.select(*keys, *[(F.col(c) if digits is None else F.round(F.round(c, NOISE), digits)).alias(n) for n, c in names.items()])
+
+
 def format_metrics(df: DataFrame, keys: list[str], names: list[str], digits: int = 5, sep: str = "\t") -> DataFrame:
     """Each row as one text line with a fixed number of decimals."""
     cells = [F.col(k).cast("string") for k in keys] + [F.format_string(f"%.{digits}f", F.col(n)) for n in names]

@@ -18,8 +18,9 @@ HASH_DIGITS = 3  # leading hex digits of the hash: 4096 buckets
 
 
 def hash_of(keys: list[str], seed: int) -> Column:
-    """Order of a seeded permutation: the same for any partitioning of the rows."""
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    """Order of a seeded permutation: the same for any partitioning of the rows. A null part has a mark of its own."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
 def _bucket(h: Column, digits: int) -> Column:
@@ -99,14 +100,15 @@ def hash_cuts(
     )
 
 
-def bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Offer a side table for broadcast if it is small; else leave the join to Spark.
+def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Offer a side table for broadcast if its bytes, written out, fit; else leave the join to Spark.
 
-    The table is computed once and checkpointed, then counted.
+    The table is computed once and checkpointed, then measured.
     """
     ensure_checkpoint_dir(df.sparkSession)
     kept = df.checkpoint()
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns))))).first()[0] or 0
+    return F.broadcast(kept) if size <= max_bytes else kept
 
 
 def value_buckets(df: DataFrame, value: str, out: str, buckets: int) -> DataFrame:

@@ -17,7 +17,7 @@ def group_split(df: DataFrame, key: str, seed: int = 42, approx: bool = False) -
 
     Exact form: of n distinct keys, ceil(0.2 n) are held out; the larger half is ``valid``,
     the rest ``test``. Two hash values, found on the distinct keys, decide for every row, so
-    the rows are neither shuffled nor joined. A row without key goes to ``test``. ``approx`` fixes the parts by hash range alone:
+    the rows are neither shuffled nor joined. Rows without key count as one more key. ``approx`` fixes the parts by hash range alone:
     no pass over the keys, and appended rows never move a key.
     """
     n = F.col("n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,14 +13,16 @@ from pyspark.sql.types import DoubleType
 
 from sevfold.functions.cvss import CVSS2_SCALES, partial_score
 from sevfold.operators.ranking import mid_rank, with_index
-from sevfold.operators.relational import concat_columns
 
 # Scenarios of the comparison report.
 SCENARIOS = (
-    "cvss2_auth cvss2_conf cvss2_accessvect cvss2_avail cvss2_accesscomp cvss2_severity cvss2_integrity"
-).split()
-EXACT_U_CELLS = 10_000  # n_a * n_b up to which small samples get the exact U distribution
+    "cvss2_auth", "cvss2_conf", "cvss2_accessvect", "cvss2_avail", "cvss2_accesscomp", "cvss2_severity", "cvss2_integrity",
+)
+# Sample sizes up to which the method ``auto`` takes the exact distribution of tie-free samples:
+# rows of the smaller group for U, pairs for W.
+EXACT_U_ROWS = 8
 EXACT_W_PAIRS = 50
+METHODS = ("auto", "exact", "normal")
 
 
 @pandas_udf(DoubleType())
@@ -29,25 +32,39 @@ def normal_tail(z: pd.Series) -> pd.Series:
 
 
 def _exact_u_tail(u: float, n_a: int, n_b: int) -> float:
-    """P(U >= u) without ties: coefficients of the Gaussian binomial."""
-    ways = np.zeros(n_a * n_b + 1)
-    ways[0] = 1.0
-    for i in range(1, n_a + 1):
-        up = n_b + i
-        if up < ways.size:
-            ways[up:] -= ways[:-up].copy()
-        for j in range(i, ways.size):
-            ways[j] += ways[j - i]
-    return float(ways[math.ceil(u):].sum() / ways.sum())
+    """P(U >= u) without ties, counted with whole numbers.
+
+    The ways to reach each U are the coefficients of a Gaussian binomial. The distribution is
+    the same for both orders of the groups and symmetric, so the loop runs over the smaller
+    group and the shorter tail.
+    """
+    few, many = sorted((n_a, n_b))
+    top = n_a * n_b
+    at = math.ceil(u)
+    if at <= 0:
+        return 1.0
+    if at > top:
+        return 0.0
+    reach = min(top - at, at - 1)  # P(U >= u) = P(U <= top - u); the other tail is P(U <= u - 1)
+    ways = np.zeros(reach + 1, dtype=object)
+    ways[0] = 1
+    for i in range(1, few + 1):
+        up = many + i
+        if up <= reach:
+            ways[up:] = ways[up:] - ways[: reach + 1 - up]
+        for start in range(min(i, reach + 1)):
+            ways[start::i] = np.cumsum(ways[start::i])
+    tail = Fraction(int(sum(ways)), math.comb(n_a + n_b, n_a))
+    return float(tail if reach == top - at else 1 - tail)
 
 
 def _exact_w_tail(w: float, n: int) -> float:
     """P(W <= w) of the signed-rank sum of n pairs without ties."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1.0
+    ways = np.zeros(n * (n + 1) // 2 + 1, dtype=object)
+    ways[0] = 1
     for rank in range(1, n + 1):
-        ways[rank:] += ways[:-rank].copy()
-    return float(ways[: math.floor(w) + 1].sum() / 2.0**n)
+        ways[rank:] = ways[rank:] + ways[:-rank]
+    return float(Fraction(int(sum(ways[: math.floor(w) + 1])), 2**n))
 
 
 @pandas_udf(DoubleType())
@@ -83,14 +100,18 @@ def tie_term(n: str) -> Column:
 
 
 def mann_whitney(
-    df: DataFrame, group: str, value: str, keys: list[str], alternative: str | None = None, buckets: int = 64
+    df: DataFrame, group: str, value: str, keys: list[str], alternative: str | None = None, buckets: int = 64,
+    method: str = "auto", exact_rows: int = EXACT_U_ROWS,
 ) -> DataFrame:
-    """U of group ``A``, its z and p value per key.
+    """U of group ``A``, its z and p value per key; null where a group is empty.
 
     Without ``alternative`` the side is ``greater`` where the mean of A is the smaller one,
     else ``less``: the test runs against the observed direction. z has the tie and the
-    continuity correction; p is exact for tie-free samples of which one has up to 8 rows.
+    continuity correction. ``method`` is ``exact`` (tie-free samples), ``normal``, or ``auto``: exact for
+    tie-free samples of which one has up to ``exact_rows`` rows, whatever the size of the other.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     in_a = F.when(F.col(group) == "A", 1).otherwise(0)
     ranks = mid_rank(df, keys, value, {"n_a": in_a}, buckets)
     n_a, n_b, n = F.col("n_A"), F.col("n_B"), F.col("n_A") + F.col("n_B")
@@ -99,28 +120,30 @@ def mann_whitney(
         F.sum(F.col("n_ties") - F.col("n_a")).alias("n_B"),
         F.sum(F.col("n_a") * F.col("mid_rank")).alias("_rank_sum"),
         tie_term("n_ties").alias("_ties"),
-        (F.sum(F.col("n_a") * F.col(value)) / F.sum("n_a")).alias("_mean_a"),
-        (F.sum((F.col("n_ties") - F.col("n_a")) * F.col(value)) / F.sum(F.col("n_ties") - F.col("n_a"))).alias("_mean_b"),
+        F.try_divide(F.sum(F.col("n_a") * F.col(value)), F.sum("n_a")).alias("_mean_a"),
+        F.try_divide(F.sum((F.col("n_ties") - F.col("n_a")) * F.col(value)), F.sum(F.col("n_ties") - F.col("n_a"))).alias("_mean_b"),
     )
     product = n_a.cast("double") * n_b
-    u = F.col("_rank_sum") - n_a.cast("double") * (n_a + 1) / 2
-    side = F.lit(alternative) if alternative else F.when(F.col("_mean_a") < F.col("_mean_b"), "greater").otherwise("less")
+    both = product > 0
+    u = F.when(both, F.col("_rank_sum") - n_a.cast("double") * (n_a + 1) / 2)
+    side = F.lit(alternative) if alternative else F.when(F.col("_mean_a") < F.col("_mean_b"), "greater").when(both, "less")
     u_side = (
         F.when(F.col("side") == "greater", F.col("U"))
         .when(F.col("side") == "less", product - F.col("U"))
         .otherwise(F.greatest(F.col("U"), product - F.col("U")))
     )
-    spread = F.sqrt(product / 12 * (n + 1 - F.col("_ties") / (n.cast("double") * (n - 1))))
+    spread = F.sqrt(product / 12 * (n + 1 - F.try_divide(F.col("_ties"), n.cast("double") * (n - 1))))
     tested = (
         sums.withColumn("U", u)
         .withColumn("side", side)
         .withColumn("_u", u_side)
         .withColumn("z", (F.col("_u") - product / 2 - 0.5) / F.nullif(spread, F.lit(0.0)))
     )
-    small = (F.least(n_a, n_b) <= 8) & (F.col("_ties") == 0) & (product <= EXACT_U_CELLS)
+    size = {"auto": F.least(n_a, n_b) <= exact_rows, "exact": F.lit(True), "normal": F.lit(False)}[method]
+    small = size & both & (F.col("_ties") == 0)
     sides = F.when(F.col("side") == "two-sided", 2.0).otherwise(1.0)
     tail = F.when(small, exact_u(F.when(small, F.col("_u")).otherwise(0.0), F.when(small, n_a).otherwise(1), F.when(small, n_b).otherwise(1)))
-    p = F.least(F.lit(1.0), sides * tail.otherwise(normal_tail(F.col("z"))))
+    p = F.when(both, F.least(F.lit(1.0), sides * tail.otherwise(normal_tail(F.col("z")))))
     return tested.withColumn("p_value", p).select(*keys, "n_A", "n_B", "side", "U", "z", "p_value")
 
 
@@ -137,9 +160,16 @@ def pair_up(df: DataFrame, group: str, value: str, keys: list[str], row_key: lis
 
 
 def wilcoxon(
-    df: DataFrame, group: str, value: str, keys: list[str], row_key: list[str], seed: int = 42, buckets: int = 64
+    df: DataFrame, group: str, value: str, keys: list[str], row_key: list[str], seed: int = 42, buckets: int = 64,
+    method: str = "auto", exact_pairs: int = EXACT_W_PAIRS,
 ) -> DataFrame:
-    """Signed-rank statistic W = min(W+, W-) and two-sided p per key; equal pairs are dropped."""
+    """Signed-rank statistic W = min(W+, W-) and two-sided p per key; equal pairs are dropped.
+
+    ``method`` is ``exact`` (samples without ties and equal pairs), ``normal``, or ``auto``: exact
+    for such samples of up to ``exact_pairs`` pairs.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     diffs = pair_up(df, group, value, keys, row_key, seed).select(*keys, (F.col("A") - F.col("B")).alias("d"))
     signed = diffs.filter(F.col("d") != 0).withColumn("abs_d", F.abs("d"))
     ranks = mid_rank(signed, keys, "abs_d", {"n_pos": F.when(F.col("d") > 0, 1).otherwise(0)}, buckets)
@@ -157,7 +187,8 @@ def wilcoxon(
         .withColumn("W", F.least("w_plus", "w_minus"))
         .withColumn("z", (F.col("W") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0)))
     )
-    small = (F.col("n_pairs") <= EXACT_W_PAIRS) & (F.col("_ties") == 0) & (F.col("n_equal") == 0)
+    size = {"auto": F.col("n_pairs") <= exact_pairs, "exact": F.lit(True), "normal": F.lit(False)}[method]
+    small = size & (F.col("_ties") == 0) & (F.col("n_equal") == 0)
     exact = exact_w(F.when(small, F.col("W")).otherwise(0.0), F.when(small, F.col("n_pairs")).otherwise(1))
     p = F.least(F.lit(1.0), 2 * F.when(small, exact).otherwise(normal_tail(F.abs("z"))))
     return tested.withColumn("p_value", p).select(*keys, "n_pairs", "n_equal", "w_plus", "w_minus", "W", "z", "p_value")
@@ -181,18 +212,17 @@ def compare(
 ) -> DataFrame:
     """Report per scenario: means, U p-value, effect size, signed-rank p and group sizes per metric."""
     both = tagged(df1, df2, [*SCENARIOS, *extra])
-    frames = []
-    for metric in evals:
-        parts = [
-            cohen_d(both, "group", metric, ["scenario"]).select(
-                "scenario", F.col("mean_A").alias(f"mean_A_{metric}"), F.col("mean_B").alias(f"mean_B_{metric}"),
-                F.col("cohen_d").alias(f"cohend_{metric}"), F.col("n_A").alias(f"n_A_{metric}"), F.col("n_B").alias(f"n_B_{metric}"),
-            ),
-            mann_whitney(both, "group", metric, ["scenario"], alternative).select("scenario", F.col("p_value").alias(f"mwyu_{metric}")),
-            wilcoxon(both, "group", metric, ["scenario"], row_key).select("scenario", F.col("p_value").alias(f"wilcoxon_{metric}")),
-        ]
-        frames.append(concat_columns(parts, ["scenario"]).withColumns({"A": F.lit(a), "B": F.lit(b)}))
-    return concat_columns(frames, ["scenario", "A", "B"])
+    metric = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in evals]))
+    long = both.select("group", "scenario", *row_key, metric).filter(F.col("value").isNotNull())
+    keys = ["scenario", "metric"]
+    report = (
+        cohen_d(long, "group", "value", keys).select(*keys, "mean_A", "mean_B", "cohen_d", "n_A", "n_B")
+        .join(mann_whitney(long, "group", "value", keys, alternative).select(*keys, F.col("p_value").alias("u")), keys, "left")
+        .join(wilcoxon(long, "group", "value", keys, row_key).select(*keys, F.col("p_value").alias("w")), keys, "left")
+    )
+    names = {"mean_A": "mean_A_", "mean_B": "mean_B_", "u": "mwyu_", "cohen_d": "cohend_", "w": "wilcoxon_", "n_A": "n_A_", "n_B": "n_B_"}
+    wide = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(prefix + m) for m in evals for c, prefix in names.items()]
+    return report.groupBy("scenario").agg(*wide).select("scenario", F.lit(a).alias("A"), F.lit(b).alias("B"), *[F.col(p + m) for m in evals for p in names.values()])
 
 
 def cvss_distance(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -51,20 +51,16 @@ def label_index(df: DataFrame, c: str) -> DataFrame:
 
 
 def apply_label_index(df: DataFrame, index: DataFrame, c: str, out: str = "code") -> DataFrame:
-    """Code of each row's label; a label that the index lacks stops the job."""
+    """Code of each row's label, from a map of the few labels: rows are not joined. A label that the index lacks stops the job."""
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col(c))).cast("int")
-    coded = df.join(index.withColumnRenamed("code", "_code"), c, "left")
-    code = F.when(F.col(c).isNull(), F.lit(None).cast("int")).otherwise(F.coalesce("_code", unseen))
-    return coded.withColumn(out, code).select(*df.columns, out)
+    codes = index.agg(F.map_from_entries(F.collect_list(F.struct(c, "code"))).alias("m")).scalar()
+    code = F.when(F.col(c).isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(F.try_element_at(codes, F.col(c)), unseen))
+    return df.withColumn(out, code)
 
 
-def index_terms(vocab: DataFrame, most: int = 1_000_000) -> list[str]:
-    """Terms in alphabetical order, on the driver, for ``pyspark.ml`` models.
-
-    A vocabulary is bounded by a feature number or by a share of documents; one beyond
-    ``most`` terms stops the job rather than being cut.
-    """
-    terms = [r["term"] for r in vocab.select("term").limit(most + 1).collect()]
-    if len(terms) > most:
-        raise ValueError(f"vocabulary has more than {most} terms; use the long-form features")
-    return sorted(terms)
+def index_terms(vocab: DataFrame, max_features: int) -> list[str]:
+    """Terms of a vocabulary of at most ``max_features`` in alphabetical order, on the driver, for ``pyspark.ml`` models."""
+    terms = sorted(r["term"] for r in vocab.select("term").limit(max_features + 1).collect())
+    if len(terms) > max_features:
+        raise ValueError(f"vocabulary has more than {max_features} terms")
+    return terms

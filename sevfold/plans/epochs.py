@@ -15,7 +15,10 @@ EPOCH_MARK = "Epoch "
 BEST_MARK = "Saving best model at epoch"
 LOSS_LINE = r"(?m)^.*loss: .*$"
 EPOCH_SECONDS = r"(?m)^[^\n]*? - (\d+)s(?= |$)[^\n]*$"
-VALIDATION_SECONDS = r"Validation time: *([-+]?\d*\.\d+|\d+)"
+VALIDATION_SECONDS = r"Validation time: *(\d+(?:\.\d+)?)"
+VALIDATION_LINE = r"Validation time:"
+#: Sections of a run: training, evaluation on the validation part, final evaluation.
+N_SECTIONS = 3
 
 
 def parts_after(text: Column, mark: str) -> Column:
@@ -37,18 +40,20 @@ def parse_runs(logs: DataFrame, log: str = "file", text: str = "text") -> DataFr
 
 def parse_log(logs: DataFrame, log: str = "file", text: str = "text") -> DataFrame:
     """One row per epoch of each run, with the run's final evaluation seconds repeated."""
-    runs = parse_runs(logs, log, text).withColumn("final_s", first_number(F.col("final_text")))
-    epochs = runs.select(
-        log, "partition", "run", "n_sections", "final_s", F.explode(parts_after(F.col("train_text"), EPOCH_MARK)).alias("_e")
-    )
+    final = F.col("final_text")
+    runs = parse_runs(logs, log, text).withColumn("final_s", first_number(final))
+    runs = runs.withColumn("n_final_lines", F.coalesce(F.regexp_count(final, F.lit(VALIDATION_LINE)), F.lit(0)))
+    kept = [log, "partition", "run", "n_sections", "final_s", "n_final_lines"]
+    epochs = runs.select(*kept, F.posexplode(parts_after(F.col("train_text"), EPOCH_MARK)).alias("place", "_e"))
     e = F.col("_e")
     return epochs.select(
-        log, "partition", "run", "n_sections", "final_s",
+        *kept, "place",
         F.regexp_extract(e, r"^(\d+)/(\d+)", 1).try_cast("int").alias("epoch"),
         F.regexp_extract(e, r"^(\d+)/(\d+)", 2).try_cast("int").alias("n_planned"),
         F.regexp_count(e, F.lit(LOSS_LINE)).alias("n_loss_lines"),
         F.regexp_extract(F.regexp_extract(e, LOSS_LINE, 0), EPOCH_SECONDS, 1).try_cast("int").alias("train_s"),
         first_number(e).alias("val_s"),
+        F.regexp_count(e, F.lit(VALIDATION_LINE)).alias("n_val_lines"),
         e.contains(BEST_MARK).alias("is_best"),
     )
 
@@ -57,25 +62,47 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(text, VALIDATION_SECONDS, 1).try_cast("double")
 
 
-def check_log(epochs: DataFrame, run: list[str], n_loss: str | None = "n_loss_lines", planned: str | None = "n_planned") -> DataFrame:
+def check_log(
+    epochs: DataFrame, run: list[str], n_loss: str | None = "n_loss_lines", planned: str | None = "n_planned",
+    place: str | None = "place", n_val: str | None = "n_val_lines", n_final: str | None = "n_final_lines", sections: str | None = "n_sections",
+) -> DataFrame:
     """Runs with what is wrong in them: ``_error`` is null for a sound run.
 
-    Epochs must be consecutive, the planned number constant, and each epoch has one loss line.
-    Without repeats, max - min + 1 = count says that they are consecutive.
+    A run has three sections. Its epochs must be consecutive and stand in their order, the
+    planned number is constant, each epoch has one loss line with seconds and one validation
+    line with a number, and so has the final part. Without repeats, max - min + 1 = count says
+    that epochs are consecutive. A check is made where the table has its column; None leaves it out.
     """
+    place, n_val, n_final, sections = (c if c in epochs.columns else None for c in (place, n_val, n_final, sections))
+    seconds = {c: c for c in ("train_s", "val_s", "final_s") if c in epochs.columns}
+
+    def not_one(c: str | None, value: str | None = None) -> Column:
+        if c is None:
+            return F.lit(0)
+        bad = F.coalesce(F.col(c) != 1, F.lit(True)) | (F.col(value).isNull() if value else F.lit(False))
+        return F.max(F.when(bad, 1).otherwise(0))
+
     checks = [
         F.count("*").alias("n_epochs"),
         (F.max("epoch") - F.min("epoch") + 1).alias("_range"),
         F.count_distinct("epoch").alias("_distinct"),
         (F.max(planned) - F.min(planned) if planned else F.lit(0)).alias("_planned"),
-        (F.max(F.when(F.col(n_loss) == 1, 0).otherwise(1)) if n_loss else F.lit(0)).alias("_loss"),
+        (F.max(F.col("epoch") - F.col(place)) - F.min(F.col("epoch") - F.col(place)) if place else F.lit(0)).alias("_order"),
+        not_one(n_loss, seconds.get("train_s")).alias("_loss"),
+        not_one(n_val, seconds.get("val_s")).alias("_val"),
+        not_one(n_final, seconds.get("final_s")).alias("_final"),
+        (F.max(F.when(F.col(sections) == N_SECTIONS, 0).otherwise(1)) if sections else F.lit(0)).alias("_sections"),
     ]
     found = epochs.groupBy(*run).agg(*checks)
     gap = (F.col("_range") != F.col("n_epochs")) | (F.col("_distinct") != F.col("n_epochs"))
     error = (
-        F.when(F.coalesce(gap, F.lit(True)), "epochs not consecutive")
+        F.when(F.col("_sections") > 0, "not three sections")
+        .when(F.coalesce(gap, F.lit(True)), "epochs not consecutive")
+        .when(F.coalesce(F.col("_order") != 0, F.lit(True)), "epochs not in order")
         .when(F.coalesce(F.col("_planned") != 0, F.lit(True)), "planned epochs differ")
         .when(F.col("_loss") > 0, "not one loss line per epoch")
+        .when(F.col("_val") > 0, "not one validation line per epoch")
+        .when(F.col("_final") > 0, "not one validation line in the final part")
     )
     return found.withColumn("_error", error).select(*run, "n_epochs", "_error")
 
@@ -93,10 +120,10 @@ def check_counts(runs: DataFrame, log: str, n_partitions: int = 10, n_runs: int
 def best_epoch(epochs: DataFrame, run: list[str], metric: str = "f1", epoch: str = "epoch") -> DataFrame:
     """Last epoch that improved strictly on all before it, which is the first one to reach the
     maximum. Runs that never exceed 0 have none."""
-    valid = epochs.filter((F.col(metric) > 0) & ~F.isnan(metric))
-    best = F.min_by(F.struct(F.col(epoch).alias("best_epoch"), F.col(metric).alias("best_value")), F.struct(-F.col(metric), F.col(epoch)))
-    found = valid.groupBy(*run).agg(best.alias("_b")).select(*run, "_b.*")
-    return epochs.select(*run).distinct().join(found, run, "left")
+    valid = (F.col(metric) > 0) & ~F.isnan(metric)
+    order = F.when(valid, F.struct(-F.col(metric), F.col(epoch)))
+    best = F.min_by(F.struct(F.col(epoch).alias("best_epoch"), F.col(metric).alias("best_value")), order)
+    return epochs.groupBy(*run).agg(best.alias("_b")).select(*run, "_b.*")
 
 
 def with_improvement(epochs: DataFrame, run: list[str], metric: str, epoch: str, span: int = 4096) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sevfold.functions.code import clean_changes
 from sevfold.functions.text import char_ngrams, code_tokens, desc_tokens, is_usable_gram, ngrams, parse_vector, strip, term_counts
+from sevfold.operators.ranking import bounded
 from sevfold.operators.vocabulary import MAX_FEATURES, count_docs, index_terms, term_table, vocabulary
 
 VECTOR_SIZE = 300
@@ -37,8 +38,8 @@ DESC_CONFIGS = {
 
 
 def in_vocabulary(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Term rows whose term is in a vocabulary."""
-    return terms.join(vocab.select("term"), "term", "left_semi")
+    """Term rows whose term is in a vocabulary. One that fits is broadcast, so term rows stay where they are."""
+    return terms.join(bounded(vocab.select("term")), "term", "left_semi")
 
 
 def bow_counts(df: DataFrame, fit_on: DataFrame, doc: str, code: str, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -66,7 +67,7 @@ def desc_features(df: DataFrame, fit_on: DataFrame, doc: str, text: str, config:
     if not cfg.tfidf:
         return in_vocabulary(terms, vocab).select(doc, "term", "tf", F.col("tf").cast("double").alias("weight"))
     idf = vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = terms.join(bounded(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return weighed.select(doc, "term", "tf", (F.col("w") / length).alias("weight"))
 
@@ -118,14 +119,14 @@ def subword_features(
     )
 
 
-def count_model(vocab: DataFrame, words: str = "words", out: str = "features") -> CountVectorizerModel:
-    """Counting model over a bounded vocabulary."""
-    return CountVectorizerModel.from_vocabulary(index_terms(vocab), inputCol=words, outputCol=out)
+def count_model(vocab: DataFrame, max_features: int, words: str = "words", out: str = "features") -> CountVectorizerModel:
+    """Counting model over a vocabulary of at most ``max_features`` terms."""
+    return CountVectorizerModel.from_vocabulary(index_terms(vocab, max_features), inputCol=words, outputCol=out)
 
 
 def bow_model(fit_on: DataFrame, code: str, max_features: int = MAX_FEATURES, out: str = "bow") -> CountVectorizerModel:
     terms = fit_on.select(F.inline(term_counts(code_tokens(F.col(code)))))
-    return count_model(vocabulary(terms, max_features=max_features), "tokens", out)
+    return count_model(vocabulary(terms, max_features=max_features), max_features, "tokens", out)
 
 
 def bow_vectors(df: DataFrame, model: Model, code: str) -> DataFrame:
@@ -168,15 +169,21 @@ def train_word_vectors(df: DataFrame, code: str, **options) -> DataFrame:
     return model.getVectors()
 
 
+def vectors_as_arrays(vectors: DataFrame, vec: str) -> Column:
+    """A vector column of either kind as an array of doubles."""
+    return F.col(vec).cast("array<double>") if dict(vectors.dtypes)[vec].startswith("array") else vector_to_array(vec)
+
+
 def mean_vector(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, doc: str, word: str, vec: str, size: int) -> DataFrame:
     """Mean vector of the known words of each document; zeros where no word is known.
 
-    Equal words of a document are merged before the join, and the mean is a weighted
-    aggregate with partial sums, so neither a frequent word nor a long document piles up.
+    Word vectors that fit are broadcast, and the mean is an aggregate with partial sums: the
+    tokens of a document are added up where they are. A larger table of vectors is joined by
+    word, where adaptive execution splits a frequent word.
     """
-    counts = tokens.groupBy(doc, word).agg(F.count("*").cast("double").alias("_n"))
-    known = counts.join(vectors.select(word, array_to_vector(F.col(vec).cast("array<double>")).alias("_v")), word)
-    means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v"), F.col("_n")).alias("_m"), F.sum("_n").cast("long").alias("n_known"))
+    arrays = bounded(vectors.select(word, vectors_as_arrays(vectors, vec).alias("_a")))
+    known = tokens.select(doc, word).join(arrays, word).select(doc, array_to_vector("_a").alias("_v"))
+    means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count("*").alias("n_known"))
     zeros = F.array_repeat(F.lit(0.0), size)
     return docs.select(doc).join(means, doc, "left").select(
         doc, F.coalesce(vector_to_array(F.col("_m")), zeros).alias("mean_vector"), F.coalesce("n_known", F.lit(0)).alias("n_known")

@@ -7,24 +7,35 @@ import time
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from sevfold.operators.metrics import confusion, metrics_row
+from sevfold.operators.neighbours import knn, knn_vote
 from sevfold.operators.relational import stack
 from sevfold.plans.results import average_results, best_per_group
 
 SEED = 42
+MAX_DEPTH = 30
 
 
-def depth_of(leaves: int) -> int:
-    """Tree depth that leaves room for a number of leaves; Spark has no cap on leaves."""
-    return min(30, math.ceil(math.log2(leaves)) + 2)
+def depth_of(leaves: int | None) -> int:
+    """Tree depth that leaves room for a number of leaves; Spark has no cap on leaves. None is the deepest tree."""
+    depth = MAX_DEPTH if leaves is None else math.ceil(math.log2(leaves)) + 2
+    if depth > MAX_DEPTH:
+        raise ValueError(f"{leaves} leaves need a depth of {depth}; Spark's trees end at {MAX_DEPTH}")
+    return depth
+
+
+def _leaves(given) -> int | None:
+    return None if given is None else int(given)
 
 
 def classifier(name: str, *params, n_rows: int = 1, multinomial: bool = True, max_iter: int = 100) -> Estimator:
     """Untrained classifier. ``params`` is C for ``svm`` and ``lr``; trees and leaves for ``rf``
-    and ``gbt``. The penalty weight is 1 / (C * n_rows)."""
+    and ``gbt``, where no leaves mean no cap; neighbours, weights and norm for ``knn``. The penalty
+    weight is 1 / (C * n_rows)."""
     if name == "nb":
         return NaiveBayes(modelType="multinomial", smoothing=1.0)
     if name == "svm":
@@ -35,13 +46,36 @@ def classifier(name: str, *params, n_rows: int = 1, multinomial: bool = True, ma
         lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=1e-3, standardization=False, family="multinomial" if multinomial else "auto")
         return lr if multinomial else OneVsRest(classifier=lr, parallelism=4)
     if name == "rf":
-        return RandomForestClassifier(numTrees=int(params[0]), maxDepth=depth_of(int(params[1])), seed=SEED)
+        return RandomForestClassifier(numTrees=int(params[0]), maxDepth=depth_of(_leaves(params[1])), seed=SEED)
+    if name == "knn":
+        return KNNEstimator(int(params[0]), str(params[1]), int(params[2]))
     if name == "gbt":
-        tree = GBTClassifier(maxIter=int(params[0]), maxDepth=depth_of(int(params[1])), seed=SEED)
+        tree = GBTClassifier(maxIter=int(params[0]), maxDepth=depth_of(_leaves(params[1])), seed=SEED)
         return OneVsRest(classifier=tree, parallelism=4)
     raise ValueError(f"unknown classifier {name!r}")
 
 
+class KNNEstimator:
+    """Nearest neighbours in the place of an estimator: fitting keeps the rows, predicting searches them."""
+
+    def __init__(self, neighbours: int, weights: str, norm: int):
+        self.neighbours, self.weights, self.norm = neighbours, weights, norm
+        self.train: DataFrame | None = None
+
+    def fit(self, train: DataFrame) -> KNNEstimator:
+        fitted = KNNEstimator(self.neighbours, self.weights, self.norm)
+        rows = train.select("label", vector_to_array("features").alias("v"))
+        fitted.train = rows.withColumn("row", F.xxhash64("v", "label", F.monotonically_increasing_id()))
+        return fitted
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        asked = rows.withColumn("v", vector_to_array("features")).withColumn("row", F.xxhash64("v", F.monotonically_increasing_id()))
+        asked = asked.persist(StorageLevel.MEMORY_AND_DISK)  # both uses must see the same row numbers
+        near = knn(asked.select("row", "v"), self.train, "row", "v", self.neighbours, self.norm, carry="label")
+        votes = knn_vote(near, "row", "label", self.weights).withColumnRenamed("pred", "prediction")
+        return asked.join(votes, "row").drop("row", "v")
+
+
 def timed_predictions(model, df: DataFrame) -> tuple[DataFrame, float]:
     """Confusion matrix of a model on labelled vectors, computed once and held, and the seconds."""
     start = time.perf_counter()

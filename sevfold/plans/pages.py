@@ -8,9 +8,11 @@ from sevfold.functions.text import strip
 
 # Where a vulnerability page holds its fields.
 CVE_RULES = {
-    "cve_id": r'(?s)id="contentdiv".*?<h1[^>]*>.*?<a[^>]*>\s*(.*?)\s*</a>',
-    "cvss_vector": r">\s*(CVSS:3[^<]*?)\s*<",
+    "cve_id": r"""(?s)id=["']contentdiv["'].*?<h1[^>]*>.*?<a[^>]*>\s*(.*?)\s*</a>""",
 }
+SCORE_TABLE = r"""(?s)id=["']contentdiv["'].*?<table\b[^>]*\bclass=["']table table-borderless["'][^>]*>(.*?)</table>"""
+VECTOR = r">\s*(CVSS:3[^<]*?)\s*<"
+REFERENCE_LIST = r"""(?s)<div\b[^>]*\bstyle=["']overflow-x: scroll["'][^>]*>.*?<ul\b[^>]*\bclass=["']list-group rounded-0["'][^>]*>(.*?)</ul>"""
 SCORE_ROW = r"<td[^>]*\bps-2\b"
 SCORE_CELL = r'(?s)<td[^>]*\bps-2\b[^>]*>(.*?)</td>'
 HREF = r"""<a\b[^>]*?\bhref=["']([^"']*)["']"""
@@ -31,16 +33,25 @@ def plain_text(html: Column) -> Column:
 
 
 def cve_records(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Id, vector, score and severity of vulnerability pages. The last score row counts."""
+    """Id, vector, score and severity of vulnerability pages.
+
+    Vector and scores are looked for in the score table only; its last score row counts, and
+    the last vector in the score cells of any row.
+    """
     with_rules = extract_fields(pages, html, CVE_RULES)
-    table_rows = F.transform(F.split(F.col(html), r"<tr\b"), lambda r: F.substring_index(r, "</tr>", 1))
-    last_row = F.try_element_at(F.filter(table_rows, lambda r: r.rlike(SCORE_ROW)), F.lit(-1))
-    cells = F.regexp_extract_all(F.col("_row"), F.lit(SCORE_CELL), F.lit(1))
+    table_rows = F.transform(F.split(F.col("_table"), r"<tr\b"), lambda r: F.substring_index(r, "</tr>", 1))
+    score_rows = F.filter(table_rows, lambda r: r.rlike(SCORE_ROW))
+    cells = F.regexp_extract_all(F.try_element_at("_rows", F.lit(-1)), F.lit(SCORE_CELL), F.lit(1))
+    every_cell = F.flatten(F.transform("_rows", lambda r: F.regexp_extract_all(r, F.lit(SCORE_CELL), F.lit(1))))
+    vectors = F.flatten(F.transform(every_cell, lambda c: F.regexp_extract_all(c, F.lit(VECTOR), F.lit(1))))
     return (
-        with_rules.withColumn("_row", last_row)
-        .withColumn("_cells", cells)
-        .withColumns({"base_score": plain_text(F.get("_cells", F.lit(0))), "base_severity": plain_text(F.get("_cells", F.lit(1)))})
-        .drop("_row", "_cells")
+        with_rules.withColumn("_table", F.regexp_extract(html, SCORE_TABLE, 1))
+        .withColumn("_rows", score_rows).withColumn("_cells", cells)
+        .withColumns({
+            "cvss_vector": F.try_element_at(vectors, F.lit(-1)),
+            "base_score": plain_text(F.get("_cells", F.lit(0))), "base_severity": plain_text(F.get("_cells", F.lit(1))),
+        })
+        .drop("_table", "_rows", "_cells")
     )
 
 
@@ -61,7 +72,8 @@ def extract_links(html: Column, must: list[str]) -> Column:
 
 
 def code_links(html: Column) -> Column:
-    return extract_links(html, ["github.com", "commit"])
+    """Links to commits in the page's list of references; links elsewhere do not count."""
+    return extract_links(F.regexp_extract(html, REFERENCE_LIST, 1), ["github.com", "commit"])
 
 
 def year_links(links: DataFrame, text: str, href: str, lo: int = 2023, hi: int = 2023, site: str = SITE) -> DataFrame:

@@ -46,7 +46,7 @@ LABEL_WORDS = {
 def prompt_text(template: str, a: Column, b: Column, mask: str) -> Column:
     """The template as a concatenation of its fixed parts and the two texts."""
     pieces = [template]
-    for mark in ("{a}", "{b}"):
+    for mark in ("{a}", "{b}"):  # each is in a template once at most
         pieces = [x for piece in pieces for x in (_around(piece, mark) if mark in piece else [piece])]
     values = {"{a}": a, "{b}": b}
     return F.concat(*[values.get(p, F.lit(p.replace("{mask}", mask))) for p in pieces if p])
@@ -73,6 +73,28 @@ def render_prompt(examples: DataFrame, variant: str, mask: str = "<mask>") -> Da
     return examples.withColumn("prompt", text)
 
 
+def prompt_pieces(variant: str) -> list[tuple[str, bool]]:
+    """Pieces of a template in order, each with whether it is trained as soft tokens."""
+    pieces = [(TEMPLATES[variant], False)]
+    for part in SOFT_PARTS[variant]:
+        cut = []
+        for text, soft in pieces:
+            before, found, after = (text, "", "") if soft else text.partition(part)
+            cut += [(text, soft)] if not found else [(before, False), (part, True), (after, False)]
+        pieces = cut
+    return [(text, soft) for text, soft in pieces if text]
+
+
+def render_parts(examples: DataFrame, variant: str, mask: str = "<mask>") -> DataFrame:
+    """Add ``parts``: the pieces of the rendered prompt, each with whether its words are soft."""
+    return examples.withColumn("parts", parts_of(variant, F.col("text_a"), F.col("text_b"), mask))
+
+
+def parts_of(variant: str, a: Column, b: Column, mask: str) -> Column:
+    pieces = prompt_pieces(variant)
+    return F.array(*[F.struct(prompt_text(text, a, b, mask).alias("text"), F.lit(soft).alias("soft")) for text, soft in pieces])
+
+
 def argmax(scores: Column) -> Column:
     """Index from 0 of the largest score, the first one in a tie."""
     return F.array_position(scores, F.array_max(scores)) - 1
@@ -85,12 +107,16 @@ def label_word_table(df: DataFrame, words: dict[str, list[str]]) -> DataFrame:
 
 
 def verbalize(scores: DataFrame, key: str, words: dict[str, list[str]]) -> DataFrame:
-    """Class per row from ``key, word, score``: mean score of each class's words, then the largest."""
-    per_class = (
-        scores.join(F.broadcast(label_word_table(scores, words)), "word")
-        .groupBy(key, "class", "class_index")
-        .agg(F.avg("score").alias("score"))
+    """Class per row from ``key, word, score``: mean score of each class's words, then the largest.
+
+    The classes are known, so one aggregate holds all their means. Keys without any known word have no row.
+    """
+    means = scores.groupBy(key).agg(
+        *[F.avg(F.when(F.col("word").isin(ws), F.col("score"))).alias(f"_c{i}") for i, ws in enumerate(words.values())]
+    )
+    per_class = F.filter(
+        F.array(*[F.struct(F.col(f"_c{i}").alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("class")) for i, c in enumerate(words)]),
+        lambda c: c["score"].isNotNull(),
     )
-    return per_class.groupBy(key).agg(
-        F.min_by(F.struct("class", "class_index", "score"), F.struct(-F.col("score"), F.col("class_index"))).alias("_b")
-    ).select(key, F.col("_b.class").alias("pred_class"), F.col("_b.class_index").alias("pred"), F.col("_b.score").alias("score"))
+    best = means.withColumn("_b", F.array_max(per_class)).filter(F.col("_b").isNotNull())
+    return best.select(key, F.col("_b.class").alias("pred_class"), (-F.col("_b.order")).alias("pred"), F.col("_b.score").alias("score"))

@@ -17,10 +17,6 @@ def documents(t: Tables) -> DataFrame:
     return with_labels(t.documents)
 
 
-def texts(t: Tables) -> DataFrame:
-    return with_labels(t.texts)
-
-
 def with_labels(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"severity": F.expr(SEVERITY_SQL), "partition": F.expr(PARTITION_SQL)})
 
@@ -28,16 +24,16 @@ def with_labels(docs: DataFrame) -> DataFrame:
 DOCS = f"docs AS (SELECT *, {SEVERITY_SQL} AS severity, {PARTITION_SQL} AS partition FROM documents)"
 
 
-def funcs(t: Tables) -> DataFrame:
-    """Documents as functions with comments, tabs and a list of vulnerable lines."""
+def funcs(t: Tables, *keep: str) -> DataFrame:
+    """Documents as functions with comments, tabs and a list of vulnerable lines; ``keep`` names more columns."""
     code = F.replace(
         F.replace(F.col("text"), F.lit(", "), F.lit(" /* c */ ")), F.lit(". "), F.lit("; // n\n\t")
     )
     n = F.size(split_lines(F.col("func_before")))
     first, second = (F.col("id") % n + 1).cast("string"), ((F.col("id") * 7) % n + 1).cast("string")
     return (
-        texts(t)
-        .select(F.col("doc_id").alias("id"), F.col("source").alias("cve_id"), code.alias("func_before"), "lang", "n_chars", "severity", "partition")
+        documents(t)
+        .select(F.col("doc_id").alias("id"), F.col("source").alias("cve_id"), code.alias("func_before"), "lang", "n_chars", "severity", "partition", *keep)
         .withColumn("vul_line", F.when(first == second, first).otherwise(F.concat_ws(" ", first, second)))
     )
 

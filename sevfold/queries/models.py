@@ -11,60 +11,82 @@ from sevfold.operators.metrics import confusion, metrics_row
 from sevfold.plans import features as ft, models as md
 from sevfold.queries import derived as d
 from sevfold.queries.registry import Tables, query
+from sevfold.queries.text import CODE_TOKEN_SQL
 from sevfold.sources.paths import scratch
 
-TERMS = 300
-
-
 def vectors(t: Tables) -> DataFrame:
     """Documents as token counts, labelled with their language."""
     f = d.funcs(t)
     train = f.filter("partition = 'train'")
-    model = ft.bow_model(train, "func_before", max_features=TERMS, out="features")
+    model = ft.bow_model(train, "func_before", out="features")
     indexer = ft.indexed_label("lang").fit(train)
     return indexer.transform(ft.bow_vectors(f, model, "func_before")).select("id", "partition", "label", "features")
 
 
-@query("m1_bow_vectors")
+def stored(vec: str):
+    """Indices and values that a vector stores."""
+    return F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), "v struct<indices: array<int>, values: array<double>>")["v"]
+
+
+def counts_sql(table: str, key: str, text: str, fit: str = "TRUE") -> str:
+    """Token counts over the 10,000 most frequent tokens of the rows in ``fit``, tokens as alphabetical numbers."""
+    return f"""tokens AS (SELECT {key} AS doc_key, {fit} AS fitted, unnest(regexp_extract_all({text}, {CODE_TOKEN_SQL})) AS term FROM {table}),
+vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM (SELECT term FROM tokens WHERE fitted GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 10000)),
+counted AS (SELECT doc_key, CAST(place AS INT) AS place, count(*)::DOUBLE AS n FROM tokens JOIN vocab USING (term) GROUP BY 1, 2)"""
+
+
+@query(
+    "m1_bow_vectors",
+    f"""WITH {d.FUNCS}, {counts_sql('funcs', 'id', 'func_before', "partition = 'train'")},
+        labels AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM funcs WHERE partition = 'train'))
+        SELECT id, any_value(label)::DOUBLE AS label, coalesce(sum(n), 0)::DOUBLE AS n_tokens FROM funcs JOIN labels USING (lang) LEFT JOIN counted ON doc_key = id GROUP BY 1""",
+)
 def m1(t: Tables) -> DataFrame:
-    counted = vectors(t).select("id", "label", vector_to_array("features").alias("v"))
+    counted = vectors(t).select("id", "label", ft.stored_values("features").alias("v"))
     return counted.select("id", "label", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("n_tokens"))
 
 
 @query("m2_desc_vectors")
 def m2(t: Tables) -> DataFrame:
-    docs = d.texts(t).select("doc_id", "text", "partition")
+    docs = d.documents(t).select("doc_id", "text", "partition")
     out = ft.desc_vectors(docs, docs.filter("partition = 'train'"), "text", 6)
     kept = ft.drop_empty_vectors(out, "features").select("doc_id", ft.stored_values("features").alias("v"))
     return kept.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
-@query("m4_assemble")
+@query(
+    "m4_assemble",
+    """SELECT vec_id, CAST(unnest(range(len(embedding) + 1)) AS INT) AS at,
+              round(unnest(list_append(embedding::DOUBLE[], label::DOUBLE)), 9) AS value FROM embeddings""",
+)
 def m4(t: Tables) -> DataFrame:
     blocks = ft.embedding_features(t.embeddings, "embedding", "a").withColumn("b", F.col("label").cast("double"))
     both = ft.assemble(blocks, ["a", "b"])
-    return both.select("vec_id", F.size(vector_to_array("features")).alias("size"))
+    return both.select("vec_id", F.posexplode(vector_to_array("features")).alias("at", "value")).withColumn("value", F.round("value", 9))
 
 
 @query("m5_word_vectors")
 def m5(t: Tables) -> DataFrame:
-    return ft.train_word_vectors(t.texts, "text", size=16, epochs=1).select("word", F.size(vector_to_array("vector")).alias("size"))
+    return ft.train_word_vectors(t.documents, "text", min_count=2).select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
 @query("m7_pair_features")
 def m7(t: Tables) -> DataFrame:
-    texts = t.texts.select("doc_id", F.col("text").alias("prev"), F.replace(F.col("text"), F.lit(". "), F.lit(" ##<END>##\n")).alias("cur"))
-    words = ft.train_word_vectors(texts, "prev", size=16, min_count=1, epochs=1)
-    bow = ft.bow_model(texts, "prev", max_features=TERMS)
-    pairs = ft.pair_features(texts, "doc_id", "prev", "cur", words.withColumn("vector", vector_to_array("vector")), bow, size=16)
+    texts = t.documents.select("doc_id", F.col("text").alias("prev"), F.replace(F.col("text"), F.lit(". "), F.lit(" ##<END>##\n")).alias("cur"))
+    words = ft.train_word_vectors(texts, "prev", min_count=1)
+    bow = ft.bow_model(texts, "prev")
+    pairs = ft.pair_features(texts, "doc_id", "prev", "cur", words.withColumn("vector", vector_to_array("vector")), bow)
     return pairs.select("doc_id", F.size(vector_to_array("features")).alias("size"))
 
 
-@query("m7_side_features")
+SIDE_SQL = f"WITH {counts_sql('documents', 'doc_id', 'text')} SELECT doc_key AS doc_id, place, n FROM counted"
+
+
+@query("m7_side_features", SIDE_SQL)
 def m7b(t: Tables) -> DataFrame:
-    bow = ft.bow_model(t.texts, "text", max_features=TERMS)
-    side = ft.side_features(t.texts, "doc_id", "text", bow)
-    return side.select("doc_id", F.size(vector_to_array("features")).alias("size"))
+    bow = ft.bow_model(t.documents, "text")
+    side = ft.side_features(t.documents, "doc_id", "text", bow)
+    return side.select("doc_id", F.inline(F.arrays_zip(stored("features")["indices"].alias("place"), stored("features")["values"].alias("n"))))
 
 
 def register_classifier(name: str, classifier: str, *params) -> None:
@@ -73,15 +95,16 @@ def register_classifier(name: str, classifier: str, *params) -> None:
         held = vectors(t)
         train = held.filter("partition = 'train'")
         n_rows = train.count() if classifier in ("svm", "lr") else 1
-        pred = md.predictions(md.classifier(classifier, *params, n_rows=n_rows, max_iter=20), train, held.filter("partition <> 'train'"), "id")
+        pred = md.predictions(md.classifier(classifier, *params, n_rows=n_rows), train, held.filter("partition <> 'train'"), "id")
         return metrics_row(confusion(pred, "gold", "pred"))
 
 
 register_classifier("m8_naive_bayes", "nb")
 register_classifier("m9_linear_svm", "svm", 0.1)
 register_classifier("m10_logistic_regression", "lr", 0.1)
-register_classifier("m11_random_forest", "rf", 10, 32)
-register_classifier("m12_boosted_trees", "gbt", 2, 4)
+register_classifier("m11_random_forest", "rf", 100, 100)
+register_classifier("m12_boosted_trees", "gbt", 10, 32)
+register_classifier("m13_knn_classifier", "knn", 5, "distance", 2)
 
 
 @query("m14_run_grid")
@@ -96,10 +119,11 @@ def m14b(t: Tables) -> DataFrame:
     return md.best_of_grid(md.run_grid(vectors(t), job, {"rf": [(5, 8), (10, 8)]}))
 
 
-@query("m17_save_load_model")
+@query("m17_save_load_model", SIDE_SQL)
 def m17(t: Tables) -> DataFrame:
     path = scratch(t.spark, "bow-model")
-    ft.save_model(ft.bow_model(t.texts, "text", max_features=TERMS), path)
+    ft.save_model(ft.bow_model(t.documents, "text"), path)
     loaded = ft.load_model(CountVectorizerModel, path)
-    counted = loaded.transform(t.texts.withColumn("tokens", code_tokens(F.col("text"))))
-    return counted.select("doc_id", F.size(vector_to_array(loaded.getOutputCol())).alias("size"))
+    counted = loaded.transform(t.documents.withColumn("tokens", code_tokens(F.col("text"))))
+    kept = stored(loaded.getOutputCol())
+    return counted.select("doc_id", F.inline(F.arrays_zip(kept["indices"].alias("place"), kept["values"].alias("n"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sevfold.plans import epochs as ep, results as rs
 from sevfold.queries import derived as d
@@ -86,6 +86,40 @@ def w6(t: Tables) -> DataFrame:
     return ep.check_log(d.epochs(t), RUN, n_loss=None, planned=None)
 
 
+LOG_FAULTS = {
+    1: "not three sections", 2: "epochs not consecutive", 3: "epochs not in order", 4: "planned epochs differ", 5: "not one loss line per epoch",
+    6: "not one validation line per epoch", 7: "not one validation line in the final part",
+}
+
+
+@query(
+    "w6_check_log_text",
+    "SELECT CAST(user_id AS VARCHAR) AS file, 3::BIGINT AS n_epochs, CASE user_id % 8 "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LOG_FAULTS.items()) + " END AS _error FROM (SELECT DISTINCT user_id FROM events)",
+)
+def w6_text(t: Tables) -> DataFrame:
+    """Logs of three epochs, seven of eight with one fault each."""
+    fault = F.col("user_id") % 8
+
+    def unless(k: int, sound, faulty) -> Column:
+        return F.when(fault == k, F.lit(faulty)).otherwise(F.lit(sound))
+
+    def epoch(number: Column, i: int) -> Column:
+        planned = unless(4, "3", str(i + 3))
+        loss = unless(5, "10/10 - 7s - loss: 0.5\n", "no line\n" if i == 1 else "10/10 - 7s - loss: 0.5\n")
+        val = unless(6, "Validation time: 1.5\n", "Validation time: 1.5\nValidation time: 2\n" if i == 2 else "Validation time: 1.5\n")
+        return F.concat(F.lit(ep.EPOCH_MARK), number, F.lit("/"), planned, F.lit("\n"), loss, val)
+
+    numbers = [unless(3, "1", "2"), unless(3, "2", "1"), unless(2, "3", "4")]
+    last = F.concat(F.lit(ep.FINAL_MARK), unless(7, "\nValidation time: 3\n", "\nnothing\n"))
+    text = F.concat(
+        F.lit(f"{ep.PARTITION_MARK} 0\n{ep.RUN_MARK}0\n"), *[epoch(n, i) for i, n in enumerate(numbers)],
+        F.lit(f"{ep.FINAL_MARK}\nValidation time: 2\n"), F.when(fault == 1, "").otherwise(last),
+    )
+    logs = t.events.select("user_id").distinct().select(F.col("user_id").cast("string").alias("file"), text.alias("text"))
+    return ep.check_log(ep.parse_log(logs), ["file"]).withColumn("n_epochs", F.col("n_epochs").cast("long"))
+
+
 @query(
     "a21_epoch_loss",
     """SELECT user_id AS run, CAST((CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 43200 AS INT) + 1 AS epoch,

@@ -9,6 +9,7 @@ from sevfold.plans.pages import field, hrefs
 from sevfold.plans.slices import slice_table
 from sevfold.queries import derived as d
 from sevfold.queries.registry import Tables, query
+from sevfold.queries.text import SCOPE_SQL
 from sevfold.sources import readers, writers
 from sevfold.sources.paths import scratch
 
@@ -23,7 +24,7 @@ def s1(t: Tables) -> DataFrame:
 def s2(t: Tables) -> DataFrame:
     path = scratch(t.spark, "csv")
     writers.write_table(t.documents.select("doc_id", "source", "text"), path, "csv")
-    return readers.read_csv(t.spark, path, "doc_id bigint, source string, text string")
+    return readers.read_csv(t.spark, path, "doc_id bigint, source string, text string", multi_line=True)
 
 
 @query(
@@ -121,15 +122,14 @@ def s9(t: Tables) -> DataFrame:
 
 @query(
     "s10_write_slices_parquet",
-    f"""WITH {d.FUNCS} SELECT id AS key, severity, partition, length(func_before) AS n_before FROM funcs""",
+    f"""WITH {d.FUNCS} SELECT id AS key, severity, partition, md5({SCOPE_SQL["whole"]}) AS code FROM funcs""",
 )
 def s10(t: Tables) -> DataFrame:
     path = scratch(t.spark, "slices")
     f = d.funcs(t)
     writers.write_table(slice_table(f, "whole", ["severity", "partition"]), path)
     back = readers.read_table(t.spark, path, "key bigint, severity string, partition string, code string")
-    sizes = f.select(F.col("id").alias("key"), F.length("func_before").cast("long").alias("n_before"))
-    return back.join(sizes, "key").select("key", "severity", "partition", "n_before")
+    return back.withColumn("code", F.md5("code"))
 
 
 QUARANTINE_SQL = """

@@ -130,7 +130,7 @@ EXAMPLES = f"""{d.FUNCS}, cut AS (
 
 
 def examples(t: Tables) -> DataFrame:
-    described = d.funcs(t).join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("description")), "id")
+    described = d.funcs(t, "text").withColumn("description", F.col("text"))
     return pr.prompt_examples(described.withColumn("label", cvss.severity_code(F.col("severity"))), "id", "func_before", "description", "label")
 
 
@@ -150,6 +150,32 @@ def f13(t: Tables) -> DataFrame:
     return base.select("guid", rendered)
 
 
+def _parts_sql() -> str:
+    """Texts and softness of the parts of each variant, written out from the tables of templates."""
+    rows = []
+    for variant in pr.TEMPLATES:
+        values = {"{a}": "a", "{b}": "b"}
+        for i, (text, soft) in enumerate(pr.prompt_pieces(variant)):
+            text = text.replace("{mask}", "<mask>")
+            sql = sql_text(text)
+            for mark, column in values.items():
+                sql = sql.replace(mark, f"' || {column} || '")
+            rows.append(f"SELECT id AS guid, '{variant}' AS variant, {i}::INT AS place, md5({sql}) AS text, {str(soft).upper()} AS soft FROM cut")
+    return " UNION ALL ".join(rows)
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query("f13_prompt_parts", f"WITH {EXAMPLES} {_parts_sql()}")
+def f13b(t: Tables) -> DataFrame:
+    base = examples(t)
+    variants = [F.struct(F.lit(v).alias("variant"), pr.parts_of(v, F.col("text_a"), F.col("text_b"), "<mask>").alias("parts")) for v in pr.TEMPLATES]
+    flat = base.select("guid", F.inline(F.array(*variants))).select("guid", "variant", F.posexplode("parts").alias("place", "p"))
+    return flat.select("guid", "variant", "place", F.md5("p.text").alias("text"), "p.soft")
+
+
 @query("f14_concat_prompt", f"WITH {EXAMPLES} SELECT id AS guid, {PROMPT_SQL['concat']} AS prompt FROM cut")
 def f14(t: Tables) -> DataFrame:
     return pr.render_prompt(examples(t), "concat").select("guid", "prompt")
@@ -160,10 +186,6 @@ def f15(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
-def sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 STOP_SQL = "[" + ", ".join(sql_text(w) for w in [*tx.STOP_WORDS, tx.EXTRA_STOP_WORD]) + "]"
 
 
@@ -197,7 +219,7 @@ DESC_SQL = "list_filter(regexp_extract_all(lower(text), '\\S*[A-Za-z]\\S+'), lam
 
 @query("f19_desc_tokens", f"SELECT doc_id, array_to_string({DESC_SQL}, ' ') AS tokens FROM documents")
 def f19(t: Tables) -> DataFrame:
-    return t.texts.select("doc_id", F.array_join(tx.desc_tokens(F.col("text")), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(tx.desc_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(
@@ -210,7 +232,7 @@ def f19(t: Tables) -> DataFrame:
         SELECT gram, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY 1""",
 )
 def f20(t: Tables) -> DataFrame:
-    words = t.texts.select(tx.desc_tokens(F.col("text")).alias("w"))
+    words = t.documents.select(tx.desc_tokens(F.col("text")).alias("w"))
     return words.select(F.explode(tx.ngrams(F.col("w"), 1, 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -226,7 +248,7 @@ grams AS (SELECT doc_id, n, CASE n WHEN 2 THEN c1 || c2 WHEN 3 THEN c1 || c2 ||
 @query("f21_char_ngrams", f"WITH {GRAMS_SQL} SELECT gram, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY 1")
 def f21(t: Tables) -> DataFrame:
     grams = F.explode(tx.char_ngrams(F.col("text"), 3, 6)).alias("gram")
-    return t.texts.select(grams).groupBy("gram").agg(F.count("*").alias("n"))
+    return t.documents.select(grams).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -235,7 +257,7 @@ def f21(t: Tables) -> DataFrame:
         WHERE regexp_matches(gram, '^\\s*\\S\\S+\\s*$') GROUP BY 1""",
 )
 def f22(t: Tables) -> DataFrame:
-    counts = t.texts.select("doc_id", F.size(tx.usable_grams(tx.char_ngrams(F.col("text"), 3, 6))).cast("long").alias("n"))
+    counts = t.documents.select("doc_id", F.size(tx.usable_grams(tx.char_ngrams(F.col("text"), 3, 6))).cast("long").alias("n"))
     return counts.filter("n > 0")
 
 

@@ -32,21 +32,21 @@ def a15(t: Tables) -> DataFrame:
 @query(
     "a15_vocabulary_by_share",
     f"""WITH {CODE_TERMS}, stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM terms GROUP BY 1)
-        SELECT term, df, cf FROM stats WHERE df >= 0.01::DOUBLE * (SELECT count(*) FROM funcs) ORDER BY cf DESC, term LIMIT 500""",
+        SELECT term, df, cf FROM stats WHERE df >= 0.01::DOUBLE * (SELECT count(*) FROM funcs) """,
 )
 def a15b(t: Tables) -> DataFrame:
     f = d.funcs(t)
-    return vocabulary(term_table(f, ["id"], code_tokens(F.col("func_before"))), count_docs(f), min_df=0.01, max_features=500)
+    return vocabulary(term_table(f, ["id"], code_tokens(F.col("func_before"))), count_docs(f), min_df=0.01, max_features=None)
 
 
 @query(
     "m1_bow_counts",
-    f"""WITH {CODE_TERMS}, vocab AS (SELECT term FROM terms WHERE partition = 'train' GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 2000)
+    f"""WITH {CODE_TERMS}, vocab AS (SELECT term FROM terms WHERE partition = 'train' GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000)
         SELECT id, term, CAST(tf AS INT) AS tf FROM terms WHERE term IN (SELECT term FROM vocab)""",
 )
 def m1(t: Tables) -> DataFrame:
     f = d.funcs(t)
-    return ft.bow_counts(f, f.filter("partition = 'train'"), "id", "func_before", max_features=2000)
+    return ft.bow_counts(f, f.filter("partition = 'train'"), "id", "func_before")
 
 
 def _desc_sql(hi: int) -> str:
@@ -71,7 +71,7 @@ def register_desc(config: int) -> None:
 
     @query(f"m2_desc_features_config{config}", sql)
     def weighted(t: Tables) -> DataFrame:
-        docs = d.texts(t).select("doc_id", "text", "partition")
+        docs = d.documents(t).select("doc_id", "text", "partition")
         out = ft.desc_features(docs, docs.filter("partition = 'train'"), "doc_id", "text", config)
         return out.withColumn("weight", F.round("weight", 6))
 
@@ -90,7 +90,7 @@ words AS (SELECT term FROM all_words WHERE term NOT IN (SELECT term FROM slt))""
 
 @query("u4_vocabulary_difference", f"WITH {d.DOCS}, {TRAIN_GRAMS} SELECT term FROM words")
 def u4(t: Tables) -> DataFrame:
-    train = d.texts(t).filter("partition = 'train'")
+    train = d.documents(t).filter("partition = 'train'")
     words = vocabulary(term_table(train, ["doc_id"], code_tokens(F.col("text")))).select("term")
     return ft.vocabulary_difference(words, ft.gram_vocabulary(train, "text"))
 
@@ -102,17 +102,17 @@ def u4(t: Tables) -> DataFrame:
         UNION ALL SELECT doc_id, 'char', gram, CAST(count(*) AS INT) FROM grams WHERE gram IN (SELECT term FROM slt) GROUP BY 1, 2, 3""",
 )
 def m3(t: Tables) -> DataFrame:
-    docs = d.texts(t).select("doc_id", "text", "partition")
+    docs = d.documents(t).select("doc_id", "text", "partition")
     return ft.subword_features(docs, docs.filter("partition = 'train'"), "doc_id", "text")
 
 
 @query(
     "j6_join_vectors",
-    f"WITH {d.TOKENS_VEC} SELECT doc_id, CAST(pos AS INT) AS pos, vec_id, label, embedding[1] AS e1 FROM tokens_vec JOIN embeddings USING (vec_id)",
+    f"WITH {d.TOKENS_VEC} SELECT doc_id, CAST(pos AS INT) AS pos, vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM tokens_vec JOIN embeddings USING (vec_id)",
 )
 def j6(t: Tables) -> DataFrame:
     found = join_vectors(d.tokens_vec(t), t.embeddings, "vec_id")
-    return found.select("doc_id", "pos", "vec_id", "label", F.col("embedding")[0].alias("e1"))
+    return found.select("doc_id", "pos", "vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(

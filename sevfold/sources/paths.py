@@ -11,9 +11,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set."""
+    """Folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a job on one machine gets a temporary folder; on a cluster that is an
+    error, since executors would each write to their own disk.
+    """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sevfold-")
         spark.conf.set(SETTING, folder)
     return folder

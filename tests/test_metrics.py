@@ -94,6 +94,35 @@ def test_wilcoxon_cuts_longer_group_and_drops_equal_pairs(spark):
     assert (r is None) or r["n_pairs"] + r["n_equal"] == 5
 
 
+def test_one_sided_and_one_row_scenarios_give_nulls(spark):
+    rows = [(1, "A", 1.0, "one"), (2, "A", 2.0, "one"), (3, "B", 1.0, "row"), (4, "A", 1.0, "both"), (5, "B", 2.0, "both")]
+    df = spark.createDataFrame(rows, "id int, g string, v double, k string")
+    u = {r["k"]: (r["U"], r["z"], r["p_value"]) for r in st.mann_whitney(df, "g", "v", ["k"]).collect()}
+    assert u["one"] == u["row"] == (None, None, None) and u["both"][0] == 0.0 and u["both"][2] is not None
+    assert {r["k"] for r in st.wilcoxon(df, "g", "v", ["k"], ["id"]).collect()} == {"both"}
+    frame = df.select("id", F.lit("cvss2_auth").alias("scenario"), F.col("v").alias("mcc"), F.col("v").alias("f1"))
+    report = st.compare(frame, frame.limit(0), ["id"]).collect()
+    assert len(report) == 2 and all(r["mwyu_mcc"] is None and r["n_B_mcc"] == 0 for r in report)
+
+
+@pytest.mark.parametrize("n_a,n_b", [(3, 5), (8, 40), (40, 8), (1, 9)])
+def test_exact_u_tail_counts(n_a, n_b):
+    ways = {(0, 0): {0: 1}}
+    for i in range(n_a + 1):
+        for j in range(n_b + 1):
+            if i + j:
+                here = {}
+                for u, c in ways.get((i - 1, j), {}).items():
+                    here[u + j] = here.get(u + j, 0) + c
+                for u, c in ways.get((i, j - 1), {}).items():
+                    here[u] = here.get(u, 0) + c
+                ways[i, j] = here
+    counts = ways[n_a, n_b]
+    total = sum(counts.values())
+    for u in range(0, n_a * n_b + 1, max(1, n_a * n_b // 9)):
+        assert st._exact_u_tail(u, n_a, n_b) == pytest.approx(sum(c for x, c in counts.items() if x >= u) / total, rel=1e-12)
+
+
 def test_cohen_d_without_spread(spark):
     assert st.cohen_d(groups(spark, [1, 1], [2, 2]), "g", "v", ["k"]).first()["cohen_d"] is None
 

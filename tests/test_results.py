@@ -115,7 +115,7 @@ def test_classifiers_learn(spark):
     rows = [(i, float(i % 3), [float(i % 3 == j) * 3 + 0.1 * ((i * 7 + j) % 5) for j in range(3)], ("train", "train", "train", "valid", "test")[i % 5]) for i in range(150)]
     df = spark.createDataFrame(rows, "id int, label double, v array<double>, partition string").withColumn("features", array_to_vector("v"))
     job = {"problem": "p", "granularity": "method", "scope": "whole", "feature": "bow"}
-    models = {"nb": [()], "svm": [(1,)], "lr": [(10,)], "rf": [(5, 8)], "gbt": [(2, 4)]}
+    models = {"nb": [()], "svm": [(1,)], "lr": [(10,)], "rf": [(5, 8), (3, None)], "gbt": [(2, 4)], "knn": [(5, "distance", 2), (3, "uniform", 1)]}
     out = md.run_grid(df, job, models).collect()
-    assert [r["classifier"] for r in out] == list(models)
+    assert [r["classifier"] for r in out] == [name for name, grid in models.items() for _ in grid]
     assert all(r["val_mcc"] > 0.9 and r["test_acc"] > 0.9 for r in out)

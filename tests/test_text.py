@@ -1,5 +1,7 @@
 """Tokens, grams, stems, labels and page fields on hand-made cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,12 +118,38 @@ def test_partial_score(spark, a, b, score):
 
 
 def test_pages(spark):
-    html = '<a class="x" href="https://github.com/a/commit/1">1</a><a href="https://github.com/a/issues">2</a>'
+    links = '<a class="x" href="https://github.com/a/commit/1">1</a><a href="https://github.com/a/issues">2</a>'
+    html = f'<a href="https://github.com/b/commit/2">x</a><div style="overflow-x: scroll"><ul class="list-group rounded-0"><li>{links}</li></ul></div>'
     assert one(spark, html, pg.code_links) == ["https://github.com/a/commit/1"]
     links = spark.createDataFrame([("2023", "/y/2023"), (" 2023 ", "/b"), ("2022", "/c"), ("x", "/d"), ("99999999999", "/e")], "text string, href string")
     assert sorted(r["url"] for r in pg.year_links(links, "text", "href").collect()) == [pg.SITE + "/b", pg.SITE + "/y/2023"]
 
 
+def test_fields_come_from_the_score_table_only(spark):
+    cell = lambda s: f'<td class="ps-2"><div>{s}</div></td>'
+    vector = '<td class="ps-2"><a href="#"> CVSS:3.1/AV:N </a></td>'
+    table = f"<table class='table table-borderless'><tr>{cell('1.0')}{cell('LOW')}</tr><tr>{cell('9.8')}{cell('CRITICAL')}{vector}</tr></table>"
+    page = f"<a>CVSS:3.0/DECOY</a><div id='contentdiv'><h1><a>CVE-1</a></h1>{table}</div><table><tr>{cell('7')}</tr></table><a>CVSS:3.1/LATE</a>"
+    df = spark.createDataFrame([(1, page), (2, page.replace("table table-borderless", "other"))], "id int, html string")
+    got = {r["id"]: (r["cve_id"], r["cvss_vector"], r["base_score"], r["base_severity"]) for r in pg.cve_records(df).collect()}
+    assert got == {1: ("CVE-1", "CVSS:3.1/AV:N", "9.8", "CRITICAL"), 2: ("CVE-1", None, None, None)}
+
+
+def test_tokens_of_long_junk_are_linear(spark):
+    start = time.perf_counter()
+    assert one(spark, "1" * 100_000 + " ab", tx.desc_tokens) == ["ab"]
+    assert time.perf_counter() - start < 5
+
+
+def test_prompt_parts_differ_by_variant(spark):
+    df = spark.createDataFrame([(1, "a", "b", "0")], "id int, code string, description string, severity string")
+    examples = pr.prompt_examples(df, "id", "code", "description", "severity")
+    parts = {v: [(p["text"], p["soft"]) for p in pr.render_parts(examples, v).first()["parts"]] for v in pr.TEMPLATES}
+    assert all("".join(t for t, _ in parts[v]) == pr.render_prompt(examples, v).first()["prompt"] for v in parts)
+    assert parts["mixed"] != parts["hard"] and parts["soft"] != parts["other_model"]
+    assert [t for t, soft in parts["soft"] if soft] == pr.SOFT_PARTS["soft"]
+
+
 def test_prompts(spark):
     text = " ".join(f"w{i}" for i in range(400))
     df = spark.createDataFrame([(7, text, text, "3")], "id int, code string, description string, severity string")
