@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -22,18 +23,31 @@ j8_knn_l2 m6_mean_vector f29_extract_fields f17_stem_tokens m8_naive_bayes m11_r
 """.split()
 
 
+def prepared(spark: SparkSession, folder: str) -> str:
+    """The tables with ``documents`` in one file per core: the given one is a single row group, that is one task."""
+    for name in os.listdir(SF_DIR):
+        if name != "documents.parquet":
+            os.symlink(os.path.join(SF_DIR, name), os.path.join(folder, name))
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(int(CPUS)).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
 def main(names: list[str]) -> None:
+    scratch = tempfile.mkdtemp(prefix="bench-")
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{scratch}/shared").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    QUERIES["flagship_metrics_by_lang"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    os.mkdir(f"{scratch}/tables")
+    tables = prepared(spark, f"{scratch}/tables")
+    QUERIES["flagship_metrics_by_lang"](spark, tables).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)

@@ -1,13 +1,15 @@
 """Exact nearest neighbours under the L1 or L2 norm.
 
-Train rows are put in cells around a few pivots. By the triangle inequality a query needs only
-the cells that reach into its own k-th best bound, so no all-pairs join is made. Cells of any
-size are cut in chunks; one task compares one chunk of train rows with one chunk of queries and
-keeps the k nearest per query.
+Train rows are put in cells around pivots, whose number grows with the root of the rows. A query
+is first compared with its own cell, which gives it a true k-th distance. By the triangle
+inequality it then needs only the other cells that reach within that distance. Cells of any size
+are cut in chunks; one task compares one chunk of train rows with one chunk of queries and keeps
+the k nearest per query. Where vectors do not cluster, every cell may be within reach.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sevfold.sources.paths import ensure_checkpoint_dir
+
 SLACK = 1e-9
 BLOCK_CELLS = 4_000_000  # numbers in one block of differences
+MIN_PIVOTS, MAX_PIVOTS = 32, 4096
 
 
 def _distances(rows: np.ndarray, point: np.ndarray, p: int) -> np.ndarray:
@@ -37,12 +42,17 @@ class Cells:
     size: np.ndarray
     inner: list[np.ndarray]
 
-    def candidates(self, point: np.ndarray, k: int, p: int) -> list[int]:
-        to_pivot = _distances(self.pivots, point, p)
-        upper = np.sort(np.concatenate([d + inner for d, inner in zip(to_pivot, self.inner)]))
-        bound = upper[k - 1] if upper.size >= k else np.inf
-        near = (self.size > 0) & (to_pivot - self.radius <= bound * (1 + SLACK) + SLACK)
-        return np.flatnonzero(near).tolist()
+    def candidates(self, points: np.ndarray, reach: np.ndarray, own: np.ndarray, k: int, p: int) -> list[list[int]]:
+        """Cells besides ``own`` that may hold a row within ``reach`` of each point, or among its k nearest."""
+        to_pivot = np.stack([_distances(points, pivot, p) for pivot in self.pivots], axis=1)
+        inner = np.concatenate(self.inner) if self.inner else np.empty(0)
+        at = np.repeat(np.arange(len(self.pivots)), [len(i) for i in self.inner])
+        if len(inner) >= k:
+            upper = np.partition(to_pivot[:, at] + inner, k - 1, axis=1)[:, k - 1]
+            reach = np.fmin(reach, upper)
+        near = (self.size > 0) & (to_pivot - self.radius <= reach[:, None] * (1 + SLACK) + SLACK)
+        near[np.arange(len(points)), own] = False
+        return [np.flatnonzero(row).tolist() for row in near]
 
 
 def pick_pivots(train: DataFrame, key: str, vec: str, n: int) -> np.ndarray:
@@ -76,9 +86,28 @@ def describe_cells(assigned: DataFrame, pivots: np.ndarray, k: int) -> Cells:
     return Cells(pivots, radius, size, [np.array(d) for d in per_cell])
 
 
+def _chunked(visits: DataFrame, assigned: DataFrame, sizes: np.ndarray, chunk_rows: int, compare, schema: str) -> DataFrame:
+    """Compare visiting queries with the rows of their cells, chunk by chunk."""
+    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    def chunks(counts: dict[int, int]):
+        needed = [F.lit(max(1, -(-int(counts.get(c, 0)) // chunk_rows))) for c in range(len(sizes))]
+        return F.element_at(F.array(*needed), F.col("cell") + 1)
+
+    row_chunks, query_chunks = chunks(dict(enumerate(sizes))), chunks(load)
+    left = visits.withColumn("qc", F.pmod(F.xxhash64("query"), query_chunks).cast("int")).withColumn(
+        "rc", F.explode(F.sequence(F.lit(0), row_chunks - 1))
+    )
+    right = assigned.withColumn("rc", F.pmod(F.xxhash64("neighbour"), row_chunks).cast("int")).withColumn(
+        "qc", F.explode(F.sequence(F.lit(0), query_chunks - 1))
+    )
+    by = ["cell", "rc", "qc"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, schema)
+
+
 def knn(
     test: DataFrame, train: DataFrame, key: str, vec: str, k: int, p: int = 2, carry: str | None = None,
-    exclude_self: bool = False, pivots: int = 32, chunk_rows: int = 2048,
+    exclude_self: bool = False, pivots: int | None = None, chunk_rows: int = 2048,
 ) -> DataFrame:
     """The k nearest train rows of each test row: ``key, neighbour, distance, rank`` and ``carry``.
 
@@ -90,29 +119,13 @@ def knn(
     rows = train.select(F.col(key).alias("neighbour"), as_double, label)
     wanted = k + 1 if exclude_self else k
 
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(rows.count())))
     points = pick_pivots(rows, "neighbour", "vec", pivots)
-    assigned = assign_cells(rows, "vec", points, p)
+    ensure_checkpoint_dir(train.sparkSession)
+    assigned = assign_cells(rows, "vec", points, p).checkpoint()
     cells = describe_cells(assigned, points, wanted)
 
-    @pandas_udf("array<int>")
-    def candidate_cells(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: cells.candidates(np.asarray(v), wanted, p))
-
-    visits = queries.withColumn("cell", F.explode(candidate_cells(F.col("vec"))))
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-    def chunks(counts: dict[int, int]):
-        needed = [F.lit(max(1, -(-int(counts.get(c, 0)) // chunk_rows))) for c in range(len(points))]
-        return F.element_at(F.array(*needed), F.col("cell") + 1)
-
-    row_chunks, query_chunks = chunks(dict(enumerate(cells.size))), chunks(load)
-    left = visits.withColumn("qc", F.pmod(F.xxhash64("query"), query_chunks).cast("int")).withColumn(
-        "rc", F.explode(F.sequence(F.lit(0), row_chunks - 1))
-    )
-    right = assigned.withColumn("rc", F.pmod(F.xxhash64("neighbour"), row_chunks).cast("int")).withColumn(
-        "qc", F.explode(F.sequence(F.lit(0), query_chunks - 1))
-    )
-
     types = dict(rows.dtypes)
     schema = f"query {types['neighbour']}, neighbour {types['neighbour']}, distance double, carry {types['carry']}"
 
@@ -143,8 +156,17 @@ def knn(
             }
         )
 
-    by = ["cell", "rc", "qc"]
-    partial = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, schema)
+    at_home = assign_cells(queries, "vec", points, p).select("query", "vec", "cell").checkpoint()
+    own = _chunked(at_home, assigned, cells.size, chunk_rows, compare, schema).checkpoint()
+    kth = own.groupBy("query").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("query", F.get("d", F.lit(k - 1)).alias("reach"))
+
+    @pandas_udf("array<int>")
+    def other_cells(vectors: pd.Series, reach: pd.Series, home: pd.Series) -> pd.Series:
+        bound = reach.fillna(np.inf).to_numpy(dtype="float64")
+        return pd.Series(cells.candidates(_stacked(vectors), bound, home.to_numpy(), wanted, p)) if len(vectors) else pd.Series([], dtype=object)
+
+    visits = at_home.join(kth, "query", "left").withColumn("cell", F.explode(other_cells("vec", "reach", "cell"))).select("query", "vec", "cell")
+    partial = own.unionByName(_chunked(visits.checkpoint(), assigned, cells.size, chunk_rows, compare, schema))
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     best = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     out = [F.col("query").alias(key), "neighbour", "distance", "rank"]
