@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sevfold.llm import textkernel as K
-from sevfold.llm.tables import set_down, sized
+from sevfold.llm.tables import set_down, sized, small_batches
 
 # The masks. A 1 marks a position that is hashed.
 MASKS = ("11101101", "1101100111", "111000101011")
@@ -96,9 +96,9 @@ def blocks(benchmark: DataFrame, min_words: int) -> Iterator[Block]:
     )
     last = placed.agg(F.max("block")).first()[0]
     for b in range((last if last is not None else -1) + 1):
-        rows = placed.filter(F.col("block") == b).orderBy("item_id", "part", "words").toPandas()
+        rows = placed.filter(F.col("block") == b).orderBy("item_id", "part", "words").toArrow()
         if len(rows):
-            yield Block([None if i != i else int(i) for i in rows["item_id"]], rows["part"].tolist(), [np.asarray(r, dtype=np.int64).view(np.uint64) for r in rows["words"]])
+            yield Block(rows["item_id"].to_pylist(), rows["part"].to_pylist(), [r.values.to_numpy().view(np.uint64) for r in rows["words"]])
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int]:
@@ -163,6 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent
     Positions count words from 0; ``n_words`` is the length of the run, ``n_equal`` its equal words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     found = None
     for block in blocks(benchmark, min_words):

@@ -24,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
+from sevfold.llm.tables import small_batches
 
 UND = "und"
 DIMS = 4096
@@ -69,8 +71,10 @@ class Model:
 
 
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(c).astype(np.float32) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    x = np.log1p(c, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -93,13 +97,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [np.flatnonzero(row) for row in c]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[piece.lo : piece.hi].cast(pa.int64()), batch.column("lang")[piece.lo : piece.hi],
-                 K.long_lists(found), K.long_lists([row[f] for row, f in zip(c, found)])],
+                 K.long_lists(found).cast(pa.list_(pa.int32())), K.long_lists([row[f] for row, f in zip(c, found)]).cast(pa.list_(pa.int32()))],
                 names=["doc_id", "lang", "at", "count"],
             )
 
 
-def fit(learn: DataFrame, per_lang: int = 1000, max_langs: int = 200) -> Model:
+def fit(learn: DataFrame, per_lang: int = 500, max_langs: int = 200) -> Model:
     """Fit on rows of ``doc_id, text, lang``; see the module text for the bound of the sample."""
+    small_batches(learn.sparkSession)
     usable = learn.filter("text is not null and lang is not null")
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     empty = Model([], UND, np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -108,13 +113,13 @@ def fit(learn: DataFrame, per_lang: int = 1000, max_langs: int = 200) -> Model:
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], per_lang / r["count"])])[F.col("lang")]
     place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))) / F.lit(float(1 << 32))
     sample = usable.select("doc_id", "text", "lang").filter(place < share)
-    rows = sample.mapInArrow(_sparse, "doc_id long, lang string, at array<long>, count array<long>").toPandas()
-    rows = rows.sort_values(["lang", "doc_id"], kind="stable")
+    rows = sample.mapInArrow(_sparse, "doc_id long, lang string, at array<int>, count array<int>").toArrow()
+    rows = rows.filter(pc.greater(pc.list_value_length(rows["at"]), 0)).sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    lists, names = rows["at"].combine_chunks(), np.array(rows["lang"].to_pylist(), dtype=object)
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
-    for i, (at, c) in enumerate(zip(rows["at"], rows["count"])):
-        x[i, at] = c
-    has = x.any(axis=1)
-    x, names = x[has], rows["lang"].to_numpy()[has]
+    row = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    x[row, lists.flatten().to_numpy()] = rows["count"].combine_chunks().flatten().to_numpy()
+    del rows, lists, row
     if not len(x):
         return empty
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -160,6 +165,7 @@ def _predictor(shared):
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` (with ``text``) of ``docs``, then those of ``OUT``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x CENTROIDS x DIMS floats
     read = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)

@@ -39,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
-from sevfold.llm.tables import components, set_down, sized
+from sevfold.llm.tables import components, set_down, sized, small_batches
 
 MAX_FREQUENT = 1 << 21
+#: Logarithm of the most bits that mark repeated shingles; fuller bits let more rows pass and lose none.
+MAX_BITS = 28
 RARE = 8
 #: Part of the hash range that is counted, as a multiple of the prefix share.
 SPAN = 1.5
@@ -95,58 +97,103 @@ def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
 
 
-def frequent_shingles(low: DataFrame, rare: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes with a frequency at or above the floor, sorted as unsigned, and their levels."""
+class Frequencies:
+    """What tasks know of the counted shingles: levels of frequent ones, and which may occur twice.
+
+    ``hashes`` (sorted as unsigned) and ``levels`` have at most ``MAX_FREQUENT`` rows. ``bits``
+    marks the last bits of hashes that more than one document has: others are in one only.
+    """
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray, bits: np.ndarray):
+        self.hashes, self.levels, self.bits = hashes, levels, bits
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), dtype=np.int8)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.levels[at], 0).astype(np.int8)
+
+    def repeats(self, h: np.ndarray) -> np.ndarray:
+        bit = h & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def frequencies(low: DataFrame, rare: int) -> Frequencies:
+    """Count the shingles in ``low``; see ``Frequencies`` for the bounds of what is kept."""
     rows = low.agg(F.sum(F.size("low"))).first()[0] or 0
     floor = max(rare, -(-rows // MAX_FREQUENT))
-    counts = low.select(F.explode("low").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= floor)
-    found = counts.select("h", F.least(F.lit(120), F.log2("c") * 4).cast("int").alias("level")).toPandas()
-    h = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    counts = low.select(F.explode("low").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    twice = set_down(counts.filter("c > 1"), "counts")
+    found = twice.filter(F.col("c") >= floor).select("h", F.least(F.lit(120), F.log2("c") * 4).cast("byte").alias("level")).toArrow()
+    h = found["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], found["level"].to_numpy(dtype=np.int8)[order]
+    size = 1 << min(MAX_BITS, max(20, rows.bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit(size - 1))
+    words = twice.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.uint64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return Frequencies(h[order], found["level"].to_numpy().astype(np.int8)[order], bits)
+
+
+PREFIXES = "doc_id long, n int, s1 long, s2 long, pk long, often boolean, pos array<long>, token array<long>"
 
 
-def _prefixes(percent: int, frequent, bound: np.uint64):
-    """Prefixes in the order of level and hash; hashes not below ``bound`` come last."""
+def _prefixes(percent: int, shared, bound: np.uint64, rare_only: bool):
+    """Prefixes in the order of level and hash, hashes not below ``bound`` last.
+
+    ``pk`` stands for the whole prefix, ``often`` tells whether a frequent shingle is in it.
+    ``pos`` and ``token`` are the shingles that other documents may have, without the frequent
+    ones if ``rare_only``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, levels = frequent.value
+        known: Frequencies = shared.value
         for batch in batches:
             lists = batch.column("low")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
-            rank = np.zeros(len(flat), dtype=np.int8)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                rank = np.where((known[at] == flat) & (flat < bound), levels[at], 0).astype(np.int8)
-            often = rank > 0
-            rank[flat >= bound] = 127
-            rows, keys, marks = [], [], []
+            counted = flat < bound
+            rank = np.where(counted, known.level(flat), 127).astype(np.int8)
+            frequent = counted & (rank > 0)
+            kept = (~counted | known.repeats(flat)) & ~(frequent & rare_only)
+            keys, often, places, tokens = [], [], [], []
             for n, a, b in zip(batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
-                taken = np.argsort(rank[a:b], kind="stable")[: prefix_length(n, percent) if n else 0]
-                part = flat[a:b][taken]
-                rows.append(part)
-                marks.append(np.flatnonzero(often[a:b][taken]))
-                keys.append(int(K.window_hashes(part, len(part))[0].astype(np.int64)) if n else 0)
+                taken = a + np.argsort(rank[a:b], kind="stable")[: prefix_length(n, percent) if n else 0]
+                keys.append(int(K.window_hashes(flat[taken], len(taken))[0].astype(np.int64)) if n else 0)
+                often.append(bool(frequent[taken].any()))
+                place = np.flatnonzero(kept[taken])
+                places.append(place)
+                tokens.append(flat[taken[place]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "n", "s1", "s2")] + [pa.array(keys, pa.int64()), K.long_lists(rows), K.long_lists(marks)],
-                names=["doc_id", "n", "s1", "s2", "pk", "prefix", "often"],
+                [batch.column(c) for c in ("doc_id", "n", "s1", "s2")] + [pa.array(keys, pa.int64()), pa.array(often, pa.bool_()), K.long_lists(places), K.long_lists(tokens)],
+                names=["doc_id", "n", "s1", "s2", "pk", "often", "pos", "token"],
             )
 
     return run
 
 
-PREFIXES = "doc_id long, n int, s1 long, s2 long, pk long, prefix array<long>, often array<long>"
+def _tokens(prefixes: DataFrame) -> DataFrame:
+    """One row per shingle of each prefix."""
+    flat = prefixes.select(F.col("doc_id").alias("gid"), "n", F.explode(F.arrays_zip("pos", "token")).alias("t"))
+    return flat.select("gid", "n", F.col("t.pos").cast("int").alias("pos"), F.col("t.token").alias("token"))
 
 
 def _copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Prefix shingles ``gid, n, pos, token`` of documents by the frequency of all their shingles among them."""
-    every = texts.mapInArrow(_sets(size, False), "id long, s array<long>")
-    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(every.select(F.col("s").alias("low")), 2))
-    rows = every.select(F.col("id").alias("doc_id"), F.size("s").alias("n"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("s").alias("low"))
-    prefixes = rows.mapInArrow(_prefixes(percent, frequent, np.uint64((1 << 64) - 1)), PREFIXES)
+    whole = _sets(size, False)
+    every = texts.mapInArrow(whole, "id long, s array<long>")
+    known = texts.sparkSession.sparkContext.broadcast(frequencies(every.select(F.col("s").alias("low")), 2))
+    order = _prefixes(percent, known, np.uint64((1 << 64) - 1), False)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole(batches):
+            ids, sets = batch.columns
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, sets.value_lengths(), none, none, sets], names=["doc_id", "n", "s1", "s2", "low"])
+
+    prefixes = texts.mapInArrow(lambda batches: order(rows(batches)), PREFIXES)
     # Bits are turned over, so a shingle is another token than in the first order.
-    return prefixes.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("token", F.bitwise_not("token"))
+    return _tokens(prefixes).withColumn("token", F.bitwise_not("token"))
 
 
 def _sets(size: int, short: bool):
@@ -236,29 +283,26 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     ``component_id`` is the smallest id reachable by links. See the module text for the method.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     low = set_down(summaries(docs, size, percent), "shingles")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(low, RARE))
+    counted = spark.sparkContext.broadcast(frequencies(low, RARE))
     known = low.filter("n > 0 and doc_id is not null")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not low.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         known, docs = known.dropDuplicates(["doc_id"]), docs.dropDuplicates(["doc_id"])
-    prefixes = set_down(known.mapInArrow(_prefixes(percent, frequent, _bound(percent)), PREFIXES), "prefixes")
+    prefixes = set_down(known.mapInArrow(_prefixes(percent, counted, _bound(percent), True), PREFIXES), "prefixes")
 
     # One member per distinct set, one group per prefix and size; names are smallest ids.
     # Documents of the second order are ordered by whole sets, so each set is a group of its own.
-    members = prefixes.groupBy("n", "pk", "s1", "s2").agg(F.min("doc_id").alias("cid"), F.max(F.size("often")).alias("often"))
-    members = set_down(members.withColumn("salt", F.when(F.col("often") > 0, F.col("cid")).otherwise(0)), "members")
+    members = prefixes.groupBy("n", "pk", "s1", "s2").agg(F.min("doc_id").alias("cid"), F.max("often").alias("often"))
+    members = set_down(members.withColumn("salt", F.when(F.col("often"), F.col("cid")).otherwise(0)), "members")
     groups = members.groupBy("n", "pk", "salt").agg(F.min("cid").alias("gid"))
     members = set_down(members.join(groups, ["n", "pk", "salt"]), "grouped")
     heads = members.filter("cid = gid").select("gid")
-    first_order = prefixes.select("doc_id", "n", "prefix", "often").join(heads, F.col("doc_id") == F.col("gid"), "left_semi")
-    copies = set_down(first_order.filter(F.size("often") > 0).select(F.col("doc_id").alias("id")), "copies")
+    first_order = prefixes.join(heads, F.col("doc_id") == F.col("gid"), "left_semi")
+    copies = set_down(first_order.filter("often").select(F.col("doc_id").alias("id")), "copies")
     texts = docs.join(sized(copies, 16), F.col("doc_id") == F.col("id"), "left_semi")
-    tokens = (
-        first_order.select(F.col("doc_id").alias("gid"), "n", "often", F.posexplode("prefix").alias("pos", "token"))
-        .filter(~F.array_contains("often", F.col("pos").cast("long"))).select("gid", "n", "pos", "token")
-        .unionByName(set_down(_copies(texts, size, percent), "tokens"))
-    )
+    tokens = _tokens(first_order).unionByName(set_down(_copies(texts, size, percent), "tokens"))
     firsts = tokens.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("head"), F.count("*").alias("c")).filter("c > 1")
     shared = set_down(tokens.join(firsts.select("token", "head"), "token"), "shared")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
-from sevfold.llm.tables import set_down, sized
+from sevfold.llm.tables import set_down, sized, small_batches
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -106,6 +106,7 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     """Spans of each row, set down with a number for each row (``rid``)."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text")
     rows = read.mapInArrow(_scanner, f"doc_id long, repo string, owner string, base {SPANS}, bare {SPANS}")
     return set_down(rows.withColumn("rid", F.monotonically_increasing_id()), "spans")

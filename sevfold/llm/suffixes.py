@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
-from sevfold.llm.tables import set_down
+from sevfold.llm.tables import set_down, small_batches
 
 GRAM = 8
 NEAR, EDGE = 3, 8
@@ -89,9 +89,9 @@ def repeated_grams(texts: DataFrame, min_words: int) -> np.ndarray:
     grams = texts.mapInArrow(_grams(min_words), "h long, doc_id long")
     both = grams.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
     bit = F.col("h").bitwiseAND(F.lit(BITMAP - 1))
-    words = both.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
+    words = both.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(BITMAP // 64, dtype=np.uint64)
-    out[words["at"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
@@ -234,6 +234,7 @@ def _across(edges: list, min_words: int) -> list[np.ndarray]:
 def passage_matches(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``doc_id, start, end, other``: words from ``start`` to ``end`` are also in document ``other``."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     bitmap = spark.sparkContext.broadcast(repeated_grams(texts, min_words))
     suffixes = texts.mapInArrow(_suffixes(bitmap, min_words), SUFFIX)

@@ -9,6 +9,17 @@ from sevfold.sources.paths import scratch
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of an Arrow batch of whole texts: it bounds what a task holds on both sides of a Python worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most ``BATCH_ROWS`` rows to Python at once; a lower setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def set_down(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
 from sevfold.llm.langid import fold_of
-from sevfold.llm.tables import set_down, sized
+from sevfold.llm.tables import set_down, sized, small_batches
 
 # Seed words of the transducers in the languages of the corpus.
 INSULTS = ("idiot", "moron", "loser", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting", "clown", "imbecile", "vermin", "idiota", "imbécile", "idiote", "dummkopf", "abschaum", "estúpido", "basura")
@@ -204,6 +204,7 @@ def _factor(rows: pd.DataFrame, prior: float) -> float:
 def fit(learn: DataFrame, labels: DataFrame, per_class: int = 6000, least: int = 5, min_odds: float = 2.5) -> Model:
     """Fit on the rows of ``learn`` that ``labels`` (``doc_id, toxic``) mark; see the module text for the bound."""
     spark = learn.sparkSession
+    small_batches(spark)
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = set_down(marks, "marks")
     rows = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(marks, 24), F.col("doc_id") == F.col("id"))
@@ -220,14 +221,14 @@ def fit(learn: DataFrame, labels: DataFrame, per_class: int = 6000, least: int =
     often = sample.filter(part & (F.col("toxic") == 1)).select("text", "toxic").mapInArrow(_document_counts(None), counts)
     often = set_down(often.groupBy("h").agg(F.sum("c1").alias("c1")), "features")
     tested = often.count()
-    wanted = often.filter(F.col("c1") >= least).select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    wanted = often.filter(F.col("c1") >= least).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
     known = spark.sparkContext.broadcast(np.sort(wanted))
     both = sample.filter(part).select("text", "toxic").mapInArrow(_document_counts(known), counts).groupBy("h").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    model = Model(*_lexicon(both.toPandas(), n1, n0, tested, least, min_odds))
+    model = Model(*_lexicon(both.toArrow().to_pandas(), n1, n0, tested, least, min_odds))
 
     # Marks first: with factors of 1, what is a match under a mark worth?
     model.negated = model.reported = 1.0
-    read = lambda: sample.filter(~part).select("text", "toxic").mapInArrow(_scores(spark.sparkContext.broadcast(model)), "toxic int, x double, negated boolean, reported boolean").toPandas()
+    read = lambda: sample.filter(~part).select("text", "toxic").mapInArrow(_scores(spark.sparkContext.broadcast(model)), "toxic int, x double, negated boolean, reported boolean").toArrow().to_pandas()
     trial = read()
     hit = trial[trial["x"] > 0]
     model.negated = _factor(hit[hit["negated"] & ~hit["reported"]], NEGATED)
@@ -245,6 +246,7 @@ def fit(learn: DataFrame, labels: DataFrame, per_class: int = 6000, least: int =
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the probability ``score`` that a text is toxic, by its best clause ``x``."""
+    small_batches(docs.sparkSession)
     read = docs.select(*keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sevfold.llm.tables import set_down, sized
+from sevfold.llm.tables import set_down, sized, small_batches
 from sevfold.sources.paths import scratch
 
 ARCHIVE_BYTES = 32 << 20
@@ -145,6 +145,7 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """Write a record per page below ``folder``; the captures, set down."""
+    small_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("n"))
     equal = read.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("c")).filter("c > 1 and holder is not null")
