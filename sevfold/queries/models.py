@@ -104,7 +104,14 @@ register_classifier("m9_linear_svm", "svm", 0.1)
 register_classifier("m10_logistic_regression", "lr", 0.1)
 register_classifier("m11_random_forest", "rf", 100, 100)
 register_classifier("m12_boosted_trees", "gbt", 10, 32)
-register_classifier("m13_knn_classifier", "knn", 5, "distance", 2)
+
+
+@query("m13_knn_classifier")
+def m13(t: Tables) -> DataFrame:
+    rows = ft.embedding_features(t.embeddings, "embedding").select("vec_id", F.col("label").cast("double").alias("label"), "features")
+    train, rest = rows.filter("vec_id % 10 < 8"), rows.filter("vec_id % 10 >= 8")
+    pred = md.predictions(md.classifier("knn", 5, "distance", 2), train, rest, "vec_id")
+    return metrics_row(confusion(pred, "gold", "pred"))
 
 
 @query("m14_run_grid")
