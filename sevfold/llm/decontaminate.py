@@ -3,9 +3,10 @@
 A seed is a fixed mask over neighbouring words: it hashes the words at its marked positions and
 ignores the others, so one replaced word does not break every seed around it. Every document and
 every benchmark item is hashed under each mask at every position. Equal hashes are hits; each
-hit fixes a diagonal of document and item, on which whole words are compared: one point for
-equal words, ``MISMATCH`` for different ones. The best run of a diagonal is an overlap if it has
-at least ``min_words`` equal words and if ``percent`` of its words are equal.
+hit fixes a diagonal of document and item, on which whole words are compared. A run on it is an
+overlap if it begins and ends with equal words, has at least ``min_words`` of them, and if
+``percent`` of its words are equal. All runs that lie in no longer one are reported; two of them
+may share words where both together fall below ``percent``.
 
 Work. The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_WORDS`` words
 (longer items are cut in overlapping parts), chosen by running sums of the item sizes; each block
@@ -14,7 +15,7 @@ documents. Overlaps are the only rows that leave a task.
 
 Cases. Words are runs of letters and digits, without case. A null or empty text has none. Items
 of fewer than ``min_words`` words are too short to tell and match nothing. Items with equal texts
-are all reported. Ties between runs go to the first. A null id is reported as null. Rows that
+are all reported. A null id is reported as null. Rows that
 repeat are reported each. Other columns are ignored.
 """
 
@@ -31,7 +32,6 @@ from sevfold.llm.tables import set_down, sized, small_batches
 
 # The masks. A 1 marks a position that is hashed.
 MASKS = ("11101101", "1101100111", "111000101011")
-MISMATCH = -2
 BLOCK_WORDS = 1 << 19
 PART_WORDS = 1 << 12
 
@@ -101,13 +101,23 @@ def blocks(benchmark: DataFrame, min_words: int) -> Iterator[Block]:
             yield Block(rows["item_id"].to_pylist(), rows["part"].to_pylist(), [r.values.to_numpy().view(np.uint64) for r in rows["words"]])
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the first best-scoring run; it begins and ends with equal words."""
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1]) if end else 0
-    return start, end
+def runs(equal: np.ndarray, min_words: int, percent: int) -> np.ndarray:
+    """Longest runs, as rows of start, end and equal words, of which ``percent`` and ``min_words`` are equal.
+
+    With ``100 - percent`` points for equal words and ``-percent`` for others, these are runs of no
+    negative sum. A start counts if the sum before it is lower than at all starts on its left.
+    """
+    at = np.flatnonzero(equal)
+    if len(at) < max(min_words, 1):
+        return np.empty((0, 3), dtype=np.int64)
+    before = 100 * np.arange(len(at)) - percent * at  # sum before each equal word
+    after = before + 100 - percent
+    first = np.flatnonzero(np.concatenate([[True], before[1:] < np.minimum.accumulate(before)[:-1]]))
+    best = np.maximum.accumulate(after[::-1])[::-1]
+    last = np.searchsorted(-best, -before[first], side="right") - 1
+    keep = np.concatenate([[True], last[1:] > last[:-1]]) & (last - first + 1 >= min_words)
+    first, last = first[keep], last[keep]
+    return np.stack([at[first], at[last] + 1, last - first + 1], axis=1)
 
 
 def _hits(words: np.ndarray, row: np.ndarray, block: Block) -> np.ndarray:
@@ -144,9 +154,7 @@ def _scanner(shared, min_words: int, percent: int):
                     lo, hi = max(diagonal, w.first[r]), min(diagonal + block.first[item + 1] - block.first[item], w.first[r + 1])
                     other = block.first[item] + lo - diagonal
                     equal = w.hashes[lo:hi] == block.words[other : other + hi - lo]
-                    a, b = best_run(equal)
-                    n_equal = int(equal[a:b].sum())
-                    if n_equal >= min_words and 100 * n_equal >= percent * (b - a):
+                    for a, b, n_equal in runs(equal, min_words, percent):
                         out.append((piece.lo + r, block.ids[item], lo + a - w.first[r], block.parts[item] + lo - diagonal + a, b - a, n_equal))
                 cols = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
@@ -158,7 +166,7 @@ def _scanner(shared, min_words: int, percent: int):
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent: int = 80) -> DataFrame:
-    """``doc_id, item_id, doc_start, item_start, n_words, n_equal``: one row per overlapping run.
+    """``doc_id, item_id, doc_start, item_start, n_words, n_equal``: one row per overlapping run that lies in no longer one.
 
     Positions count words from 0; ``n_words`` is the length of the run, ``n_equal`` its equal words.
     """

@@ -135,6 +135,49 @@ def test_overlaps_survive_replaced_words(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([5, 6, 7, 10, 11, None], key=str)
 
 
+def brute_runs(equal, min_words, percent):
+    """Runs of enough equal words that begin and end with equal words and lie in no other such run."""
+    upto = [0, *itertools.accumulate(equal)]
+    at = [i for i, e in enumerate(equal) if e]
+    good = [(a, b + 1, upto[b + 1] - upto[a]) for a in at for b in at if b >= a]
+    good = [(a, b, k) for a, b, k in good if k >= min_words and 100 * k >= percent * (b - a)]
+    ends = {}
+    for a, b, _ in good:
+        ends[a] = max(b, ends.get(a, 0))
+    return [(a, b, k) for a, b, k in good if b == ends[a] and not any(d >= b for c, d in ends.items() if c < a)]
+
+
+def test_runs_same_as_brute_force():
+    rng = random.Random(11)
+    for i in range(400):
+        share = rng.choice([0.6, 0.75, 0.8, 0.9, 1.0])
+        equal = [rng.random() < share for _ in range(rng.randint(0, 45))]
+        min_words, percent = rng.choice([1, 3, 7]), rng.choice([50, 80, 100])
+        got = [tuple(r) for r in decontaminate.runs(np.array(equal, dtype=bool), min_words, percent).tolist()]
+        assert got == brute_runs(equal, min_words, percent), i
+
+
+def test_verbatim_words_beside_edited_ones_are_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, texts, want = {}, {}, []
+    for i, (same, tail, left) in enumerate([(30, 100, False), (30, 100, True), (25, 200, False), (20, 39, False)] * 10):
+        items[i] = [word() for _ in range(same + tail)]
+        changed = list(items[i])
+        for j in range(tail) if left else range(same, same + tail):
+            if rng.random() < 0.3:
+                changed[j] = "other"
+        noise = [word() for _ in range(7)]
+        texts[i] = noise + changed
+        equal = [a == b for a, b in zip(items[i], changed)]
+        want += [(i, i, 7 + a, a, b - a, k) for a, b, k in brute_runs(equal, 13, 80)]
+    docs = docs_of(spark, {i: " ".join(t) for i, t in texts.items()})
+    bench = items_of(spark, [(i, " ".join(t)) for i, t in items.items()])
+    got = sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == sorted(want) and {r[0] for r in got} == set(items)
+    assert decontaminate.keep_clean(docs, bench).count() == 0
+
+
 def test_benchmark_in_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
     rng = random.Random(2)
