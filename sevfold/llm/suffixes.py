@@ -14,6 +14,9 @@ in two orders: by the words to the right, and by its k-gram and then the words t
 meets the documents that agree with it longest on either side. A match whose partner is among
 the longest on neither side is the one kind that can be missed; the README has the measured share.
 
+Which document comes first does not hang on whom a suffix meets: every run of ``min_words`` words
+whose minimiser repeats is hashed, and the smallest id of each hash is the owner of that run.
+
 Scale. The sort is by ranges of suffix, left side and id, so a passage in a third of all
 documents spreads over many tasks. Rows at the ends of ranges are compared afterwards; there are
 ``2 * EDGE`` per range. A bitmap of fixed size tells which k-grams repeat; where it is too full
@@ -44,11 +47,11 @@ SUFFIX = "doc_id long, pos int, right binary, left binary"
 MATCH = "doc_id long, start int, end int, other long"
 
 
-def minimisers(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the leftmost smallest gram of each valid run of ``window`` grams."""
+def minimisers(grams: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the valid runs of ``window`` grams, and for each the place of its leftmost smallest gram."""
     n = len(grams) - window + 1
     if n <= 0:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     low = np.uint64((1 << _LOW) - 1)
     key = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
     padded = np.full(-(-len(key) // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -58,18 +61,18 @@ def minimisers(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     smallest = np.minimum(behind[:n], ahead[window - 1 : window - 1 + n])
     start = np.flatnonzero(valid[:n])
-    return np.unique(start + (((smallest[start] & low).astype(np.int64) - start) & int(low)))
+    return start, start + (((smallest[start] & low).astype(np.int64) - start) & int(low))
 
 
 def _selected(piece: K.Piece, min_words: int):
-    """Words of a piece, minimiser positions and their gram hashes, and the row of each word."""
+    """Words of a piece, the row of each word, its windows and their minimisers, all gram hashes."""
     w = K.words(piece, K.ALNUM)
     row = w.row_of()
     grams = K.window_hashes(w.hashes, GRAM)
     window = min_words - GRAM + 1
     n = max(0, len(w.hashes) - min_words + 1)
-    at = minimisers(grams, row[:n] == row[min_words - 1 : min_words - 1 + n], window)
-    return w, row, at, grams[at]
+    start, at = minimisers(grams, row[:n] == row[min_words - 1 : min_words - 1 + n], window)
+    return w, row, start, at, grams
 
 
 def _grams(min_words: int):
@@ -77,7 +80,9 @@ def _grams(min_words: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for piece in K.pieces(batch.column("text")):
-                _, row, at, h = _selected(piece, min_words)
+                _, row, _, at, grams = _selected(piece, min_words)
+                at = np.unique(at)
+                h = grams[at]
                 pairs = np.unique(np.stack([h.view(np.int64), ids[piece.lo + row[at]]], axis=1), axis=0) if len(at) else np.empty((0, 2), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["h", "doc_id"])
 
@@ -95,6 +100,45 @@ def repeated_grams(texts: DataFrame, min_words: int) -> np.ndarray:
     return out
 
 
+def _repeats(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    bit = h & np.uint64(BITMAP - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _windows(shared, min_words: int):
+    """Hashes of the runs of ``min_words`` words whose minimiser repeats, once for each document of a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for piece in K.pieces(batch.column("text")):
+                w, row, start, at, grams = _selected(piece, min_words)
+                start = start[_repeats(shared.value, grams[at])]
+                h = K.window_hashes(w.hashes, min_words)[start].view(np.int64)
+                doc = ids[piece.lo + row[start]]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(doc[new])], names=["h", "doc_id"])
+
+    return run
+
+
+def _least_others(texts: DataFrame, shared, min_words: int) -> DataFrame:
+    """``doc_id, least``: the smallest other id that shares a passage with each document that has any.
+
+    A run of words is owned by the smallest id that holds it. Each other holder meets the owner,
+    and the owner meets the smallest of the others, so no more rows than holders are made.
+    """
+    windows = set_down(texts.mapInArrow(_windows(shared, min_words), "h long, doc_id long"), "windows")
+    owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("h", "owner")
+    pairs = windows.join(owners, "h").filter("doc_id <> owner").groupBy("doc_id", "owner").agg(F.lit(1).alias("one"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("doc_id"), F.col("owner").alias("other")), F.struct(F.col("owner").alias("doc_id"), F.col("doc_id").alias("other")))).alias("p"))
+    return both.groupBy("p.doc_id").agg(F.min("p.other").alias("least"))
+
+
 def _rows_of_bytes(m: np.ndarray) -> pa.Array:
     """Binary cells whose byte order is the order of the words in them."""
     data = np.ascontiguousarray(m.astype(">u4"))
@@ -109,9 +153,9 @@ def _suffixes(shared, min_words: int):
         for batch in batches:
             ids = batch.column("doc_id")
             for piece in K.pieces(batch.column("text")):
-                w, row, at, h = _selected(piece, min_words)
-                bit = h & np.uint64(BITMAP - 1)
-                at = at[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+                w, row, _, at, grams = _selected(piece, min_words)
+                at = np.unique(at)
+                at = at[_repeats(bitmap, grams[at])]
                 short = np.maximum((w.hashes >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for no word
                 for lo in range(0, len(at), 4096):
                     p = at[lo : lo + 4096]
@@ -233,10 +277,16 @@ def _across(edges: list, min_words: int) -> list[np.ndarray]:
 
 def passage_matches(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``doc_id, start, end, other``: words from ``start`` to ``end`` are also in document ``other``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    return _matches(*_texts_and_bitmap(docs, min_words), min_words)
+
+
+def _texts_and_bitmap(docs: DataFrame, min_words: int):
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    bitmap = spark.sparkContext.broadcast(repeated_grams(texts, min_words))
+    return texts, docs.sparkSession.sparkContext.broadcast(repeated_grams(texts, min_words))
+
+
+def _matches(texts: DataFrame, bitmap, min_words: int) -> DataFrame:
     suffixes = texts.mapInArrow(_suffixes(bitmap, min_words), SUFFIX)
     gram = F.substring("right", 1, 4 * GRAM)
     found = [_sorted_matches(suffixes, [F.col("right"), F.col("left")], min_words), _sorted_matches(suffixes, [gram, F.col("left"), F.col("right")], min_words)]
@@ -272,9 +322,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ``spans`` are ranges of words, ``n_repeated`` the words in them, ``first_other`` the smallest
     id that shares any, ``is_first`` whether no smaller id does: the copy a deduplication keeps.
     """
-    found = passage_matches(docs, min_words)
+    texts, bitmap = _texts_and_bitmap(docs, min_words)
+    found = _matches(texts, bitmap, min_words)
     one = F.struct(F.col("start"), F.col("end"))
-    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("all"), F.min("other").alias("first_other"))
+    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("all"), F.min("other").alias("met"))
+    by_doc = by_doc.join(_least_others(texts, bitmap, min_words), "doc_id", "left").withColumn("first_other", F.least("met", "least"))
     merged = by_doc.withColumn("spans", _merged(F.col("all")))
     return merged.select(
         "doc_id", F.size("spans").alias("n_spans"), F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).alias("n_repeated"),

@@ -220,6 +220,28 @@ def test_repeated_passages_same_as_brute_force(spark):
     assert first[100] == (101, True) and first[107] == (106, False)
 
 
+def test_first_documents_of_a_large_group(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    hot, other = words(60), words(55)
+    texts = {i: words(rng.randint(5, 60)) + hot + words(rng.randint(5, 60)) for i in rng.sample(range(10_000), 600)}
+    for i in rng.sample(sorted(texts), 200):
+        texts[i] += other
+    texts |= {20_000 + i: words(rng.randint(5, 60)) + other + words(20) for i in range(100)}
+    owners = {}
+    for i, w in texts.items():
+        for a in range(len(w) - 49):
+            owners.setdefault(tuple(w[a : a + 50]), set()).add(i)
+    want = {}
+    for held in owners.values():
+        low = sorted(held)[:2]
+        for i in held if len(held) > 1 else ():
+            want[i] = min(want.get(i, 10**9), low[1] if i == low[0] else low[0])
+    got = suffixes.repeated_passages(docs_of(spark, {i: " ".join(w) for i, w in texts.items()})).collect()
+    assert {r["doc_id"]: r["first_other"] for r in got} == want and len(want) == 700
+    assert all(r["is_first"] == (r["doc_id"] < want[r["doc_id"]]) for r in got) and sum(r["is_first"] for r in got) == 1
+
+
 def test_passages_of_odd_tables(spark):
     assert suffixes.repeated_passages(docs_of(spark, {})).count() == 0
     text = " ".join(f"v{i}" for i in range(80))
