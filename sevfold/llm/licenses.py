@@ -1,12 +1,16 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template the words of a license notice. A block matches a
-template when it holds at least ``PERCENT`` of its distinct words. Template words are put in
+A block is a line of a document or a run of ``RUN_WORDS`` words across line ends, so a notice may
+be wrapped at any word; a template is the words of a license notice. A block matches a template
+when it holds at least ``PERCENT`` of its distinct words. Template words are put in
 one global order, those that are in the fewest blocks of the corpus first. A matching block must
 hold one of the first words of its template (the prefix), enough template words (length), and
 enough of them at and after the shared word (position); only pairs that pass are verified.
 
-Everything is DataFrame functions. The corpus is read three times and never shuffled: word
+Runs are cut at template words, and only in documents that hold enough words of some template as a
+whole. A document holds the words of each of its runs, so this leaves out no match.
+
+Everything is DataFrame functions. The corpus is read four times and never shuffled: word
 counts are partial aggregates over the few hundred template words, the join is with the prefix
 words of the templates, which is a table of fixed size, and only matches are shuffled.
 
@@ -46,6 +50,9 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
+#: Words of a run: a little more than the longest template, for marks of comments between its lines.
+RUN_WORDS = max(len(t.split()) for _, t in TEMPLATES) + 8
+
 
 def word_set(text: str) -> list[str]:
     return list(dict.fromkeys(text.split()))
@@ -103,6 +110,31 @@ def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return found.filter(F.size("words") > 0)
 
 
+def _runs(docs: DataFrame, order: list[str], rows: list[tuple]) -> DataFrame:
+    """Template words, in the order of ``order``, of the runs of words that may match a template."""
+    known = F.array(*[F.lit(w) for w in order])
+    tokens = lambda x: F.filter(F.split(F.lower(x), SEPARATORS), lambda w: w != "")
+    texts = docs.filter(F.contains("text", F.lit("\n"))).select(row_key(docs).alias("key"), "text")
+    # Each explode of one value holds what is before it: no filter computes the words again.
+    held = texts.select("key", "text", F.explode(F.array(F.array_intersect(known, F.split(F.lower("text"), SEPARATORS)))).alias("words"))
+    templates = {r[1]: (r[3], r[4]) for r in rows}
+    enough = reduce(
+        lambda a, b: a | b,
+        [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws]))) >= least for ws, least in templates.values()],
+    )
+    may = held.filter((F.size("words") >= min(r[4] for r in rows)) & enough)
+    places = F.filter(F.transform(tokens("text"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda p: F.array_contains(known, p["word"]))
+    hits = may.select("key", F.explode(F.array(places)).alias("hits"))
+
+    def run(k):
+        end = F.element_at("hits", k)["at"] + RUN_WORDS
+        inside = F.filter(F.slice(F.col("hits"), k, RUN_WORDS), lambda p: p["at"] < end)
+        return F.array_intersect(known, F.transform(inside, lambda p: p["word"]))
+
+    starts = F.sequence(F.lit(1), F.size("hits"))
+    return hits.filter(F.size("hits") > 0).select("key", F.explode(F.array_distinct(F.transform(starts, run))).alias("words"))
+
+
 def global_order(docs: DataFrame) -> list[str]:
     """Template words by the number of blocks that hold them, rare ones first."""
     vocabulary = sorted({w for _, t in TEMPLATES for w in word_set(t)})
@@ -129,7 +161,7 @@ def template_matches(docs: DataFrame) -> DataFrame:
     templates = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, t_words array<string>, need int, t_pos int")
     least = min(r[4] for r in rows)
     first_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    blocks = _blocks(docs, order).filter((F.size("words") >= least) & F.arrays_overlap("words", first_words))
+    blocks = _blocks(docs, order).select("key", "words").unionAll(_runs(docs, order, rows)).filter((F.size("words") >= least) & F.arrays_overlap("words", first_words))
     probes = blocks.select("key", "words", F.posexplode("words").alias("pos", "word"))
     n, m = F.size("words"), F.size("t_words")
     most = F.least("pos", "t_pos") + F.least(n - F.col("pos"), m - F.col("t_pos"))

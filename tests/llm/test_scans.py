@@ -94,6 +94,42 @@ def test_licenses_same_as_brute_force(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "mit": """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ */""",
+    "gpl": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "mpl-2": """// This Source Code Form is subject to the terms of the Mozilla Public
+//
+// License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "": """Redistribution and use in source and binary forms, with or without
+""" + "other words stand here\n" * 12 + "modification, are permitted provided that the following conditions are met",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rows = [(i, "int x;\n" * 300 + text + "\nint main() {}\n" * 300, "en", "a") for i, text in enumerate(WRAPPED.values())]
+    rows += [(i + 10, text.replace(" ", "\n"), "en", "a") for i, text in enumerate(WRAPPED.values())]
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_base"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {i + more: (label, 1.0 if label else 0.0, 0) for i, label in enumerate(WRAPPED) for more in (0, 10)}
+    words = [w for label, t in licenses.TEMPLATES for w in t.split()]
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(words + ["x", "y"] * 40) + rng.choice(" \n") for _ in range(rng.randint(20, 90))) for _ in range(150)]
+    texts += ["\n".join(rng.choices([*t.split(), "x"], k=60)) for _, t in licenses.TEMPLATES for _ in range(5)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        ws = WORD.findall(text)
+        blocks = [set(line.split()) for line in text.split("\n")] + [set(ws[a : a + licenses.RUN_WORDS]) for a in range(len(ws))]
+        found = {label for label, t in licenses.TEMPLATES if any(100 * len(b & set(t.split())) >= licenses.PERCENT * len(set(t.split())) for b in blocks)}
+        assert got[i] == ",".join(sorted(found | {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(ws)} "})), text
+    assert len(set(got.values())) > 4
+
+
 def test_prefix_filter_keeps_every_match():
     order = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
     rows = licenses.prefix_rows(order)
