@@ -2,16 +2,19 @@
 
 Every text is scanned whole for three kinds of spans (see ``KINDS``) and for bare tokens that
 look random. The values of all spans are hashed, and hashes are aggregated over the corpus by
-distinct repositories and distinct owners. A value that many owners hold is a copied example; a
-value that one owner holds and that looks random is live-looking. Bare tokens whose value is a
+distinct repositories and distinct owners. A value that many owners hold, or that stands in more
+than ``MAX_TEXTS`` different texts, is a copied example; a value of one owner that may be a
+credential is live-looking. An assigned value may be one by its place, others by looking random.
+For what is live-looking, equal texts count once, with the owner of the smallest name. Bare tokens whose value is a
 live-looking credential somewhere in the corpus are added as spans of kind ``owned``.
 
 Only hashes and offsets of spans are shuffled, with partial aggregates, so a value in a third of
 all rows is one row per task. Nothing is broadcast.
 
 Cases. A null text is empty. Offsets are code points, ends exclusive. Rows that repeat are
-reported each, and do not add owners. A null repository or owner does not count as one, so a
-value without any owner is an example of nobody and is not live-looking. Other columns are ignored.
+reported each, and do not add owners. A null owner is an unknown owner of its own repository, or of
+its own text if that is null too. Dots at the end of a value belong to the sentence, not to the
+credential: they take no part in its hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,28 +36,48 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A text without any of these has no span of kind assign.
 HINTS = ("passw", "secret", "token", "api")
-PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|your|dummy|xxx|000000|123456|abcdef", re.I)
-BARE_LENGTH = 16
+#: Long words mark a placeholder anywhere, as chance does not make them; what chance makes, as a whole word.
+PLACEHOLDER = re.compile(
+    r"example|sample|changeme|placeholder|dummy|(?<![a-z0-9])(?:your[a-z]*|(?:x{3,}|0{6,}|0?123456(?:7(?:8(?:90?)?)?)?|abcdef(?:gh)?)+)(?![a-z0-9])|^(.)\1*$", re.I
+)
+RANDOM_LENGTH = 16
+ASSIGN_LENGTH = 8
+MAX_TEXTS = 100
+MIN_COPIED = 3
 MASK = "[secret]"
 HIDE = "__hide"
 
 _HEX = K._table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
-_TOKEN = K._table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b in b"+/_=-")
+_TOKEN = K._table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b in b"+/_.=-")
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32()), ("h", pa.int64()), ("strong", pa.bool_())])
 SPANS = "array<struct<kind:int,start:int,end:int,value:int,h:bigint,strong:boolean>>"
 
 
 def value_hash(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+    """Hash of a value without dots at its end."""
+    return int.from_bytes(hashlib.blake2b(value.rstrip(".").encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def looks_random(value: str) -> bool:
     """Long, varied and not a placeholder."""
-    return len(value) >= BARE_LENGTH and len(set(value)) >= 8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not PLACEHOLDER.search(value)
+    return len(value) >= RANDOM_LENGTH and len(set(value)) >= 8 and _mixed(value) and not PLACEHOLDER.search(value)
+
+
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
 def _span(kind: int, start: int, end: int, at: int, value: str) -> dict:
-    return {"kind": kind, "start": start, "end": end, "value": at, "h": value_hash(value), "strong": looks_random(value)}
+    strong = looks_random(value) if kind else len(value.rstrip(".")) >= ASSIGN_LENGTH and not PLACEHOLDER.search(value)
+    return {"kind": kind, "start": start, "end": end, "value": at, "h": value_hash(value), "strong": strong}
+
+
+def bare_tokens(run: str) -> list[tuple[int, int]]:
+    """Parts of a run of value characters that may be a value: all, what follows ``=``, what stands between marks."""
+    marks = [m.span() for m in re.finditer(r"[^=.]+=*", run)] + [m.span() for m in re.finditer(r"[^=]+=*", run)] + [m.span() for m in re.finditer(r"[^.]+", run)]
+    first = run.find("=") + 1
+    parts = {(a, a + len(run[a:b].rstrip("."))) for a, b in [(0, len(run)), (first, len(run)), *marks]}
+    return sorted(p for p in parts if p[1] - p[0] >= ASSIGN_LENGTH and _mixed(run[p[0] : p[1]]))
 
 
 def base_spans(text: str, may_hex: bool = True) -> list[dict]:
@@ -62,7 +85,7 @@ def base_spans(text: str, may_hex: bool = True) -> list[dict]:
     found = []
     low = text.lower()
     if any(h in low for h in HINTS):
-        found += [_span(0, m.start(), m.end(), m.start(2), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [_span(0, m.start(), m.end(), m.start(2), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LENGTH]
     if "AKIA" in text:
         found += [_span(1, m.start(), m.end(), m.start(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if may_hex:
@@ -85,51 +108,61 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for piece in K.pieces(texts):
-            hexes, tokens = _long_runs(piece, _HEX, 32), _long_runs(piece, _TOKEN, BARE_LENGTH)
-            base, bare = [], []
+            hexes, tokens = _long_runs(piece, _HEX, 32), _long_runs(piece, _TOKEN, ASSIGN_LENGTH)
+            base, bare, own = [], [], []
             for i, text in enumerate(texts[piece.lo : piece.hi].to_pylist()):
                 text = text or ""
                 spans = base_spans(text, i in hexes)
                 base.append(spans)
                 bare.append([])
+                own.append(value_hash(text) if spans else None)
                 if i in tokens:
                     raw = text.encode()
-                    taken = {(s["value"], s["end"]) for s in spans}
+                    taken = {(s["value"], s["h"]) for s in spans}
+                    done = chars = 0
                     for a, b in tokens[i]:
-                        value = raw[a:b].decode()
-                        start = len(raw[:a].decode())
-                        if looks_random(value) and (start, start + len(value)) not in taken:
-                            bare[-1].append(_span(3, start, start + len(value), start, value))
+                        token = raw[a:b].decode()
+                        chars, done = chars + len(raw[done:a].decode()), a
+                        found = [_span(3, chars + p, chars + q, chars + p, token[p:q]) for p, q in bare_tokens(token)]
+                        bare[-1] += [s for s in found if (s["value"], s["h"]) not in taken]
             rest = [batch.column(c)[piece.lo : piece.hi] for c in ("doc_id", "repo", "owner")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(base, pa.list_(SPAN)), pa.array(bare, pa.list_(SPAN))], names=["doc_id", "repo", "owner", "base", "bare"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(base, pa.list_(SPAN)), pa.array(bare, pa.list_(SPAN)), pa.array(own, pa.int64())], names=["doc_id", "repo", "owner", "base", "bare", "own"])
 
 
 def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     """Spans of each row, set down with a number for each row (``rid``)."""
     small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text")
-    rows = read.mapInArrow(_scanner, f"doc_id long, repo string, owner string, base {SPANS}, bare {SPANS}")
+    rows = read.mapInArrow(_scanner, f"doc_id long, repo string, owner string, base {SPANS}, bare {SPANS}, own long")
     return set_down(rows.withColumn("rid", F.monotonically_increasing_id()), "spans")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """``h, n_repos, n_owners, strong`` for each hash of a base span."""
-    values = scanned.select("repo", "owner", F.explode("base").alias("s")).select("repo", "owner", "s.h", "s.strong")
-    by_owner = values.groupBy("h", "owner", "repo").agg(F.max("strong").alias("strong"))
-    repos = by_owner.groupBy("h", "repo").agg(F.max("strong").alias("strong")).groupBy("h").agg(F.count("repo").alias("n_repos"), F.max("strong").alias("strong"))
-    owners = by_owner.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("owner").alias("n_owners"))
-    return repos.join(owners, "h").select("h", "n_repos", "n_owners", "strong")
+    """``h, n_repos, n_owners, n_texts, n_once, strong`` for each hash of a base span.
+
+    ``n_once`` counts owners after equal texts are taken as one.
+    """
+    owner = F.coalesce(F.concat(F.lit("o"), "owner"), F.concat(F.lit("r"), "repo"), F.concat(F.lit("t"), F.col("own").cast("string")))
+    values = scanned.select("repo", owner.alias("owner"), "own", F.explode("base").alias("s")).select("repo", "owner", "own", "s.h", "s.strong")
+    each = values.groupBy("h", "owner", "repo", "own").agg(F.max("strong").alias("strong"))
+    repos = each.groupBy("h", "repo").agg(F.max("strong").alias("strong")).groupBy("h").agg(F.count("repo").alias("n_repos"), F.max("strong").alias("strong"))
+    owners = each.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("owner").alias("n_owners"))
+    texts = each.groupBy("h", "own").agg(F.min("owner").alias("owner"))
+    once = texts.groupBy("h", "owner").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_once"))
+    return repos.join(owners, "h").join(once, "h").select("h", "n_repos", "n_owners", "n_texts", "n_once", "strong")
 
 
 def classified(scanned: DataFrame, max_owners: int, min_copied: int) -> DataFrame:
     """Spans of each row with any: ``rid, doc_id, spans`` with what the corpus says of each.
 
-    ``live`` marks spans whose value looks random and is held by one to ``max_owners`` owners,
-    ``copied`` those held by at least ``min_copied`` owners.
+    ``copied`` marks spans whose value is held by at least ``min_copied`` owners or stands in more than
+    ``MAX_TEXTS`` texts, ``live`` other spans that may be a credential and have up to ``max_owners``
+    owners, equal texts taken as one. With ``max_owners`` of ``min_copied - 1`` none is between.
     """
     known = set_down(ownership(scanned), "owners")
-    live = (F.col("n_owners") > 0) & (F.col("n_owners") <= max_owners) & F.col("strong")
-    marks = known.select(F.col("h"), live.alias("live"), (F.col("n_owners") >= min_copied).alias("copied"))
+    copied = (F.col("n_owners") >= min_copied) | (F.col("n_texts") > MAX_TEXTS)
+    live = ~copied & (F.col("n_once") <= max_owners) & F.col("strong")
+    marks = known.select("h", live.alias("live"), copied.alias("copied"))
     base = scanned.select("rid", "doc_id", F.explode("base").alias("s"))
     bare = scanned.select("rid", "doc_id", F.explode("bare").alias("s"))
     spans = base.unionAll(bare).select("rid", "doc_id", "s", F.col("s.h").alias("h")).join(marks, "h").filter("live or s.kind < 3")
@@ -142,7 +175,7 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, repo: str, owner: str, max_owners: int = 1, min_copied: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: str, owner: str, max_owners: int = 1, min_copied: int = MIN_COPIED) -> DataFrame:
     """``doc_id``, counts of base spans by kind, digest of them, all spans, counts of live-looking and copied ones."""
     scanned = scan(docs, repo, owner)
     found = classified(scanned, max_owners, min_copied).select("rid", "spans")
@@ -180,9 +213,9 @@ def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mask_live(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     """Documents with the values of live-looking spans replaced by ``MASK``; ``n_chars`` follows.
 
-    A row with a null id is left as it is.
+    All that may be a credential and is not copied counts here, that of two owners too. A row with a null id is left as it is.
     """
-    spans = classified(scan(docs, repo, owner), 1, 3).withColumn("hide", F.filter("spans", lambda s: s["live"])).filter("size(hide) > 0 and doc_id is not null")
+    spans = classified(scan(docs, repo, owner), MIN_COPIED - 1, MIN_COPIED).withColumn("hide", F.filter("spans", lambda s: s["live"])).filter("size(hide) > 0 and doc_id is not null")
     hide = set_down(spans.groupBy("doc_id").agg(F.max("hide").alias(HIDE)), "hide")
     read = docs.withColumn("n_chars", F.col("n_chars").cast("long")).join(sized(hide, 200), "doc_id", "left").select(*docs.columns, HIDE)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != HIDE)

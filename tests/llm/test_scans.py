@@ -61,6 +61,26 @@ def test_secrets_of_empty_tables(spark):
     assert secrets.mask_live(docs_of(spark, []), "doc_id", "source").count() == 0
 
 
+def test_credentials_of_two_or_unknown_owners_are_masked(spark):
+    two, unknown, same, hot = "Qz7Xw2Lm9Rt4Vb6N", "Ab3Cd5Ef7Gh9Jk2L", "Mn4Pq6Rs8Tu1Vw3X", "Zy9Xw8Vu7Ts6Rq5P"
+    rows = [(1, f"token={two} here", "en", "a"), (2, f"there token={two}", "en", "b"), (3, f"bare {two}", "en", "a")]
+    rows += [(4, f"secret={unknown}", "en", None), (5, f"secret={same}", "en", "a"), (6, f"secret={same}", "en", "b")]
+    rows += [(100 + i, f"secret={hot} {i}", "en", "a") for i in range(secrets.MAX_TEXTS + 1)]
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_live(docs_of(spark, rows), "doc_id", "source").collect()}
+    assert [i for i, t in masked.items() if secrets.MASK not in t] == [100 + i for i in range(secrets.MAX_TEXTS + 1)]
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secrets.find_secrets(docs_of(spark, rows), "doc_id", "source").collect()}
+    assert [got[i] for i in (4, 5, 6, 100)] == [(1, 0), (1, 0), (1, 0), (0, 1)]
+
+
+def test_short_dotted_and_assigned_values_are_masked(spark):
+    digits, jwt = "7e" + "123456" + "abcdef" + "9c" * 13, "eyJhbGci.eyJzdWIi1.c2ln-X_4"
+    rows = [(1, "password=tr0ub4dor.", "en", "a"), (2, "it is tr0ub4dor. And x=tr0ub4dor", "en", "a"), (3, f"token: {jwt}", "en", "a"), (4, f"jwt {jwt}, q={jwt}.", "en", "a")]
+    rows += [(5, f"api_key={digits}", "en", "a"), (6, "password=your_key_here token=xxxxxxxx secret=123456789", "en", "a"), (7, f"see {digits}", "en", "a")]
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_live(docs_of(spark, rows), "doc_id", "source").collect()}
+    m = secrets.MASK
+    assert masked == {1: f"password={m}", 2: f"it is {m}. And x={m}", 3: f"token: {m}", 4: f"jwt {m}, q={m}.", 5: f"api_key={m}", 6: rows[5][1], 7: f"see {m}"}
+
+
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
