@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, secrets, suffixes, toxicity, warc
+from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, periods, secrets, suffixes, toxicity, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,44 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts after copies are planted in a tenth of them."""
+    return periods.digests(periods.periodic_runs(periods.with_planted_runs(read(spark, sf_dir, "documents"))))
+
+
+ORACLES["op13_periodic_runs"] = r"""
+WITH h AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+c AS (
+  -- crc32 by the table of the reflected polynomial, four bits at a time
+  SELECT doc_id, ws, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) crc
+  FROM h),
+g AS (SELECT doc_id, ws, len(ws)::BIGINT n, xor(crc, 4294967295) h FROM c),
+p AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+      ws[CASE WHEN i < (h // 10) % n THEN i + 1
+         ELSE (h // 10) % n + (i - (h // 10) % n) % (1 + (n - (h // 10) % n) // (3 + (h // 10) % 8)) + 1 END])
+    ELSE ws END ws
+  FROM g),
+w AS MATERIALIZED (SELECT doc_id, n, unnest(ws) word, unnest(range(n)) i FROM p),
+m AS (
+  SELECT a.doc_id, b.i - a.i q, a.i FROM w a JOIN w b
+  ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+s AS (SELECT doc_id, q, min(i) start, count(*) + q length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) k FROM m) GROUP BY doc_id, q, k),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+o AS (
+  SELECT doc_id, count(*) n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) lines,
+    arg_min(struct_pack(s := start, l := length, p := period), struct_pack(e := -length::DOUBLE / period, s := start, p := period)) b
+  FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) i FROM r),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) txt FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT n_runs, b.s::BIGINT "start", b.l::BIGINT length, b.p::BIGINT period,
+  (1000 * b.l // b.p)::BIGINT exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(txt, '')) collapsed_sha256
+FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
