@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, periods, secrets, suffixes, toxicity, warc
+from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, periods, quality, secrets, suffixes, toxicity, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,11 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT n_runs, b.s::BIGINT "start", b.l::B
   (1000 * b.l // b.p)::BIGINT exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(txt, '')) collapsed_sha256
 FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_quality_rules"] = quality.oracle()
