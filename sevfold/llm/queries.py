@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sevfold.llm import decontaminate, kdtree, langid, licenses, ngram_join, packing, periods, quality, secrets, suffixes, toxicity, warc
+from sevfold.llm import decontaminate, divergence, kdtree, langid, licenses, ngram_join, packing, periods, quality, secrets, suffixes, toxicity, warc
 from sevfold.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_quality_rules"] = quality.oracle()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.ORACLE
