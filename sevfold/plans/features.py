@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sevfold.functions.code import clean_changes
 from sevfold.functions.text import char_ngrams, code_tokens, desc_tokens, is_usable_gram, ngrams, parse_vector, strip, term_counts
+from sevfold.operators.lookup import Grams, Vocabulary, fits, frequent_grams, gathered, gathered_grams, gram_vectors, known_grams, known_terms, spelt_grams, term_vectors
 from sevfold.operators.ranking import bounded
 from sevfold.operators.vocabulary import MAX_FEATURES, count_docs, index_terms, term_table, vocabulary
 
@@ -37,11 +37,6 @@ DESC_CONFIGS = {
 }
 
 
-def in_vocabulary(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Term rows whose term is in a vocabulary. One that fits is broadcast, so term rows stay where they are."""
-    return terms.join(bounded(vocab.select("term")), "term", "left_semi")
-
-
 def bow_counts(df: DataFrame, fit_on: DataFrame, doc: str, code: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """Code token counts over the vocabulary of ``fit_on``; that is ``max_features`` terms at most."""
     vocab = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), max_features=max_features)
@@ -59,27 +54,40 @@ def desc_features(df: DataFrame, fit_on: DataFrame, doc: str, text: str, config:
     tf-idf uses idf = ln((1 + n) / (1 + df)) + 1 and rows of length 1 in the L2 norm.
     """
     cfg = DESC_CONFIGS[config]
-    n = count_docs(fit_on)
-    vocab = vocabulary(
-        term_table(fit_on, [doc], desc_terms(F.col(text), cfg.hi)), n, min_df=MIN_DF_SHARE, max_features=None
-    )
+    vocab, small = fits(desc_vocabulary(fit_on, F.col(text), cfg.hi))
+    if small:
+        return known_terms(df, doc, desc_terms(F.col(text), cfg.hi), gathered(vocab, "idf" if cfg.tfidf else None))
     terms = term_table(df, [doc], desc_terms(F.col(text), cfg.hi))
     if not cfg.tfidf:
-        return in_vocabulary(terms, vocab).select(doc, "term", "tf", F.col("tf").cast("double").alias("weight"))
-    idf = vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = terms.join(bounded(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+        return terms.join(vocab, "term", "left_semi").select(doc, "term", "tf", F.col("tf").cast("double").alias("weight"))
+    weighed = terms.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return weighed.select(doc, "term", "tf", (F.col("w") / length).alias("weight"))
 
 
+def desc_vocabulary(fit_on: DataFrame, text: Column, hi: int) -> DataFrame:
+    """``term, df, cf, idf`` of word grams that a thousandth of the texts share.
+
+    That share bounds it: no more than a thousand times the distinct grams of a mean text.
+    """
+    n = count_docs(fit_on)
+    vocab = vocabulary(fit_on.select(F.inline(term_counts(desc_terms(text, hi)))), n, min_df=MIN_DF_SHARE, max_features=None)
+    return vocab.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+
+
 def drop_empty_docs(df: DataFrame, terms: DataFrame, doc: str) -> DataFrame:
     """Documents that hold at least one known term."""
     return df.join(terms.select(doc).distinct(), doc, "left_semi")
 
 
+def stored(vec: str) -> Column:
+    """Indices and values that a vector stores."""
+    return F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), "v struct<indices: array<int>, values: array<double>>")["v"]
+
+
 def stored_values(vec: str) -> Column:
     """Values that a vector stores: the non-zero ones of a sparse vector, which is never spread out."""
-    return F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), "v struct<values: array<double>>")["v"]["values"]
+    return stored(vec)["values"]
 
 
 def drop_empty_vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -87,11 +95,24 @@ def drop_empty_vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.filter(F.exists(stored_values(vec), lambda x: x != 0))
 
 
+def plain_text(c: Column) -> Column:
+    """Lower case, with runs of white space as one blank: what character grams are cut from."""
+    return F.regexp_replace(F.lower(c), r"(?U)\s\s+", " ")
+
+
 def gram_vocabulary(fit_on: DataFrame, code: str, min_df: int = MIN_DF_GRAMS) -> DataFrame:
     """Character grams of 3 to 6 that ``min_df`` documents share and that are one token.
 
-    Document frequency needs no counts inside a document, so each row sends distinct grams.
+    Grams are counted as hashes; only the shared ones are spelt. Where even their hashes are too
+    many for that, grams are counted by their text.
     """
+    texts = fit_on.select(plain_text(F.col(code)))
+    spelt = spelt_grams(texts, frequent_grams(texts, min_df, GRAM_LO, GRAM_HI), GRAM_LO - 1, GRAM_HI)
+    return spelt_gram_vocabulary(fit_on, code, min_df) if spelt is None else spelt
+
+
+def spelt_gram_vocabulary(fit_on: DataFrame, code: str, min_df: int) -> DataFrame:
+    """``gram_vocabulary`` by the text of every gram: each row sends its distinct grams."""
     grams = F.explode(F.array_distinct(char_ngrams(F.col(code), GRAM_LO, GRAM_HI))).alias("gram")
     shared = fit_on.select(grams).groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     return shared.filter(is_usable_gram(F.col("gram"))).select(strip(F.col("gram")).alias("term")).distinct()
@@ -102,6 +123,21 @@ def vocabulary_difference(words: DataFrame, grams: DataFrame) -> DataFrame:
     return words.join(grams.select("term"), "term", "left_anti")
 
 
+@dataclass
+class SubwordModel:
+    """Chosen words that are no gram, and the grams: each an alphabetical block of the vector."""
+
+    words: Vocabulary
+    grams: Grams
+
+
+def word_and_gram_vocabularies(fit_on: DataFrame, code: str, min_df: int, max_words: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Words that are none of the grams, the grams, and whether these can be held by every task. Grams are counted once."""
+    grams, small = fits(gram_vocabulary(fit_on, code, min_df))
+    chosen = vocabulary(fit_on.select(F.inline(term_counts(code_tokens(F.col(code))))), max_features=max_words)
+    return vocabulary_difference(chosen.select("term"), grams), grams, small and "hash" in grams.columns
+
+
 def subword_features(
     df: DataFrame, fit_on: DataFrame, doc: str, code: str, min_df: int = MIN_DF_GRAMS, max_words: int = MAX_FEATURES
 ) -> DataFrame:
@@ -109,16 +145,30 @@ def subword_features(
 
     The chosen grams are counted as grams of 2 to 6 characters, since stripping may shorten them.
     """
-    grams = gram_vocabulary(fit_on, code, min_df)
-    all_words = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), max_features=max_words)
-    words = vocabulary_difference(all_words.select("term"), grams)
-    gram_rows = in_vocabulary(term_table(df, [doc], char_ngrams(F.col(code), GRAM_LO - 1, GRAM_HI)), grams)
-    word_rows = term_table(df, [doc], code_tokens(F.col(code))).join(F.broadcast(words), "term", "left_semi")
+    words, grams, small = word_and_gram_vocabularies(fit_on, code, min_df, max_words)
+    if small:
+        gram_rows = known_grams(df, doc, plain_text(F.col(code)), gathered_grams(grams), GRAM_LO - 1, GRAM_HI)
+    else:
+        gram_rows = term_table(df, [doc], char_ngrams(F.col(code), GRAM_LO - 1, GRAM_HI)).join(grams.select("term"), "term", "left_semi")
+    word_rows = known_terms(df, doc, code_tokens(F.col(code)), gathered(words))  # at most max_words
     return word_rows.select(doc, F.lit("word").alias("block"), "term", "tf").unionByName(
         gram_rows.select(doc, F.lit("char").alias("block"), "term", "tf")
     )
 
 
+def subword_model(fit_on: DataFrame, code: str, min_df: int = MIN_DF_GRAMS, max_words: int = MAX_FEATURES) -> SubwordModel:
+    """Vocabularies for ``subword_vectors``; grams that no task can hold are an error, ``subword_features`` takes them."""
+    words, grams, small = word_and_gram_vocabularies(fit_on, code, min_df, max_words)
+    if not small:
+        raise ValueError("too many grams for vectors; choose a larger min_df or subword_features")
+    return SubwordModel(gathered(words), gathered_grams(grams))
+
+
+def subword_vectors(df: DataFrame, model: SubwordModel, keep: list[str], code: str, out: str = "features") -> DataFrame:
+    """Columns ``keep`` and a sparse vector of counts: words, then grams."""
+    return gram_vectors(df, keep, code_tokens(F.col(code)), model.words, plain_text(F.col(code)), model.grams, GRAM_LO - 1, GRAM_HI, out)
+
+
 def count_model(vocab: DataFrame, max_features: int, words: str = "words", out: str = "features") -> CountVectorizerModel:
     """Counting model over a vocabulary of at most ``max_features`` terms."""
     return CountVectorizerModel.from_vocabulary(index_terms(vocab, max_features), inputCol=words, outputCol=out)
@@ -134,22 +184,12 @@ def bow_vectors(df: DataFrame, model: Model, code: str) -> DataFrame:
 
 
 def desc_vectors(df: DataFrame, fit_on: DataFrame, text: str, config: int, out: str = "features") -> DataFrame:
-    """Vectors of a description configuration, for ``pyspark.ml`` classifiers.
-
-    The share of documents bounds the vocabulary, so ``vocabSize`` is set out of its reach.
-    Spark's idf lacks the 1 that is added to each weight here.
-    """
+    """All columns and vectors of a description configuration, for ``pyspark.ml`` classifiers. A null text has no terms."""
     cfg = DESC_CONFIGS[config]
-    words = desc_terms(F.col(text), cfg.hi)
-    counter = CountVectorizer(inputCol="words", outputCol="counts" if cfg.tfidf else out, minDF=MIN_DF_SHARE, vocabSize=1 << 26)
-    train = fit_on.select(words.alias("words"))
-    model = counter.fit(train)
-    counted = model.transform(df.withColumn("words", words)).drop("words")
-    if not cfg.tfidf:
-        return counted
-    idf = IDF(inputCol="counts", outputCol="weighed").fit(model.transform(train)).idf.toArray() + 1.0
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighed")
-    return Normalizer(p=2.0, inputCol="weighed", outputCol=out).transform(scale.transform(counted)).drop("counts", "weighed")
+    vocab, small = fits(desc_vocabulary(fit_on, F.col(text), cfg.hi))
+    if not small:
+        raise ValueError("too many grams for vectors; desc_features takes them")
+    return term_vectors(df, df.columns, [(desc_terms(F.col(text), cfg.hi), gathered(vocab, "idf" if cfg.tfidf else None))], out)
 
 
 def assemble(df: DataFrame, blocks: list[str], out: str = "features") -> DataFrame:

@@ -12,8 +12,10 @@ from sevfold.plans import features as ft, models as md
 from sevfold.queries import derived as d
 from sevfold.queries.registry import Tables, query
 from sevfold.queries.text import CODE_TOKEN_SQL
+from sevfold.queries.vectors import desc_sql
 from sevfold.sources.paths import scratch
 
+
 def vectors(t: Tables) -> DataFrame:
     """Documents as token counts, labelled with their language."""
     f = d.funcs(t)
@@ -23,11 +25,6 @@ def vectors(t: Tables) -> DataFrame:
     return indexer.transform(ft.bow_vectors(f, model, "func_before")).select("id", "partition", "label", "features")
 
 
-def stored(vec: str):
-    """Indices and values that a vector stores."""
-    return F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), "v struct<indices: array<int>, values: array<double>>")["v"]
-
-
 def counts_sql(table: str, key: str, text: str, fit: str = "TRUE") -> str:
     """Token counts over the 10,000 most frequent tokens of the rows in ``fit``, tokens as alphabetical numbers."""
     return f"""tokens AS (SELECT {key} AS doc_key, {fit} AS fitted, unnest(regexp_extract_all({text}, {CODE_TOKEN_SQL})) AS term FROM {table}),
@@ -46,12 +43,18 @@ def m1(t: Tables) -> DataFrame:
     return counted.select("id", "label", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("n_tokens"))
 
 
-@query("m2_desc_vectors")
+@query(
+    "m2_desc_vectors",
+    f"""WITH {desc_sql(2)}, places AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS place FROM vocab),
+        weighed AS (SELECT doc_id, place, tf * (ln((1 + (SELECT n FROM train))::DOUBLE / (1 + df)) + 1) AS w FROM terms JOIN places USING (term))
+        SELECT doc_id, CAST(place AS INT) AS place, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighed""",
+)
 def m2(t: Tables) -> DataFrame:
     docs = d.documents(t).select("doc_id", "text", "partition")
     out = ft.desc_vectors(docs, docs.filter("partition = 'train'"), "text", 6)
-    kept = ft.drop_empty_vectors(out, "features").select("doc_id", ft.stored_values("features").alias("v"))
-    return kept.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
+    kept = ft.drop_empty_vectors(out, "features").select("doc_id", ft.stored("features").alias("v"))
+    cells = kept.select("doc_id", F.inline(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("weight"))))
+    return cells.withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -86,7 +89,7 @@ SIDE_SQL = f"WITH {counts_sql('documents', 'doc_id', 'text')} SELECT doc_key AS
 def m7b(t: Tables) -> DataFrame:
     bow = ft.bow_model(t.documents, "text")
     side = ft.side_features(t.documents, "doc_id", "text", bow)
-    return side.select("doc_id", F.inline(F.arrays_zip(stored("features")["indices"].alias("place"), stored("features")["values"].alias("n"))))
+    return side.select("doc_id", F.inline(F.arrays_zip(ft.stored("features")["indices"].alias("place"), ft.stored("features")["values"].alias("n"))))
 
 
 def register_classifier(name: str, classifier: str, *params) -> None:
@@ -132,5 +135,5 @@ def m17(t: Tables) -> DataFrame:
     ft.save_model(ft.bow_model(t.documents, "text"), path)
     loaded = ft.load_model(CountVectorizerModel, path)
     counted = loaded.transform(t.documents.withColumn("tokens", code_tokens(F.col("text"))))
-    kept = stored(loaded.getOutputCol())
+    kept = ft.stored(loaded.getOutputCol())
     return counted.select("doc_id", F.inline(F.arrays_zip(kept["indices"].alias("place"), kept["values"].alias("n"))))

@@ -49,7 +49,7 @@ def m1(t: Tables) -> DataFrame:
     return ft.bow_counts(f, f.filter("partition = 'train'"), "id", "func_before")
 
 
-def _desc_sql(hi: int) -> str:
+def desc_sql(hi: int) -> str:
     return f"""{d.DOCS}, words AS (SELECT doc_id, partition, {DESC_SQL} AS w FROM docs), sizes AS (SELECT unnest(range(1, {hi + 1})) AS n),
 flat AS (SELECT doc_id, partition, unnest(w) AS t1, unnest(range(len(w))) AS i FROM words),
 led AS (SELECT doc_id, partition, t1, lead(t1) OVER o AS t2, lead(t1, 2) OVER o AS t3, lead(t1, 3) OVER o AS t4 FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -63,11 +63,11 @@ vocab AS (SELECT term, count(*) AS df FROM terms WHERE partition = 'train' GROUP
 def register_desc(config: int) -> None:
     cfg = ft.DESC_CONFIGS[config]
     if cfg.tfidf:
-        sql = f"""WITH {_desc_sql(cfg.hi)}, weighed AS (
+        sql = f"""WITH {desc_sql(cfg.hi)}, weighed AS (
             SELECT doc_id, term, tf, tf * (ln((1 + (SELECT n FROM train))::DOUBLE / (1 + df)) + 1) AS w FROM terms JOIN vocab USING (term))
             SELECT doc_id, term, CAST(tf AS INT) AS tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighed"""
     else:
-        sql = f"WITH {_desc_sql(cfg.hi)} SELECT doc_id, term, CAST(tf AS INT) AS tf, tf::DOUBLE AS weight FROM terms WHERE term IN (SELECT term FROM vocab)"
+        sql = f"WITH {desc_sql(cfg.hi)} SELECT doc_id, term, CAST(tf AS INT) AS tf, tf::DOUBLE AS weight FROM terms WHERE term IN (SELECT term FROM vocab)"
 
     @query(f"m2_desc_features_config{config}", sql)
     def weighted(t: Tables) -> DataFrame:
@@ -95,9 +95,12 @@ def u4(t: Tables) -> DataFrame:
     return ft.vocabulary_difference(words, ft.gram_vocabulary(train, "text"))
 
 
+SUBWORD_GRAMS = TRAIN_GRAMS.replace("range(3, 7)", "range(2, 7)").replace("WHERE partition = 'train' GROUP BY 1 HAVING", "WHERE partition = 'train' AND n > 2 GROUP BY 1 HAVING")
+
+
 @query(
     "m3_subword_features",
-    f"""WITH {d.DOCS}, {TRAIN_GRAMS.replace('range(3, 7)', 'range(2, 7)').replace("WHERE partition = 'train' GROUP BY 1 HAVING", "WHERE partition = 'train' AND n > 2 GROUP BY 1 HAVING")}
+    f"""WITH {d.DOCS}, {SUBWORD_GRAMS}
         SELECT doc_id, 'word' AS block, term, CAST(count(*) AS INT) AS tf FROM tokens WHERE term IN (SELECT term FROM words) GROUP BY 1, 2, 3
         UNION ALL SELECT doc_id, 'char', gram, CAST(count(*) AS INT) FROM grams WHERE gram IN (SELECT term FROM slt) GROUP BY 1, 2, 3""",
 )
@@ -106,6 +109,21 @@ def m3(t: Tables) -> DataFrame:
     return ft.subword_features(docs, docs.filter("partition = 'train'"), "doc_id", "text")
 
 
+@query(
+    "m3_subword_vectors",
+    f"""WITH {d.DOCS}, {SUBWORD_GRAMS},
+        word_places AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM words),
+        gram_places AS (SELECT term, (SELECT count(*) FROM words) + row_number() OVER (ORDER BY term) - 1 AS place FROM slt)
+        SELECT doc_id, CAST(place AS INT) AS place, count(*)::DOUBLE AS n FROM tokens JOIN word_places USING (term) GROUP BY 1, 2
+        UNION ALL SELECT doc_id, CAST(place AS INT), count(*)::DOUBLE FROM grams JOIN gram_places ON gram = term GROUP BY 1, 2""",
+)
+def m3_vectors(t: Tables) -> DataFrame:
+    docs = d.documents(t).select("doc_id", "text", "partition")
+    model = ft.subword_model(docs.filter("partition = 'train'"), "text")
+    held = ft.subword_vectors(docs, model, ["doc_id"], "text").select("doc_id", ft.stored("features").alias("v"))
+    return held.select("doc_id", F.inline(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))))
+
+
 @query(
     "j6_join_vectors",
     f"WITH {d.TOKENS_VEC} SELECT doc_id, CAST(pos AS INT) AS pos, vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM tokens_vec JOIN embeddings USING (vec_id)",

@@ -15,7 +15,7 @@ from tests.oracle import compare, connect, spent
 def main(sf_dir: str, prefixes: list[str]) -> int:
     spark = (
         SparkSession.builder.master("local[8]").appName("check").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
