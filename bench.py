@@ -19,7 +19,7 @@ flagship_metrics_by_lang a14_metrics_row f1_clean_code f5_f11_all_scopes f13_ren
 a3_length_profile a15_vocabulary m1_bow_counts m2_desc_features_config2 m3_subword_features
 t1_group_split_customers w8_stratified_fractions w9_assign_folds j1_overwrite_from w1_best_per_group w2_best_params
 w5_early_stop_consecutive f32_parse_log a17_mann_whitney a18_wilcoxon a20_cvss_distance
-j8_knn_l2 m6_mean_vector f29_extract_fields f17_stem_tokens m8_naive_bayes m11_random_forest
+j8_knn_l2 m6_mean_vector f29_extract_fields f17_stem_tokens m3_subword_vectors m8_naive_bayes m11_random_forest
 """.split()
 
 

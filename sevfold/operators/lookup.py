@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from sevfold.sources.paths import ensure_checkpoint_dir
 
@@ -127,6 +127,41 @@ def term_vectors(df: DataFrame, keep: list[str], blocks: list[tuple[Column, Voca
     return read.mapInArrow(run, schema)
 
 
+def term_places(df: DataFrame, terms: Column, vocab: Vocabulary) -> DataFrame:
+    """All columns, and ``place`` and ``tf``: places of the known terms of each row in the vocabulary, in order, with their counts."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab.terms)
+    keep = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            row, place, n = _term_rows(batch, "__terms", known)
+            lists = [_lists(row, pa.array(x.astype(np.int32)), len(batch)) for x in (place, n)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *lists], names=[*keep, "place", "tf"])
+
+    schema = StructType([*df.schema, StructField("place", ArrayType(IntegerType())), StructField("tf", ArrayType(IntegerType()))])
+    return df.select(*keep, terms.alias("__terms")).mapInArrow(run, schema)
+
+
+def place_vectors(rows: DataFrame, size: int, weights: np.ndarray | None, out: str = "features") -> DataFrame:
+    """Rows of ``term_places`` with a vector of the places below ``size``: counts, or counts times weights at length 1."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    keep = [c for c in rows.columns if c not in ("place", "tf")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("place")
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            place, n = lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
+            front = place < size
+            row, place = row[front], place[front]
+            w = _weighed(row, place, n[front], shared.value, len(batch))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _vectors(row, place, w, size, len(batch))], names=[*keep, out])
+
+    schema = StructType([*[rows.schema[c] for c in keep], StructField(out, VectorUDT())])
+    return rows.mapInArrow(run, schema)
+
+
 # Character grams -------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sevfold.functions.code import clean_changes
 from sevfold.functions.text import char_ngrams, code_tokens, desc_tokens, is_usable_gram, ngrams, parse_vector, strip, term_counts
-from sevfold.operators.lookup import Grams, Vocabulary, fits, frequent_grams, gathered, gathered_grams, gram_vectors, known_grams, known_terms, spelt_grams, term_vectors
+from sevfold.operators.lookup import Grams, Vocabulary, fits, frequent_grams, gathered, gathered_grams, gram_vectors, known_grams, known_terms, place_vectors, spelt_grams, term_places, term_vectors
 from sevfold.operators.ranking import bounded
 from sevfold.operators.vocabulary import MAX_FEATURES, count_docs, index_terms, term_table, vocabulary
 
@@ -39,7 +40,7 @@ DESC_CONFIGS = {
 
 def bow_counts(df: DataFrame, fit_on: DataFrame, doc: str, code: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """Code token counts over the vocabulary of ``fit_on``; that is ``max_features`` terms at most."""
-    vocab = vocabulary(term_table(fit_on, [doc], code_tokens(F.col(code))), max_features=max_features)
+    vocab = frequent_terms(fit_on, code_tokens(F.col(code)), max_features)
     terms = term_table(df, [doc], code_tokens(F.col(code)))
     return terms.join(F.broadcast(vocab.select("term")), "term", "left_semi").select(doc, "term", "tf")
 
@@ -134,7 +135,7 @@ class SubwordModel:
 def word_and_gram_vocabularies(fit_on: DataFrame, code: str, min_df: int, max_words: int) -> tuple[DataFrame, DataFrame, bool]:
     """Words that are none of the grams, the grams, and whether these can be held by every task. Grams are counted once."""
     grams, small = fits(gram_vocabulary(fit_on, code, min_df))
-    chosen = vocabulary(fit_on.select(F.inline(term_counts(code_tokens(F.col(code))))), max_features=max_words)
+    chosen = frequent_terms(fit_on, code_tokens(F.col(code)), max_words)
     return vocabulary_difference(chosen.select("term"), grams), grams, small and "hash" in grams.columns
 
 
@@ -174,9 +175,14 @@ def count_model(vocab: DataFrame, max_features: int, words: str = "words", out:
     return CountVectorizerModel.from_vocabulary(index_terms(vocab, max_features), inputCol=words, outputCol=out)
 
 
+def frequent_terms(fit_on: DataFrame, terms: Column, max_features: int) -> DataFrame:
+    """The ``max_features`` terms that stand most often in all texts; without document counts, so terms need no order in a row."""
+    counted = fit_on.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    return counted.orderBy(F.desc("cf"), "term").limit(max_features)
+
+
 def bow_model(fit_on: DataFrame, code: str, max_features: int = MAX_FEATURES, out: str = "bow") -> CountVectorizerModel:
-    terms = fit_on.select(F.inline(term_counts(code_tokens(F.col(code)))))
-    return count_model(vocabulary(terms, max_features=max_features), max_features, "tokens", out)
+    return count_model(frequent_terms(fit_on, code_tokens(F.col(code)), max_features), max_features, "tokens", out)
 
 
 def bow_vectors(df: DataFrame, model: Model, code: str) -> DataFrame:
@@ -192,6 +198,36 @@ def desc_vectors(df: DataFrame, fit_on: DataFrame, text: str, config: int, out:
     return term_vectors(df, df.columns, [(desc_terms(F.col(text), cfg.hi), gathered(vocab, "idf" if cfg.tfidf else None))], out)
 
 
+@dataclass
+class GramCounts:
+    """Counts of word grams inside each row (``place``, ``tf``), the vocabulary by length, then alphabet, and what each length ends at."""
+
+    rows: DataFrame
+    idf: np.ndarray
+    ends: dict[int, int]
+
+
+def desc_counts(df: DataFrame, fit_on: DataFrame, text: str, hi: int) -> GramCounts:
+    """Counts of word grams of up to ``hi`` words for all configurations at once.
+
+    A gram is in the vocabulary of a configuration by its own share of texts and its length, so a shorter
+    limit is the front of the vocabulary.
+    """
+    vocab, small = fits(desc_vocabulary(fit_on, F.col(text), hi))
+    if not small:
+        raise ValueError("too many grams for vectors; desc_features takes them")
+    table = vocab.select("term", "idf", (F.length("term") - F.length(F.replace("term", F.lit(" "))) + 1).alias("words")).toArrow().sort_by([("words", "ascending"), ("term", "ascending")])
+    words = table["words"].to_numpy()
+    rows = term_places(df, desc_terms(F.col(text), hi), Vocabulary(table["term"].combine_chunks()))
+    return GramCounts(rows, table["idf"].to_numpy(), {n: int((words <= n).sum()) for n in range(1, hi + 1)})
+
+
+def config_vectors(rows: DataFrame, counts: GramCounts, config: int) -> DataFrame:
+    """``rows`` of ``GramCounts`` with the vectors of one configuration."""
+    cfg = DESC_CONFIGS[config]
+    return place_vectors(rows, counts.ends[cfg.hi], counts.idf if cfg.tfidf else None)
+
+
 def assemble(df: DataFrame, blocks: list[str], out: str = "features") -> DataFrame:
     """Feature blocks side by side."""
     return VectorAssembler(inputCols=blocks, outputCol=out).transform(df)

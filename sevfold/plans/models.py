@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
@@ -11,13 +12,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.sql import DataFrame, functions as F
 
+from sevfold.functions.text import code_tokens
 from sevfold.operators.metrics import confusion, metrics_row
 from sevfold.operators.neighbours import knn, knn_vote
-from sevfold.operators.relational import stack
+from sevfold.plans.features import (
+    DESC_CONFIGS, bow_model, bow_vectors, config_vectors, desc_counts, drop_empty_vectors, embedding_features, indexed_label, subword_model, subword_vectors, word2vec,
+)
 from sevfold.plans.results import average_results, best_per_group
+from sevfold.sources.readers import committed_keys, read_appended
+from sevfold.sources.schemas import RESULT_KEYS, RESULT_METRICS
+from sevfold.sources.writers import append_once
 
 SEED = 42
 MAX_DEPTH = 30
+SCORED = ("valid", "test")
+#: Confusion rows of one setting.
+CELLS = ", ".join(f"{k} string" for k in RESULT_KEYS) + ", part string, gold int, pred int, n long, train_time double, time double"
 
 
 def depth_of(leaves: int | None) -> int:
@@ -76,30 +86,41 @@ class KNNEstimator:
         return asked.join(votes, "row").drop("row", "v")
 
 
-def timed_predictions(model, df: DataFrame) -> tuple[DataFrame, float]:
-    """Confusion matrix of a model on labelled vectors, computed once and held, and the seconds."""
+def scored(estimator: Estimator, parts: dict[str, DataFrame]) -> list[tuple]:
+    """Fit on ``train`` and predict the other parts: ``part, gold, pred, n, train_time, time`` per pair of classes."""
     start = time.perf_counter()
-    cm = confusion(model.transform(df), "label", "prediction").persist()
-    cm.count()
-    return cm, time.perf_counter() - start
+    model = estimator.fit(parts["train"])
+    train_time = round(time.perf_counter() - start, 3)
+    out = []
+    for part in SCORED:
+        start = time.perf_counter()
+        pairs = confusion(model.transform(parts[part]), "label", "prediction").collect()  # one row per pair of classes
+        seconds = round(time.perf_counter() - start, 3)
+        out += [(part, int(r["gold"]), int(r["pred"]), r["n"], train_time, seconds) for r in pairs]
+    return out
 
 
-def evaluate(estimator: Estimator, parts: dict[str, DataFrame], job: dict[str, str]) -> DataFrame:
-    """Fit on ``train``, predict ``valid`` and ``test``: one result row."""
-    start = time.perf_counter()
-    model = estimator.fit(parts["train"])
-    train_time = time.perf_counter() - start
-    rows = []
-    for part, short in (("valid", "val"), ("test", "test")):
-        cm, seconds = timed_predictions(model, parts[part])
-        metrics = metrics_row(cm, []).withColumn("time", F.lit(round(seconds, 3)))
-        rows.append(metrics.select(*[F.col(c).alias(f"{short}_{c}") for c in metrics.columns]).first().asDict())
-        cm.unpersist()
-    values = {**job, **rows[0], "train_time": round(train_time, 3), **rows[1]}
-    order = [*job, *[f"val_{m}" for m in ("acc", "prec", "rec", "gmean", "f1", "mcc")], "train_time", "val_time",
-             *[f"test_{m}" for m in ("acc", "prec", "rec", "gmean", "f1", "mcc")], "test_time"]
-    spark = parts["train"].sparkSession
-    return spark.createDataFrame([tuple(values[c] for c in order)], ", ".join(f"{c} {'string' if c in job else 'double'}" for c in order))
+def held_parts(features: DataFrame, partition: str = "partition") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Labelled vectors, held until ``unpersist``, and their parts."""
+    held = features.select("label", "features", partition).persist(StorageLevel.MEMORY_AND_DISK)
+    return held, {p: held.filter(F.col(partition) == p).select("label", "features") for p in ("train", *SCORED)}
+
+
+def result_rows(cells: DataFrame) -> DataFrame:
+    """One result row per setting from the confusion rows of ``CELLS``; a part without rows has null metrics."""
+    keys = list(RESULT_KEYS)
+    times = cells.groupBy(*keys, "part").agg(F.max("train_time").alias("train_time"), F.max("time").alias("time"))
+    rows = metrics_row(cells.select(*keys, "part", "gold", "pred", "n"), [*keys, "part"]).join(times, [*keys, "part"])
+    names = {"valid": "val", "test": "test"}
+    wide = rows.groupBy(*keys).agg(
+        F.max("train_time").alias("train_time"),
+        *[F.max(F.when(F.col("part") == part, F.col(m))).alias(f"{short}_{m}") for part, short in names.items() for m in ("acc", "prec", "rec", "gmean", "f1", "mcc", "time")],
+    )
+    return wide.select(*keys, *RESULT_METRICS)
+
+
+def _settings(models: dict[str, list[tuple]]) -> list[tuple[str, tuple, str]]:
+    return [(name, params, "-".join(map(str, params))) for name, grid in models.items() for params in grid]
 
 
 def run_grid(
@@ -108,21 +129,113 @@ def run_grid(
     """Result rows of every classifier and parameter on one feature table.
 
     The features are held for the whole search. The driver loops over a short list of settings;
-    each fit and each prediction is a Spark job.
+    each fit and each prediction is a Spark job, and gathers confusion rows.
     """
-    columns = ["label", "features", partition]
-    held = features.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    held, parts = held_parts(features, partition)
     try:
-        parts = {p: held.filter(F.col(partition) == p).select("label", "features") for p in ("train", "valid", "test")}
         n_rows = parts["train"].count()
-        rows = [
-            evaluate(classifier(name, *params, n_rows=n_rows), parts, {**job, "classifier": name, "parameters": "-".join(map(str, params))})
-            for name, grid in models.items()
-            for params in grid
-        ]
-        return stack(rows)
+        base = tuple(job[k] for k in RESULT_KEYS[:4])
+        cells = [(*base, name, text, *row) for name, params, text in _settings(models) for row in scored(classifier(name, *params, n_rows=n_rows), parts)]
+    finally:
+        held.unpersist()
+    return result_rows(features.sparkSession.createDataFrame(cells, CELLS))
+
+
+def run_jobs(
+    jobs: DataFrame, features_of: Callable[[dict[str, str]], DataFrame], path: str, models: dict[str, list[tuple]],
+    stop_after: int | None = None,
+) -> DataFrame:
+    """Result rows of a job list (``sources.schemas.JOBS``) that goes on where an earlier run stopped.
+
+    ``features_of`` gives the labelled vectors of a job with their ``partition``; they are made only
+    for jobs with settings left. Each setting is appended to the table at ``path`` under a key of its
+    own, and finished keys are skipped, so a lost driver costs one fit. ``stop_after`` ends the run
+    after so many fits.
+    """
+    spark = jobs.sparkSession
+    done = {r["key"] for r in committed_keys(spark, path).collect()}  # as many as there are settings
+    left = math.inf if stop_after is None else stop_after
+    for row in jobs.collect():
+        job = row.asDict()
+        base = (job["cvss_col"], job["granularity"], job["scope"], job["feature"])
+        todo = [(s, key) for s in _settings(models) if (key := "|".join([*base, s[0], s[2]])) not in done]
+        if not todo or left <= 0:
+            continue
+        held, parts = held_parts(features_of(job))
+        try:
+            n_rows = parts["train"].count()
+            for (name, params, text), key in todo:
+                if left <= 0:
+                    break
+                cells = [(*base, name, text, *r) for r in scored(classifier(name, *params, n_rows=n_rows), parts)]
+                append_once(spark.createDataFrame(cells, CELLS).coalesce(1), path, key)
+                done.add(key)
+                left -= 1
+        finally:
+            held.unpersist()
+    return result_rows(read_appended(spark, path, CELLS))
+
+
+def job_features(df: DataFrame, feature: str, label: str, code: str = "code", embedding: str = "codebert") -> DataFrame:
+    """``label, features, partition`` of one kind of features, fitted on the train part.
+
+    ``bow`` counts tokens, ``subwords`` tokens and character grams, ``word2vec`` is the mean of trained
+    word vectors; ``codebert`` reads the stored vector in column ``embedding``.
+    """
+    train = df.filter("partition = 'train'")
+    coded = indexed_label(label, "label").fit(train).transform(df)
+    if feature == "bow":
+        return bow_vectors(coded, bow_model(train, code, out="features"), code).select("label", "features", "partition")
+    if feature == "subwords":
+        return subword_vectors(coded, subword_model(train, code), ["label", "partition"], code)
+    if feature == "codebert":
+        return embedding_features(coded, embedding).select("label", "features", "partition")
+    if feature == "word2vec":
+        words = word2vec().fit(train.select(code_tokens(F.col(code)).alias("tokens")))
+        return words.setOutputCol("features").transform(coded.withColumn("tokens", code_tokens(F.col(code)))).select("label", "features", "partition")
+    raise ValueError(f"unknown feature {feature!r}")
+
+
+def description_models(config: int, boosted: bool = False) -> dict[str, tuple]:
+    """Classifiers of the description baseline; the regression's penalty follows the weights."""
+    models = {"nb": (), "svm": (0.1,), "lr": (10 if DESC_CONFIGS[config].tfidf else 0.1,), "rf": (100, None)}
+    return models | ({"gbt": (100, 100)} if boosted else {})
+
+
+def description_grid(
+    df: DataFrame, text: str, label: str, models: tuple[str, ...] = ("nb", "svm", "lr", "rf"), configs: tuple[int, ...] = tuple(DESC_CONFIGS),
+    score_on: str = "valid", digits: int | None = 5,
+) -> DataFrame:
+    """``config, classifier, acc, prec, rec, f1, mcc, seconds`` of the description baseline.
+
+    Grams of up to four words are counted once. The vocabulary is ordered by the length of its grams, so
+    each configuration is a front part of the same counts. Scored rows without a known gram are dropped.
+    """
+    train = df.filter("partition = 'train'")
+    counts = desc_counts(df.filter(F.col("partition").isin("train", score_on)), train, text, max(DESC_CONFIGS[c].hi for c in configs))
+    held = indexed_label(label).fit(train).transform(counts.rows).select("label", "partition", "place", "tf").persist(StorageLevel.MEMORY_AND_DISK)
+    cells = []
+    try:
+        n_rows = held.filter("partition = 'train'").count()
+        for config in configs:
+            vectors = config_vectors(held, counts, config).select("label", "partition", "features").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                for name, params in description_models(config, "gbt" in models).items():
+                    if name not in models:
+                        continue
+                    start = time.perf_counter()
+                    model = classifier(name, *params, n_rows=n_rows, multinomial=False).fit(vectors.filter("partition = 'train'"))
+                    scored_rows = drop_empty_vectors(vectors.filter(F.col("partition") == score_on), "features")
+                    pairs = confusion(model.transform(scored_rows), "label", "prediction").collect()
+                    seconds = round(time.perf_counter() - start, 3)
+                    cells += [(config, name, int(r["gold"]), int(r["pred"]), r["n"], seconds) for r in pairs]
+            finally:
+                vectors.unpersist()
     finally:
         held.unpersist()
+    rows = df.sparkSession.createDataFrame(cells, "config int, classifier string, gold int, pred int, n long, seconds double")
+    times = rows.groupBy("config", "classifier").agg(F.max("seconds").alias("seconds"))
+    return metrics_row(rows, ["config", "classifier"], digits).drop("gmean").join(times, ["config", "classifier"])
 
 
 def best_of_grid(results: DataFrame) -> DataFrame:
