@@ -138,7 +138,8 @@ def run_grid(
         cells = [(*base, name, text, *row) for name, params, text in _settings(models) for row in scored(classifier(name, *params, n_rows=n_rows), parts)]
     finally:
         held.unpersist()
-    return result_rows(features.sparkSession.createDataFrame(cells, CELLS))
+    order = F.array(*[F.lit(f"{name}|{text}") for name, _, text in _settings(models)])
+    return result_rows(features.sparkSession.createDataFrame(cells, CELLS)).orderBy(F.array_position(order, F.concat_ws("|", "classifier", "parameters")))
 
 
 def run_jobs(
