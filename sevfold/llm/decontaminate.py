@@ -182,6 +182,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without an overlap with the benchmark. A row with a null id stays."""
-    hit = set_down(overlaps(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(sized(hit, 16), "doc_id", "left_anti").select(docs.columns)
+    """Documents without an overlap with the benchmark.
+
+    A text is known by its hash, not by its id, so rows with a null or a repeated id are judged each by its own text.
+    """
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = set_down(overlaps(keyed, benchmark).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(sized(hit, 16), F.xxhash64(docs["text"]) == F.col("__leak"), "left_anti").select(docs.columns)

@@ -20,6 +20,7 @@ with a null id take no part. Fewer than k candidates give all of them. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,29 +61,76 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+@dataclass
+class Boxes:
+    """Nodes of a tree as tight boxes; node 0 is the root, a leaf has no children (-1) and its range of rows."""
+
+    low: np.ndarray
+    high: np.ndarray
+    children: np.ndarray
+    rows: np.ndarray
+
+
+def boxes(vectors: np.ndarray, first: np.ndarray) -> Boxes:
+    """Boxes of all nodes over the leaves ``first``: two neighbours make a parent, level by level up to the root."""
+    low = [vectors[a:b].min(axis=0) for a, b in zip(first[:-1], first[1:])]
+    high = [vectors[a:b].max(axis=0) for a, b in zip(first[:-1], first[1:])]
+    children = [(-1, -1)] * len(low)
+    level = list(range(len(low)))
+    while len(level) > 1:
+        above = []
+        for i in range(0, len(level), 2):
+            pair = level[i : i + 2]
+            if len(pair) == 2:
+                low.append(np.minimum(low[pair[0]], low[pair[1]]))
+                high.append(np.maximum(high[pair[0]], high[pair[1]]))
+                children.append((pair[0], pair[1]))
+                pair = [len(low) - 1]
+            above += pair
+        level = above
+    rows = np.full((len(low), 2), -1)
+    rows[: len(first) - 1] = np.stack([first[:-1], first[1:]], axis=1)
+    order = np.arange(len(low))[::-1]  # the root, made last, comes first
+    down = np.array(children)[order]
+    return Boxes(np.array(low)[order], np.array(high)[order], np.where(down < 0, -1, len(low) - 1 - down), rows[order])
+
+
 def search(ids: np.ndarray, vectors: np.ndarray, first: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int):
-    """Query positions, ids and scores of the best k per query at or above ``kth``; new k-th scores."""
-    leaves = [slice(a, b) for a, b in zip(first[:-1], first[1:])]
-    low = np.array([vectors[s].min(axis=0) for s in leaves])
-    high = np.array([vectors[s].max(axis=0) for s in leaves])
-    bound = product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low)
-    order = np.argsort(-bound, axis=1, kind="stable")
+    """Query positions, ids and scores of the best k per query at or above ``kth``; new k-th scores; bounds worked out.
+
+    Every query goes down the tree best-first: it opens the node with the highest bound among those it has met,
+    and stops when that is below its k-th score. Queries at the same node are worked through together.
+    """
+    tree = boxes(vectors, first)
     lowest = np.iinfo(np.int64).min
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    bound = np.full((len(queries), len(tree.low)), lowest)  # of the nodes met and not yet opened
+    bound[:, :1] = product(up, tree.high[:1]) + product(down, tree.low[:1])
+    seen = len(queries)
     best = np.full((len(queries), k), lowest)
     kth = kth.copy()
     every = np.arange(len(queries))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for step in range(len(leaves)):
-        leaf = order[:, step]
-        open_ = every[bound[every, leaf] >= kth]
+    while True:
+        node = bound.argmax(axis=1)
+        top = bound[every, node]
+        open_ = every[(top >= kth) & (top > lowest)]
         if not len(open_):
             break
-        for j in np.unique(leaf[open_]):
-            at = open_[leaf[open_] == j]
-            s = product(queries[at], vectors[leaves[j]])
-            other = ids[leaves[j]][None, :] != query_ids[at][:, None]
+        bound[open_, node[open_]] = lowest
+        order = open_[np.argsort(node[open_], kind="stable")]
+        for at in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            j = node[at[0]]
+            a, b = tree.rows[j]
+            if a < 0:
+                below = tree.children[j]
+                bound[at[:, None], below] = product(up[at], tree.high[below]) + product(down[at], tree.low[below])
+                seen += 2 * len(at)
+                continue
+            s = product(queries[at], vectors[a:b])
+            other = ids[a:b][None, :] != query_ids[at][:, None]
             row, col = np.nonzero((s >= kth[at][:, None]) & other)
-            found.append((at[row], ids[leaves[j]][col], s[row, col]))
+            found.append((at[row], ids[a:b][col], s[row, col]))
             merged = np.concatenate([best[at], np.where(other, s, lowest)], axis=1)
             best[at] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
             kth[at] = np.maximum(kth[at], best[at].min(axis=1))
@@ -92,7 +140,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, first: np.ndarray, query_ids: n
     sort = np.lexsort((i, -s, q))
     q, i, s = q[sort], i[sort], s[sort]
     rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    return q[rank < k], i[rank < k], s[rank < k], kth
+    return q[rank < k], i[rank < k], s[rank < k], kth, seen
 
 
 def _pack(tree: bool):
@@ -122,7 +170,7 @@ def _searcher(k: int, thresholds: bool):
                 ids, query_ids = cell("ids"), cell("query_ids")
                 vectors, queries = cell("vectors").reshape(len(ids), -1), cell("queries").reshape(len(query_ids), -1)
                 kth = cell("kth") if batch.column("kth")[r].is_valid else np.full(len(query_ids), np.iinfo(np.int64).min)
-                q, i, s, kth = search(ids, vectors, cell("first"), query_ids, queries, kth, k)
+                q, i, s, kth, _ = search(ids, vectors, cell("first"), query_ids, queries, kth, k)
                 if thresholds:
                     columns = [pa.array([batch.column("block")[r].as_py()], pa.int32()), pa.array([kth.tobytes()]), *[pa.array([x.tobytes()]) for x in (query_ids[q], i, s)]]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "kth", "q", "i", "s"])
@@ -141,17 +189,19 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query.
 
-    Components are ``floor(scale * x)``. Queries are the rows where ``is_query`` holds.
+    Components are ``floor(scale * x)``. Queries are the rows where ``is_query`` holds. Vectors whose scores may pass 64 bits are an error.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     usable = vectors.withColumn("_query", is_query).filter("vec_id is not null and embedding is not null").filter(finite & (F.size("embedding") > 0))
     usable = usable.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"),
-        F.coalesce("_query", F.lit(False)).alias("query"),
+        F.coalesce("_query", F.lit(False)).alias("query"), F.array_max(F.transform("embedding", lambda x: F.abs(F.floor(scale * x.cast("double")).cast("double")))).alias("m"),
     )
-    lengths = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("query").cast("int")).alias("n_query")).orderBy(F.desc("n"), "d").head()
+    lengths = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("query").cast("int")).alias("n_query"), F.max("m").alias("m")).orderBy(F.desc("n"), "d").head()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if lengths["d"] * lengths["m"] ** 2 >= 2.0**63:
+        raise OverflowError("scores of these vectors may pass 64 bits; choose a smaller scale")
     usable = usable.filter(F.size("v") == lengths["d"])
     n_shards, n_blocks = -(-lengths["n"] // SHARD_ROWS), max(1, -(-lengths["n_query"] // BLOCK_ROWS))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("shard")

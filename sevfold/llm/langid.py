@@ -7,10 +7,9 @@ language of the centroid with the highest cosine, and its score is that cosine.
 cosine is below the floor of that language is rejected.
 
 Fitting reads a bounded sample: of each language about ``per_lang`` texts (all, if fewer) with
-the smallest hashes of their ids, whole; and of at most ``max_langs`` languages, those with the
-most texts. Prediction reads every text whole and shuffles nothing.
+the smallest hashes of their ids, whole. Prediction reads every text whole and shuffles nothing.
 
-Cases. A null text, or one without any letter, is ``und`` with score 0 and is rejected. A text
+Cases. A null text, or one without any letter (``½`` and ``Ⅷ`` are none), is ``und`` with score 0 and is rejected. A text
 with letters but nothing in common with any centroid gets the most frequent language, score 0,
 and is rejected. Ties go to the language that is first by name. With nothing to learn from, all
 texts are ``und``. Learning rows need a non-null text and language. Other columns are ignored.
@@ -37,7 +36,7 @@ CENTROIDS = 4
 FLOOR_SHARE, FLOOR_SLACK = 0.002, 0.5
 #: Columns of a prediction: language, cosine, whether it is not rejected.
 OUT = ("__lang_pred", "__lang_score", "__lang_kept")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no decimal digits
 
 
 def counts(piece: K.Piece) -> np.ndarray:
@@ -102,11 +101,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(learn: DataFrame, per_lang: int = 500, max_langs: int = 200) -> Model:
+def fit(learn: DataFrame, per_lang: int = 1000) -> Model:
     """Fit on rows of ``doc_id, text, lang``; see the module text for the bound of the sample."""
     small_batches(learn.sparkSession)
     usable = learn.filter("text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     empty = Model([], UND, np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
     if not sizes:
         return empty
@@ -150,7 +149,7 @@ def _predictor(shared):
                     near = best.argmax(axis=1)
                     top = np.clip(best.max(axis=1), 0.0, 1.0)
                     for i, text in enumerate(texts[piece.lo : piece.hi].to_pylist()):
-                        if text is not None and _LETTER.search(text):
+                        if text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text)):
                             score[i] = float(top[i])
                             pred[i] = model.langs[near[i]] if top[i] > 0 else model.fallback
                             kept[i] = bool(top[i] > 0 and top[i] >= model.floors[near[i]])
@@ -167,8 +166,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` (with ``text``) of ``docs``, then those of ``OUT``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x CENTROIDS x DIMS floats
-    read = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
+    read = docs.select(*["`{}`".format(c.replace("`", "``")) for c in keep])
+    schema = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in read.schema)
     return read.mapInArrow(_predictor(shared), f"{schema}, {OUT[0]} string, {OUT[1]} double, {OUT[2]} boolean")
 
 
@@ -187,4 +186,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is not rejected, with the columns they had."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return predict(docs, model, docs.columns).filter(F.col(OUT[2])).select(docs.columns)
+    return predict(docs, model, docs.columns).filter(F.col(OUT[2])).drop(*OUT)

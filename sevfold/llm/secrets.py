@@ -2,11 +2,11 @@
 
 Every text is scanned whole for three kinds of spans (see ``KINDS``) and for bare tokens that
 look random. The values of all spans are hashed, and hashes are aggregated over the corpus by
-distinct repositories and distinct owners. A value that many owners hold, or that stands in more
-than ``MAX_TEXTS`` different texts, is a copied example; a value of one owner that may be a
-credential is live-looking. An assigned value may be one by its place, others by looking random.
-For what is live-looking, equal texts count once, with the owner of the smallest name. Bare tokens whose value is a
-live-looking credential somewhere in the corpus are added as spans of kind ``owned``.
+distinct repositories and distinct owners. A value that at least ``min_copied`` owners hold in as
+many repositories is a copied example; any other that may be a credential is live-looking, however
+often its owners repeat it. An assigned value may be one by its place, others by looking random.
+Bare tokens whose value is a live-looking credential somewhere in the corpus are added as spans of
+kind ``owned``.
 
 Only hashes and offsets of spans are shuffled, with partial aggregates, so a value in a third of
 all rows is one row per task. Nothing is broadcast.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sevfold.llm import textkernel as K
-from sevfold.llm.tables import set_down, sized, small_batches
+from sevfold.llm.tables import BROADCAST_BYTES, set_down, small_batches
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,10 +42,11 @@ PLACEHOLDER = re.compile(
 )
 RANDOM_LENGTH = 16
 ASSIGN_LENGTH = 8
-MAX_TEXTS = 100
 MIN_COPIED = 3
 MASK = "[secret]"
 HIDE = "__hide"
+#: Bytes of a span in a broadcast, with its share of the row.
+SPAN_BYTES = 100
 
 _HEX = K._table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
 _TOKEN = K._table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b in b"+/_.=-")
@@ -138,30 +139,25 @@ def scan(docs: DataFrame, repo: str, owner: str) -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """``h, n_repos, n_owners, n_texts, n_once, strong`` for each hash of a base span.
-
-    ``n_once`` counts owners after equal texts are taken as one.
-    """
+    """``h, n_repos, n_owners, strong`` for each hash of a base span."""
     owner = F.coalesce(F.concat(F.lit("o"), "owner"), F.concat(F.lit("r"), "repo"), F.concat(F.lit("t"), F.col("own").cast("string")))
-    values = scanned.select("repo", owner.alias("owner"), "own", F.explode("base").alias("s")).select("repo", "owner", "own", "s.h", "s.strong")
-    each = values.groupBy("h", "owner", "repo", "own").agg(F.max("strong").alias("strong"))
-    repos = each.groupBy("h", "repo").agg(F.max("strong").alias("strong")).groupBy("h").agg(F.count("repo").alias("n_repos"), F.max("strong").alias("strong"))
-    owners = each.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("owner").alias("n_owners"))
-    texts = each.groupBy("h", "own").agg(F.min("owner").alias("owner"))
-    once = texts.groupBy("h", "owner").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_once"))
-    return repos.join(owners, "h").join(once, "h").select("h", "n_repos", "n_owners", "n_texts", "n_once", "strong")
+    repo = F.coalesce(F.concat(F.lit("r"), "repo"), F.concat(F.lit("t"), F.col("own").cast("string")))
+    values = scanned.select(repo.alias("repo"), owner.alias("owner"), F.explode("base").alias("s")).select("repo", "owner", "s.h", "s.strong")
+    each = values.groupBy("h", "owner", "repo").agg(F.max("strong").alias("strong"))
+    repos = each.groupBy("h", "repo").agg(F.max("strong").alias("strong")).groupBy("h").agg(F.count("*").alias("n_repos"), F.max("strong").alias("strong"))
+    owners = each.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n_owners"))
+    return repos.join(owners, "h").select("h", "n_repos", "n_owners", "strong")
 
 
-def classified(scanned: DataFrame, max_owners: int, min_copied: int) -> DataFrame:
+def classified(scanned: DataFrame, min_copied: int) -> DataFrame:
     """Spans of each row with any: ``rid, doc_id, spans`` with what the corpus says of each.
 
-    ``copied`` marks spans whose value is held by at least ``min_copied`` owners or stands in more than
-    ``MAX_TEXTS`` texts, ``live`` other spans that may be a credential and have up to ``max_owners``
-    owners, equal texts taken as one. With ``max_owners`` of ``min_copied - 1`` none is between.
+    ``copied`` marks spans whose value at least ``min_copied`` owners hold in as many repositories,
+    ``live`` all others that may be a credential: no class is between.
     """
     known = set_down(ownership(scanned), "owners")
-    copied = (F.col("n_owners") >= min_copied) | (F.col("n_texts") > MAX_TEXTS)
-    live = ~copied & (F.col("n_once") <= max_owners) & F.col("strong")
+    copied = (F.col("n_owners") >= min_copied) & (F.col("n_repos") >= min_copied)
+    live = ~copied & F.col("strong")
     marks = known.select("h", live.alias("live"), copied.alias("copied"))
     base = scanned.select("rid", "doc_id", F.explode("base").alias("s"))
     bare = scanned.select("rid", "doc_id", F.explode("bare").alias("s"))
@@ -175,10 +171,10 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, repo: str, owner: str, max_owners: int = 1, min_copied: int = MIN_COPIED) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: str, owner: str, min_copied: int = MIN_COPIED) -> DataFrame:
     """``doc_id``, counts of base spans by kind, digest of them, all spans, counts of live-looking and copied ones."""
     scanned = scan(docs, repo, owner)
-    found = classified(scanned, max_owners, min_copied).select("rid", "spans")
+    found = classified(scanned, min_copied).select("rid", "spans")
     rows = scanned.select("rid", "doc_id").join(found, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     return rows.select(
@@ -213,10 +209,14 @@ def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mask_live(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     """Documents with the values of live-looking spans replaced by ``MASK``; ``n_chars`` follows.
 
-    All that may be a credential and is not copied counts here, that of two owners too. A row with a null id is left as it is.
+    Spans are joined to texts by the hash of the text, not by ids, so rows with a null or a repeated id are masked each by its own.
     """
-    spans = classified(scan(docs, repo, owner), MIN_COPIED - 1, MIN_COPIED).withColumn("hide", F.filter("spans", lambda s: s["live"])).filter("size(hide) > 0 and doc_id is not null")
-    hide = set_down(spans.groupBy("doc_id").agg(F.max("hide").alias(HIDE)), "hide")
-    read = docs.withColumn("n_chars", F.col("n_chars").cast("long")).join(sized(hide, 200), "doc_id", "left").select(*docs.columns, HIDE)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != HIDE)
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text", F.col(repo).alias("__repo"), F.col(owner).alias("__owner"))
+    spans = classified(scan(keyed, "__repo", "__owner"), MIN_COPIED).withColumn("hide", F.filter("spans", lambda s: s["live"])).filter("size(hide) > 0")
+    hide = set_down(spans.groupBy(F.col("doc_id").alias("__text")).agg(F.max("hide").alias(HIDE)), "hide")
+    spans_in_all = hide.agg(F.sum(F.size(HIDE))).first()[0] or 0
+    fits = spans_in_all * SPAN_BYTES <= BROADCAST_BYTES
+    found = docs.withColumn("n_chars", F.col("n_chars").cast("long")).join(F.broadcast(hide) if fits else hide, F.xxhash64(docs["text"]) == F.col("__text"), "left")
+    read = found.select(*["`{}`".format(c.replace("`", "``")) for c in docs.columns], HIDE)
+    schema = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in read.schema if f.name != HIDE)
     return read.mapInArrow(_masker, schema)

@@ -38,6 +38,8 @@ from sevfold.sources.paths import scratch
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 3000
 READ_BYTES = 4 << 20
+#: Bytes of archives that a task reads back, about.
+TASK_BYTES = 8 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 # Names of the format.
@@ -47,9 +49,13 @@ RECORD = "page_id long, url string, record_type string, payload_bytes long, payl
 
 
 def url_key(url: str | None) -> str:
-    """Sort key of a URL: host labels reversed, then path and query."""
+    """Sort key of a URL: host labels reversed, then path and query. Control characters are percent-encoded, so a key is one cell of a line."""
     if not url:
         return ""
+    return _header(_host_first(url))
+
+
+def _host_first(url: str) -> str:
     try:
         parts = urlsplit(url.strip() if "//" in url else f"//{url.strip()}")
         host = (parts.hostname or "").rstrip(".").lower()
@@ -168,8 +174,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for line in zip(*[batch.column(c).to_pylist() for c in ("key", "page_id", "archive", "offset", "length")]):
-            # A key holds no tab or line break: they are percent-encoded here as in headers.
-            lines.append((_header(line[0]), *line[1:]))
+            lines.append(line)
             if len(lines) == BLOCK_LINES:
                 yield block()
                 lines, seq = [], seq + 1
@@ -219,7 +224,7 @@ def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
         for batch in batches:
             keys, at = [], []
             for url in batch.column("url").to_pylist():
-                key = _header(url_key(url))
+                key = url_key(url)
                 i = bisect.bisect_left(lasts, key)
                 while i < len(spans) and spans[i][1] <= key:
                     keys.append(key)
@@ -275,7 +280,9 @@ def _reader(folder: str, with_payload: bool):
 
 def read_records(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Records at the byte ranges of ``captures``; each archive is read in the order of its offsets."""
-    by_archive = captures.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    ranges = set_down(captures.select("archive", "offset", "length"), "ranges")
+    tasks = -(-(ranges.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    by_archive = ranges.repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
     return by_archive.mapInArrow(_reader(folder, with_payload), RECORD)
 
 
@@ -283,4 +290,4 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Write all pages, index them, and read every record back through the index."""
     folder = scratch(pages.sparkSession, "warc")
     index = build_index(write_archives(pages, folder, least))
-    return read_records(all_captures(index), folder, with_payload=False)
+    return read_records(lookup(index, pages.select("url")), folder, with_payload=False)

@@ -290,3 +290,40 @@ def test_tree_leaves_cover_all_rows():
     x = rng.integers(-3, 3, (1000, 4))
     order, first = kdtree.build(x, 10)
     assert sorted(order.tolist()) == list(range(1000)) and first[0] == 0 and first[-1] == 1000 and np.diff(first).max() <= 10
+
+
+def test_best_first_search_opens_few_nodes_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-2000, 2000, (40, 12))
+    vectors = centres[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 12))
+    order, first = kdtree.build(vectors)
+    ids, vectors = order.astype(np.int64), vectors[order]
+    queries, k = vectors[:200], 5
+    none = np.full(len(queries), np.iinfo(np.int64).min)
+    q, i, s, kth, seen = kdtree.search(ids, vectors, first, ids[:200], queries, none, k)
+    scores = queries @ vectors.T
+    for n in range(len(queries)):
+        want = sorted((-scores[n, m], ids[m]) for m in range(len(ids)) if ids[m] != ids[n])[:k]
+        assert [(-a, b) for a, b in zip(s[q == n], i[q == n])] == want and kth[n] == -want[-1][0]
+    nodes = kdtree.boxes(vectors, first)
+    assert seen < 0.5 * len(queries) * len(nodes.low)
+    for n, (a, b) in enumerate(nodes.children):
+        if a >= 0:
+            assert (nodes.low[n] == np.minimum(nodes.low[a], nodes.low[b])).all() and (nodes.high[n] == np.maximum(nodes.high[a], nodes.high[b])).all()
+    assert (nodes.low[0] == vectors.min(axis=0)).all() and sorted(r for r in nodes.rows[:, 0] if r >= 0) == first[:-1].tolist()
+    again = kdtree.search(ids, vectors, first, ids[:200], queries, kth, k)
+    assert again[4] <= seen and (again[2] == s).all()  # with k-th scores handed on from elsewhere
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        kdtree.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, f"x {passage} y"), (None, "clean text"), (7, passage), (7, "clean too"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.keep_clean(docs, items_of(spark, [(1, passage)]))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("7", "clean too"), ("8", "None"), ("None", "clean text")]
