@@ -1,4 +1,4 @@
-"""Exact nearest neighbours under the L1 or L2 norm.
+"""Nearest neighbours under the L1 or L2 norm, exact or in a bounded number of cells.
 
 Train rows are put in cells around pivots, whose number grows with the root of the rows. A query
 is first compared with its own cell, which gives it a true k-th distance. By the triangle
@@ -42,8 +42,8 @@ class Cells:
     size: np.ndarray
     inner: list[np.ndarray]
 
-    def candidates(self, points: np.ndarray, reach: np.ndarray, own: np.ndarray, k: int, p: int) -> list[list[int]]:
-        """Cells besides ``own`` that may hold a row within ``reach`` of each point, or among its k nearest."""
+    def candidates(self, points: np.ndarray, reach: np.ndarray, own: np.ndarray, k: int, p: int, most: int | None = None) -> list[list[int]]:
+        """Cells besides ``own`` that may hold a row within ``reach`` of each point, or among its k nearest; the ``most`` nearest of them."""
         to_pivot = np.stack([_distances(points, pivot, p) for pivot in self.pivots], axis=1)
         inner = np.concatenate(self.inner) if self.inner else np.empty(0)
         at = np.repeat(np.arange(len(self.pivots)), [len(i) for i in self.inner])
@@ -52,6 +52,9 @@ class Cells:
             reach = np.fmin(reach, upper)
         near = (self.size > 0) & (to_pivot - self.radius <= reach[:, None] * (1 + SLACK) + SLACK)
         near[np.arange(len(points)), own] = False
+        if most is not None:
+            place = np.argsort(np.argsort(np.where(near, to_pivot, np.inf), axis=1, kind="stable"), axis=1)
+            near &= place < most
         return [np.flatnonzero(row).tolist() for row in near]
 
 
@@ -107,11 +110,12 @@ def _chunked(visits: DataFrame, assigned: DataFrame, sizes: np.ndarray, chunk_ro
 
 def knn(
     test: DataFrame, train: DataFrame, key: str, vec: str, k: int, p: int = 2, carry: str | None = None,
-    exclude_self: bool = False, pivots: int | None = None, chunk_rows: int = 2048,
+    exclude_self: bool = False, pivots: int | None = None, chunk_rows: int = 2048, probes: int | None = None,
 ) -> DataFrame:
     """The k nearest train rows of each test row: ``key, neighbour, distance, rank`` and ``carry``.
 
-    The smaller neighbour key wins a tie. ``exclude_self`` skips the row with the same key.
+    The smaller neighbour key wins a tie. ``exclude_self`` skips the row with the same key. With ``probes``
+    the search is approximate: a query visits that many cells at most, those of the nearest pivots.
     """
     as_double = F.col(vec).cast("array<double>").alias("vec")
     label = (F.col(carry) if carry else F.lit(None).cast("int")).alias("carry")
@@ -163,7 +167,7 @@ def knn(
     @pandas_udf("array<int>")
     def other_cells(vectors: pd.Series, reach: pd.Series, home: pd.Series) -> pd.Series:
         bound = reach.fillna(np.inf).to_numpy(dtype="float64")
-        return pd.Series(cells.candidates(_stacked(vectors), bound, home.to_numpy(), wanted, p)) if len(vectors) else pd.Series([], dtype=object)
+        return pd.Series(cells.candidates(_stacked(vectors), bound, home.to_numpy(), wanted, p, None if probes is None else probes - 1)) if len(vectors) else pd.Series([], dtype=object)
 
     visits = at_home.join(kth, "query", "left").withColumn("cell", F.explode(other_cells("vec", "reach", "cell"))).select("query", "vec", "cell")
     partial = own.unionByName(_chunked(visits.checkpoint(), assigned, cells.size, chunk_rows, compare, schema))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sevfold.operators.aggregates import summarise
 from sevfold.operators.ranking import running
@@ -134,22 +134,55 @@ def with_improvement(epochs: DataFrame, run: list[str], metric: str, epoch: str,
     return seen.withColumn("improved", better).drop("_seen")
 
 
+def _records(rows: Column) -> Column:
+    """Places and values of the epochs of a span that exceed all before them in it."""
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<struct<at:int,value:double>>").alias("found"))
+
+    def step(state: Column, row: Column) -> Column:
+        higher = row["value"].isNotNull() & (state["top"].isNull() | (row["value"] > state["top"]))
+        entry = F.struct(row["at"].alias("at"), row["value"].alias("value"))
+        return F.when(
+            higher, F.struct(row["value"].alias("top"), F.concat(state["found"], F.array(entry)).alias("found"))
+        ).otherwise(state)
+
+    placed = F.transform(rows, lambda r, i: F.struct(i.alias("at"), r["value"].alias("value")))
+    return F.aggregate(placed, start, step, lambda state: state["found"])
+
+
 def early_stop(
     epochs: DataFrame, run: list[str], patience: int = 10, reset: bool = False, metric: str = "f1", epoch: str = "epoch", span: int = 4096
 ) -> DataFrame:
     """Epoch at which training stops, null where it runs to the end.
 
     Without ``reset`` non-improving epochs add up over the whole run; with it, an improvement
-    starts the count anew.
+    starts the count anew. One scan: a span of at most ``span`` epochs is one row with its records,
+    which of them improve follows from the best of the spans before it, and what a span adds to the
+    count is a number that is summed along the run. ``epoch`` is a whole number, unique in a run.
     """
-    flagged = with_improvement(epochs, run, metric, epoch, span)
-    idle = F.when(F.col("improved"), 0).otherwise(1)
-    counted = running(flagged, run, epoch, idle, "sum", "_idle", span)
+    value = F.when(F.isnan(metric), F.lit(None)).otherwise(F.col(metric)).cast("double")
+    rows = epochs.select(*run, F.floor(F.col(epoch) / span).alias("_span"), F.struct(F.col(epoch).alias("epoch"), value.alias("value")).alias("_row"))
+    spans = rows.groupBy(*run, "_span").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    spans = spans.withColumn("_records", _records(F.col("_rows"))).withColumn("_n", F.size("_rows"))
+
+    earlier = Window.partitionBy(*run).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.greatest(F.coalesce(F.max(F.try_element_at(F.col("_records")["value"], F.lit(-1))).over(earlier), F.lit(0.0)), F.lit(0.0))
+    spans = spans.withColumn("_best", best).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    spans = spans.withColumn("_better", F.filter("_records", lambda r: r["value"] > F.col("_best"))["at"]).drop("_records")
     if reset:
-        counted = running(counted, run, epoch, F.when(F.col("improved"), F.col("_idle")), "max", "_at_best", span)
-        counted = counted.withColumn("_idle", F.col("_idle") - F.coalesce("_at_best", F.lit(0)))
-    stop = F.min(F.when(F.col("_idle") >= patience, F.col(epoch)))
-    return counted.groupBy(*run).agg(stop.alias("stop_epoch"))
+        last = F.max(F.col("_before") + F.try_element_at("_better", F.lit(-1)) + 1).over(earlier)
+        idle = F.col("_before") - F.coalesce(last, F.lit(0))
+        starts = F.concat(F.array((-1 - F.col("_idle")).cast("int")), F.col("_better"))
+        ends = F.concat(F.col("_better"), F.array("_n"))
+        reached = F.filter(
+            F.zip_with(starts, ends, lambda a, e: F.when(F.greatest(a + patience, F.lit(0)) < e, F.greatest(a + patience, F.lit(0)))), lambda x: x.isNotNull()
+        )
+        at = F.array_min(reached)
+    else:
+        idle = F.coalesce(F.sum(F.col("_n") - F.size("_better")).over(earlier), F.lit(0))
+        others = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_better"))
+        at = F.when(F.col("_idle") >= patience, F.lit(0)).otherwise(F.get(others, (F.lit(patience - 1) - F.col("_idle")).cast("int")))
+    stopped = spans.withColumn("_idle", idle).withColumn("_at", at)
+    return stopped.groupBy(*run).agg(F.min(F.get("_rows", F.col("_at"))["epoch"]).alias("stop_epoch"))
 
 
 def epoch_loss(steps: DataFrame, keys: list[str], loss: str = "loss") -> DataFrame:

@@ -122,19 +122,19 @@ EPOCHS = """epochs AS (
 
 
 def two_groups(t: Tables) -> DataFrame:
-    """Clicks and views as groups A and B, with a scenario per user."""
-    return t.events.filter(F.col("event_type").isin("click", "view")).select(
+    """All events in two groups, clicks and errors as A, the rest as B, with a scenario per user."""
+    return t.events.select(
         "event_id",
-        F.when(F.col("event_type") == "click", "A").otherwise("B").alias("group"),
+        F.when(F.col("event_type").isin("click", "error"), "A").otherwise("B").alias("group"),
         (F.col("user_id") % 7).cast("int").alias("scenario"),
         "value",
     )
 
 
 TWO_GROUPS = """two_groups AS (
-  SELECT event_id, CASE WHEN event_type = 'click' THEN 'A' ELSE 'B' END AS grp,
+  SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN 'A' ELSE 'B' END AS grp,
          CAST(user_id % 7 AS INT) AS scenario, value
-  FROM events WHERE event_type IN ('click', 'view'))"""
+  FROM events)"""
 
 
 def tokens_vec(t: Tables) -> DataFrame:

@@ -225,10 +225,15 @@ def f32b(t: Tables) -> DataFrame:
 
 @query(
     "w6_check_counts",
-    "SELECT event_id, CAST(2 AS BIGINT) AS n_partitions, CAST(2 AS BIGINT) AS min_runs, CAST(2 AS BIGINT) AS max_runs FROM events",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END::BIGINT AS n_partitions, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS min_runs,
+              CASE WHEN event_id % 3 = 0 AND (event_id % 6 = 0 OR event_id % 5 = 0) THEN 1 ELSE 2 END::BIGINT AS max_runs
+       FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0""",
 )
 def w6b(t: Tables) -> DataFrame:
-    return ep.check_counts(ep.parse_runs(log_texts(t), "event_id"), "event_id")
+    """Logs that lack a run in the first or in both partitions, or lack the second partition."""
+    runs = ep.parse_runs(log_texts(t), "event_id")
+    whole = F.expr("(event_id % 3 <> 0 or run = 0 or (partition = 1 and event_id % 6 <> 0)) and (event_id % 5 <> 0 or partition = 0)")
+    return ep.check_counts(runs.filter(whole), "event_id", n_partitions=2, n_runs=2)
 
 
 def wide(t: Tables) -> DataFrame:
@@ -252,7 +257,11 @@ def f34(t: Tables) -> DataFrame:
     return long.select("run", "set", "fold", "time_pred", "scenario", "acc", "f1", "mcc")
 
 
-@query("f33_reverse_names")
+@query(
+    "f33_reverse_names",
+    """SELECT event_id AS run, event_type AS "set", 0 AS fold, value AS acc_multitask, value + 1 AS f1_multitask, value + 2 AS mcc_multitask, value / 100 AS time_pred,
+              value + 3 AS acc_cvss2_conf, value + 4 AS f1_cvss2_conf, value + 5 AS acc_cvss2_avail, value + 6 AS mcc_cvss2_avail FROM events""",
+)
 def f33(t: Tables) -> DataFrame:
     df = wide(t)
     return df.toDF(*rs.reverse_names(df.columns))

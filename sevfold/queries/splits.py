@@ -28,7 +28,11 @@ def t1b(t: Tables) -> DataFrame:
     return sp.group_split(t.orders.select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "split")
 
 
-@query("t1_group_split_by_hash_range")
+@query(
+    "t1_group_split_by_hash_range",
+    """SELECT o_orderkey, o_custkey, CASE WHEN place < 0.8::DOUBLE THEN 'train' WHEN place < 0.9::DOUBLE THEN 'valid' ELSE 'test' END AS split
+       FROM (SELECT *, ('0x' || substr(md5(o_custkey || '|42'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS place FROM orders)""",
+)
 def t1c(t: Tables) -> DataFrame:
     return sp.group_split(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", approx=True)
 

@@ -167,6 +167,14 @@ def j8b(t: Tables) -> DataFrame:
     return near.withColumn("distance", F.round("distance", 6))
 
 
+@query("j8_knn_probes")
+def j8c(t: Tables) -> DataFrame:
+    """Approximate search in 26 cells; ``is_exact`` tells whether a neighbour is among the five true ones."""
+    near = knn(t.embeddings, t.embeddings, "vec_id", "embedding", 5, exclude_self=True, probes=26)
+    true = knn(t.embeddings, t.embeddings, "vec_id", "embedding", 5, exclude_self=True).select("vec_id", "neighbour", F.lit(True).alias("hit"))
+    return near.join(true, ["vec_id", "neighbour"], "left").select("vec_id", "neighbour", "rank", F.coalesce("hit", F.lit(False)).alias("is_exact"))
+
+
 @query(
     "m13_knn_vote_uniform",
     f"""WITH {_pairs_sql(2)}, votes AS (SELECT vec_id, label, count(*) AS v FROM near GROUP BY 1, 2)

@@ -152,3 +152,21 @@ def test_knn_vote_zero_distance_wins(spark):
     near = spark.createDataFrame([(1, 0.0, "b"), (1, 0.1, "a"), (1, 0.1, "a"), (2, 1.0, "z"), (2, 1.0, "y")], "id int, distance double, label string")
     assert {r["id"]: r["pred"] for r in nb.knn_vote(near, "id", "label", "distance").collect()} == {1: "b", 2: "y"}
     assert {r["id"]: r["pred"] for r in nb.knn_vote(near, "id", "label").collect()} == {1: "a", 2: "y"}
+
+
+def test_knn_in_a_bounded_number_of_cells(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (30, 8))
+    packed = [(int(i), (centres[i % 30] + rng.normal(0, 0.5, 8)).tolist()) for i in range(600)]
+    clustered = spark.createDataFrame(packed, "vec_id long, embedding array<double>")
+    for df, probes, least, share in ((rows, 26, 0.9, 0.85), (clustered, 8, 0.95, 0.35)):
+        true = {(r[0], r[1]) for r in nb.knn(df, df, "vec_id", "embedding", 5, exclude_self=True).select("vec_id", "neighbour").collect()}
+        near = {(r[0], r[1]) for r in nb.knn(df, df, "vec_id", "embedding", 5, exclude_self=True, probes=probes).select("vec_id", "neighbour").collect()}
+        assert len(near & true) >= least * len(true)
+        points = nb.pick_pivots(df, "vec_id", "embedding", 32)
+        x = np.array([r[0] for r in df.orderBy("vec_id").select("embedding").collect()], dtype=float)
+        gaps = ((x[:, None] - points[None]) ** 2).sum(axis=-1)
+        sizes = np.bincount(gaps.argmin(axis=1), minlength=32)
+        visited = sizes[np.argsort(gaps, axis=1)[:, :probes]].sum(axis=1).mean() / len(x)
+        assert visited <= share

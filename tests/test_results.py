@@ -2,6 +2,8 @@
 
 import pathlib
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,28 @@ def test_classifiers_learn(spark):
     out = md.run_grid(df, job, models).collect()
     assert [r["classifier"] for r in out] == [name for name, grid in models.items() for _ in grid]
     assert all(r["val_mcc"] > 0.9 and r["test_acc"] > 0.9 for r in out)
+
+
+@pytest.mark.parametrize("span", [2, 5, 4096])
+def test_early_stop_same_as_a_loop(spark, span):
+    rnd = random.Random(span)
+    runs = {r: [rnd.choice([None, float("nan"), 0.0, -1.0, rnd.random(), rnd.random() * (i + 1) / 40]) for i in range(rnd.randint(1, 40))] for r in range(120)}
+    df = spark.createDataFrame([(r, i + 3, v) for r, vs in runs.items() for i, v in enumerate(vs)], "run int, epoch int, f1 double")
+
+    def stops(values, patience, reset):
+        best, idle = 0.0, 0
+        for i, v in enumerate(values):
+            if v is not None and v == v and v > best:
+                best, idle = v, 0 if reset else idle
+            else:
+                idle += 1
+            if idle >= patience:
+                return i + 3
+        return None
+
+    for patience in (1, 4):
+        for reset in (False, True):
+            out = ep.early_stop(df, ["run"], patience, reset, span=span)
+            assert {r["run"]: r["stop_epoch"] for r in out.collect()} == {r: stops(vs, patience, reset) for r, vs in runs.items()}
+    plan = ep.early_stop(df, ["run"], 3, True, span=span)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
