@@ -1,7 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document or a run of ``RUN_WORDS`` words across line ends, so a notice may
-be wrapped at any word; a template is the words of a license notice. A block matches a template
+A block is a run of ``RUN_WORDS`` words across line ends, so a notice may be wrapped at any word and
+words far apart make none; a template is the words of a license notice. A block matches a template
 when it holds at least ``PERCENT`` of its distinct words. Template words are put in
 one global order, those that are in the fewest blocks of the corpus first. A matching block must
 hold one of the first words of its template (the prefix), enough template words (length), and
@@ -10,7 +10,7 @@ enough of them at and after the shared word (position); only pairs that pass are
 Runs are cut at template words, and only in documents that hold enough words of some template as a
 whole. A document holds the words of each of its runs, so this leaves out no match.
 
-Everything is DataFrame functions. The corpus is read four times and never shuffled: word
+Everything is DataFrame functions. The corpus is read three times and never shuffled: word
 counts are partial aggregates over the few hundred template words, the join is with the prefix
 words of the templates, which is a table of fixed size, and only matches are shuffled.
 
@@ -103,7 +103,7 @@ def phrase_places(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Template words of each line, in the order of ``vocabulary``; lines with too few are left out."""
+    """Template words of each line, in the order of ``vocabulary``, to count which are rare."""
     lines = docs.filter("text is not null").select(row_key(docs).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
     known = F.array(*[F.lit(w) for w in vocabulary])
     found = lines.select("key", "line", F.array_intersect(known, F.split(F.lower("block"), SEPARATORS)).alias("words"))
@@ -114,7 +114,7 @@ def _runs(docs: DataFrame, order: list[str], rows: list[tuple]) -> DataFrame:
     """Template words, in the order of ``order``, of the runs of words that may match a template."""
     known = F.array(*[F.lit(w) for w in order])
     tokens = lambda x: F.filter(F.split(F.lower(x), SEPARATORS), lambda w: w != "")
-    texts = docs.filter(F.contains("text", F.lit("\n"))).select(row_key(docs).alias("key"), "text")
+    texts = docs.filter("text is not null").select(row_key(docs).alias("key"), "text")
     # Each explode of one value holds what is before it: no filter computes the words again.
     held = texts.select("key", "text", F.explode(F.array(F.array_intersect(known, F.split(F.lower("text"), SEPARATORS)))).alias("words"))
     templates = {r[1]: (r[3], r[4]) for r in rows}
@@ -161,7 +161,7 @@ def template_matches(docs: DataFrame) -> DataFrame:
     templates = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, t_words array<string>, need int, t_pos int")
     least = min(r[4] for r in rows)
     first_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    blocks = _blocks(docs, order).select("key", "words").unionAll(_runs(docs, order, rows)).filter((F.size("words") >= least) & F.arrays_overlap("words", first_words))
+    blocks = _runs(docs, order, rows).filter((F.size("words") >= least) & F.arrays_overlap("words", first_words))
     probes = blocks.select("key", "words", F.posexplode("words").alias("pos", "word"))
     n, m = F.size("words"), F.size("t_words")
     most = F.least("pos", "t_pos") + F.least(n - F.col("pos"), m - F.col("t_pos"))
@@ -199,7 +199,11 @@ def oracle() -> str:
 WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace({lower}, '{separators}', '  ', 'g')) || ' ' w FROM documents),
 b AS (SELECT *, CASE WHEN w = '  ' THEN 0 ELSE {n('w')} END n_words FROM w),
 t AS (SELECT * FROM (VALUES {template_rows}) v(label, words)),
-l AS (SELECT doc_id, list_distinct(regexp_split_to_array(unnest(string_split({lower}, chr(10))), '{separators}')) ws FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array({lower}, '{separators}'), lambda x: x <> '') ws FROM documents),
+e AS (SELECT DISTINCT doc_id FROM d JOIN t ON 100 * len(list_intersect(ws, words)) >= {PERCENT} * len(words)),
+l AS (
+  SELECT DISTINCT doc_id, list_distinct(list_slice(ws, i, i + {RUN_WORDS - 1})) ws
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) i FROM d SEMI JOIN e USING (doc_id))),
 m AS (
   SELECT doc_id, label, len(list_intersect(ws, words)) / len(words) AS share FROM l JOIN t
   ON 100 * len(list_intersect(ws, words)) >= {PERCENT} * len(words)),

@@ -92,8 +92,8 @@ def brute_license(text):
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
     base = sorted({label for _, label in places})
     shares = []
-    for line in low.split("\n"):
-        have = set(WORD.findall(line))
+    for a in range(len(ws)):
+        have = set(ws[a : a + licenses.RUN_WORDS])
         for label, t in licenses.TEMPLATES:
             t = set(t.split())
             if 100 * len(t & have) >= licenses.PERCENT * len(t):
@@ -146,7 +146,7 @@ def test_wrapped_notices_are_found(spark):
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     for i, text in enumerate(texts):
         ws = WORD.findall(text)
-        blocks = [set(line.split()) for line in text.split("\n")] + [set(ws[a : a + licenses.RUN_WORDS]) for a in range(len(ws))]
+        blocks = [set(ws[a : a + licenses.RUN_WORDS]) for a in range(len(ws))]
         found = {label for label, t in licenses.TEMPLATES if any(100 * len(b & set(t.split())) >= licenses.PERCENT * len(set(t.split())) for b in blocks)}
         assert got[i] == ",".join(sorted(found | {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(ws)} "})), text
     assert len(set(got.values())) > 4
@@ -358,3 +358,11 @@ def test_numbers_are_no_letters(spark):
     rows = [(i, t, "en", "a") for i, t in enumerate(["the cat and the dog"] * 8 + ["²", "½ 12", "Ⅷ", "①", "_", "7 é"])]
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(spark, rows)).collect()}
     assert [got[i] for i in range(8, 14)] == ["und"] * 5 + ["en"]
+
+
+def test_words_far_apart_on_one_line_make_no_notice(spark):
+    words = ["released", "under", "the", "mit", "license"]
+    line = " ".join(w for word in words for w in [word] + ["filler"] * 600)
+    near = "filler " * 900 + " ".join(words).replace("mit", "x mit") + " filler" * 900
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs_of(spark, [(1, line, "en", "a"), (2, near, "en", "a"), (3, near.replace(" ", "\r"), "en", "a")])).collect()}
+    assert got == {1: ("", 0.0), 2: ("mit", 1.0), 3: ("mit", 1.0)}
