@@ -11,11 +11,11 @@ A suffix carries ``min_words`` word hashes on each side. That is enough: any ``m
 of a longer passage hold a minimiser of their own, and their matches overlap. Each suffix is
 compared with the ``NEAR`` rows before and after it, and with the nearest of another document,
 in two orders: by the words to the right, and by its k-gram and then the words to the left. So it
-meets the documents that agree with it longest on either side. A match whose partner is among
-the longest on neither side is the one kind that can be missed; the README has the measured share.
+meets the documents that agree with it longest on either side.
 
-Which document comes first does not hang on whom a suffix meets: every run of ``min_words`` words
-whose minimiser repeats is hashed, and the smallest id of each hash is the owner of that run.
+What a suffix does not meet is not lost: every run of ``min_words`` words whose minimiser repeats is
+hashed. Runs that two documents hold are added to the spans, and the smallest id of each hash is the
+owner of that run, which tells the document that comes first.
 
 Scale. The sort is by ranges of suffix, left side and id, so a passage in a third of all
 documents spreads over many tasks. Rows at the ends of ranges are compared afterwards; there are
@@ -107,7 +107,7 @@ def _repeats(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _windows(shared, min_words: int):
-    """Hashes of the runs of ``min_words`` words whose minimiser repeats, once for each document of a piece."""
+    """Hashes and places of the runs of ``min_words`` words whose minimiser repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,27 +116,43 @@ def _windows(shared, min_words: int):
                 w, row, start, at, grams = _selected(piece, min_words)
                 start = start[_repeats(shared.value, grams[at])]
                 h = K.window_hashes(w.hashes, min_words)[start].view(np.int64)
-                doc = ids[piece.lo + row[start]]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(doc[new])], names=["h", "doc_id"])
+                doc, pos = ids[piece.lo + row[start]], start - w.first[row[start]]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"])
 
     return run
 
 
-def _least_others(texts: DataFrame, shared, min_words: int) -> DataFrame:
-    """``doc_id, least``: the smallest other id that shares a passage with each document that has any.
+def _ranges(min_words: int):
+    """Ranges of words that runs of ``min_words`` words at some places cover; runs that touch are one range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out = []
+            for places in batch.column("places"):
+                p = np.unique(places.values.to_numpy())
+                first = np.flatnonzero(np.diff(p, prepend=p[0] - min_words - 1) > min_words)
+                last = np.append(first[1:], len(p)) - 1
+                out.append([{"start": s, "end": e} for s, e in zip(p[first].tolist(), (p[last] + min_words).tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "runs"])
+
+    return run
+
+
+def _shared_runs(texts: DataFrame, shared, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, runs``: ranges of words that others hold too. ``doc_id, least``: the smallest other id that does.
 
     A run of words is owned by the smallest id that holds it. Each other holder meets the owner,
     and the owner meets the smallest of the others, so no more rows than holders are made.
     """
-    windows = set_down(texts.mapInArrow(_windows(shared, min_words), "h long, doc_id long"), "windows")
+    windows = set_down(texts.mapInArrow(_windows(shared, min_words), "h long, doc_id long, pos int"), "windows")
     owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("h", "owner")
-    pairs = windows.join(owners, "h").filter("doc_id <> owner").groupBy("doc_id", "owner").agg(F.lit(1).alias("one"))
+    held = windows.join(owners, "h")
+    places = held.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    ranges = places.mapInArrow(_ranges(min_words), "doc_id long, runs array<struct<start:int,end:int>>")
+    pairs = held.filter("doc_id <> owner").groupBy("doc_id", "owner").agg(F.lit(1).alias("one"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("doc_id"), F.col("owner").alias("other")), F.struct(F.col("owner").alias("doc_id"), F.col("doc_id").alias("other")))).alias("p"))
-    return both.groupBy("p.doc_id").agg(F.min("p.other").alias("least"))
+    return ranges, both.groupBy("p.doc_id").agg(F.min("p.other").alias("least"))
 
 
 def _rows_of_bytes(m: np.ndarray) -> pa.Array:
@@ -326,8 +342,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = _matches(texts, bitmap, min_words)
     one = F.struct(F.col("start"), F.col("end"))
     by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("all"), F.min("other").alias("met"))
-    by_doc = by_doc.join(_least_others(texts, bitmap, min_words), "doc_id", "left").withColumn("first_other", F.least("met", "least"))
-    merged = by_doc.withColumn("spans", _merged(F.col("all")))
+    ranges, least = _shared_runs(texts, bitmap, min_words)
+    by_doc = by_doc.join(ranges, "doc_id", "full").join(least, "doc_id", "full").withColumn("first_other", F.least("met", "least"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    every = F.array_sort(F.array_distinct(F.concat(F.coalesce("all", none), F.coalesce("runs", none))))
+    merged = by_doc.withColumn("spans", _merged(every))
     return merged.select(
         "doc_id", F.size("spans").alias("n_spans"), F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).alias("n_repeated"),
         "spans", "first_other", (F.col("doc_id") < F.col("first_other")).alias("is_first"),

@@ -327,3 +327,21 @@ def test_rows_without_id_are_judged_by_their_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = decontaminate.keep_clean(docs, items_of(spark, [(1, passage)]))
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("7", "clean too"), ("8", "None"), ("None", "clean text")]
+
+
+def test_passages_whose_partners_match_longer_elsewhere_are_found(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, n = {}, 0
+    for _ in range(4):
+        middle, left, right = [word() for _ in range(50)], [word() for _ in range(40)], [word() for _ in range(40)]
+        noise = lambda k: [word() for _ in range(k)]
+        texts[n] = noise(5) + left + middle + right + noise(5)
+        texts[n + 1] = noise(9) + middle + noise(9)
+        for i in range(12):  # longer matches to the left or the right of the passage, of less than 50 words
+            texts[n + 2 + i] = noise(4) + (left[-20:] + middle[:29] if i % 2 else middle[-29:] + right[:20]) + noise(4)
+            texts[n + 20 + i] = noise(3) + (texts[n + 1][-29 - 9 :][:38] if i % 2 else texts[n + 1][:38]) + noise(3)
+        n += 40
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffixes.repeated_passages(docs).collect()}
+    assert got == {k: v for i in range(0, n, 40) for k, v in ((i, [(45, 95)]), (i + 1, [(9, 59)]))}
