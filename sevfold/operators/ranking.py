@@ -101,14 +101,16 @@ def hash_cuts(
 
 
 def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Offer a side table for broadcast if its bytes, written out, fit; else leave the join to Spark.
+    """Offer a side table for broadcast if its bytes, written out, fit; else leave the join to Spark."""
+    kept, fits = measured(df, max_bytes)
+    return F.broadcast(kept) if fits else kept
 
-    The table is computed once and checkpointed, then measured.
-    """
+
+def measured(df: DataFrame, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
+    """A table, computed once and checkpointed, and whether its bytes, written out, fit."""
     ensure_checkpoint_dir(df.sparkSession)
     kept = df.checkpoint()
-    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns))))).first()[0] or 0
-    return F.broadcast(kept) if size <= max_bytes else kept
+    return kept, (kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns))))).first()[0] or 0) <= max_bytes
 
 
 def value_buckets(df: DataFrame, value: str, out: str, buckets: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sevfold.operators.ranking import hash_of
 
+#: Share of the rows from which on a join key is hot.
+HOT_SHARE = 0.005
+
 
 def project(df: DataFrame, keep: list[str], rename: dict[str, str] | None = None) -> DataFrame:
     return df.select(*keep).withColumnsRenamed(rename or {})
@@ -108,8 +112,25 @@ def rows_at_best(df: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def join_vectors(tokens: DataFrame, vectors: DataFrame, word: str) -> DataFrame:
-    """Vector of each token; tokens without one are skipped."""
-    return tokens.join(vectors, word)
+    """Vector of each token; tokens without one are skipped. A word has one vector."""
+    return join_hot(tokens, vectors, word)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Inner join with a table of unique keys, where some keys may hold a large part of ``rows``.
+
+    Keys with at least ``share`` of the rows are counted first; there are ``1 / share`` of them at
+    most, so their part of ``side`` is broadcast and their rows stay where they are. All others are
+    joined by their key.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), key).limit(math.floor(1 / share))  # no other key can be hot
+    held = [r[0] for r in top.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).filter(F.col("n") >= F.col("all") * share).select(key).collect()]
+    if not held:
+        return rows.join(side, key)
+    hot = F.col(key).isin(held)
+    near = rows.filter(hot).join(F.broadcast(side.filter(hot)), key)
+    return near.unionByName(rows.filter(~hot).join(side.filter(~hot), key))
 
 
 def with_quarantine(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

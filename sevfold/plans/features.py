@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sevfold.functions.code import clean_changes
 from sevfold.functions.text import char_ngrams, code_tokens, desc_tokens, is_usable_gram, ngrams, parse_vector, strip, term_counts
 from sevfold.operators.lookup import Grams, Vocabulary, fits, frequent_grams, gathered, gathered_grams, gram_vectors, known_grams, known_terms, place_vectors, spelt_grams, term_places, term_vectors
-from sevfold.operators.ranking import bounded
+from sevfold.operators.ranking import measured
+from sevfold.operators.relational import join_vectors
 from sevfold.operators.vocabulary import MAX_FEATURES, count_docs, index_terms, term_table, vocabulary
 
 VECTOR_SIZE = 300
@@ -255,10 +256,11 @@ def mean_vector(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, doc: str
 
     Word vectors that fit are broadcast, and the mean is an aggregate with partial sums: the
     tokens of a document are added up where they are. A larger table of vectors is joined by
-    word, where adaptive execution splits a frequent word.
+    word, where the rows of frequent words stay where they are.
     """
-    arrays = bounded(vectors.select(word, vectors_as_arrays(vectors, vec).alias("_a")))
-    known = tokens.select(doc, word).join(arrays, word).select(doc, array_to_vector("_a").alias("_v"))
+    arrays, small = measured(vectors.select(word, vectors_as_arrays(vectors, vec).alias("_a")))
+    words = tokens.select(doc, word)
+    known = (words.join(F.broadcast(arrays), word) if small else join_vectors(words, arrays, word)).select(doc, array_to_vector("_a").alias("_v"))
     means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count("*").alias("n_known"))
     zeros = F.array_repeat(F.lit(0.0), size)
     return docs.select(doc).join(means, doc, "left").select(

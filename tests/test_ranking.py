@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sevfold.operators import ranking as rk, splits as sp
+from sevfold.operators import ranking as rk, relational as rl, splits as sp
 
 
 def permuted(keys, seed=42):
@@ -104,3 +104,22 @@ def test_rotate_folds(spark):
     for r in rows:
         expected = {(r["rotation"] + 1) % 5: "valid", (r["rotation"] + 2) % 5: "test"}.get(r["fold"], "train")
         assert r["partition"] == expected
+
+
+def test_join_with_a_hot_key_is_spread(spark):
+    rows = spark.range(24_000, numPartitions=12).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("word"))
+    side = spark.range(4000).select(F.col("id").alias("word"), (F.col("id") * 2).alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = rl.join_vectors(rows, side, "word")
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        plain = sorted(r["count"] for r in rows.join(side, "word").groupBy(F.spark_partition_id()).count().collect())
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(side, "word").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and plain[-1] > 5 * plain[len(plain) // 2]
+    assert rl.join_vectors(rows.limit(0), side, "word").count() == 0
