@@ -13,8 +13,9 @@ RUN_MARK = "Run # "
 FINAL_MARK = "Evaluating the best model"
 EPOCH_MARK = "Epoch "
 BEST_MARK = "Saving best model at epoch"
-LOSS_LINE = r"(?m)^.*loss: .*$"
-EPOCH_SECONDS = r"(?m)^[^\n]*? - (\d+)s(?= |$)[^\n]*$"
+LOSS_MARK = "loss: "
+EPOCH_SECONDS = r" - (\d+)s(?= |$)"
+VALIDATION_MARK = "Validation time:"
 VALIDATION_SECONDS = r"Validation time: *(\d+(?:\.\d+)?)"
 VALIDATION_LINE = r"Validation time:"
 #: Sections of a run: training, evaluation on the validation part, final evaluation.
@@ -45,16 +46,21 @@ def parse_log(logs: DataFrame, log: str = "file", text: str = "text") -> DataFra
     runs = runs.withColumn("n_final_lines", F.coalesce(F.regexp_count(final, F.lit(VALIDATION_LINE)), F.lit(0)))
     kept = [log, "partition", "run", "n_sections", "final_s", "n_final_lines"]
     epochs = runs.select(*kept, F.posexplode(parts_after(F.col("train_text"), EPOCH_MARK)).alias("place", "_e"))
-    e = F.col("_e")
-    return epochs.select(
+    # The text of an epoch is cut in lines once; patterns see the few lines that hold their mark.
+    lines = epochs.withColumn("_l", F.filter(F.split("_e", "\n"), lambda x, i: (i == 0) | F.contains(x, F.lit(LOSS_MARK)) | F.contains(x, F.lit(VALIDATION_MARK)) | F.contains(x, F.lit(BEST_MARK))))
+    head = F.split(F.regexp_extract(F.get("_l", F.lit(0)), r"^\d+/\d+", 0), "/")
+    loss = F.filter("_l", lambda x: F.contains(x, F.lit(LOSS_MARK)))
+    marked = F.filter("_l", lambda x: F.contains(x, F.lit(VALIDATION_MARK)))
+    found = lines.select(*kept, "place", "_l", head.alias("_h"), loss.alias("_loss"), F.array_join(marked, "\n").alias("_val"))
+    return found.select(
         *kept, "place",
-        F.regexp_extract(e, r"^(\d+)/(\d+)", 1).try_cast("int").alias("epoch"),
-        F.regexp_extract(e, r"^(\d+)/(\d+)", 2).try_cast("int").alias("n_planned"),
-        F.regexp_count(e, F.lit(LOSS_LINE)).alias("n_loss_lines"),
-        F.regexp_extract(F.regexp_extract(e, LOSS_LINE, 0), EPOCH_SECONDS, 1).try_cast("int").alias("train_s"),
-        first_number(e).alias("val_s"),
-        F.regexp_count(e, F.lit(VALIDATION_LINE)).alias("n_val_lines"),
-        e.contains(BEST_MARK).alias("is_best"),
+        F.get("_h", F.lit(0)).try_cast("int").alias("epoch"),
+        F.get("_h", F.lit(1)).try_cast("int").alias("n_planned"),
+        F.size("_loss").alias("n_loss_lines"),
+        F.regexp_extract(F.get("_loss", F.lit(0)), EPOCH_SECONDS, 1).try_cast("int").alias("train_s"),
+        first_number(F.col("_val")).alias("val_s"),
+        F.regexp_count("_val", F.lit(VALIDATION_LINE)).alias("n_val_lines"),
+        F.exists("_l", lambda x: F.contains(x, F.lit(BEST_MARK))).alias("is_best"),
     )
 
 
