@@ -37,8 +37,8 @@ from sevfold.llm.tables import set_down, sized, small_batches
 
 MIN_DOCS = 10
 TOP = 10
-CELLS = 1 << 16
-MIN_BUCKETS = 64
+CELLS = 1 << 17
+MIN_BUCKETS = 16
 BLOCK = 512
 SALTS = 64
 SCALE = 1_000_000_000
