@@ -57,6 +57,35 @@ def test_bare_copies_of_live_values_are_added(spark):
     assert texts[1][1] == f"ü bare {secrets.MASK}." and texts[3][1] == rows[2][1]
 
 
+def test_spans_of_each_kind_are_counted(spark):
+    """Base columns by the contract's patterns, kinds in any order, and runs of a digit of any length."""
+    kinds = {
+        "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    }
+    rng = random.Random(3)
+    parts = ["PassWord", "passwd", "secret", "api_key", '"', " ", "=", ":", ".", "AKIA", "ABCDEFGHIJKLM", "0123456789abcdef", "0" * 90, "ü", "\n", "\u017fecret"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([1, 3, 9, 30]))), "en", "a") for i in range(300)]
+    rows += [(300, None, "en", "a"), (301, "x " + "0" * 3000 + "g", "en", "a"), (302, f"{'ab' * 16} token=abcdefgh1 {'AKIA' * 5}", "en", "a")]
+    want = {}
+    for i, text, *_ in rows:
+        spans = sorted((m.start(), k, name, m.end()) for k, (name, (pattern, ok)) in enumerate(kinds.items()) for m in re.finditer(pattern, text or "", re.A) if ok(m))
+        digest = hashlib.sha256(",".join(f"{name}:{a}:{b}" for a, _, name, b in spans).encode()).hexdigest()
+        want[i] = (*[sum(s[2] == name for s in spans) for name in kinds], digest)
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.find_secrets(docs_of(spark, rows), "doc_id", "source").collect()}
+    assert got == want and want[302][:3] == (1, 1, 1)
+
+
+def test_placeholders_are_told_in_one_pass():
+    for runs in ("0" * 20000 + "g", ("123456789" + "0" * 7) * 2000 + "z", "x" * 20000 + "1"):
+        assert not secrets.PLACEHOLDER.search(runs)
+    for text in ("000000", "xxxx", "12345678900000000123456", "0123456-q1", "ABCDEFghxxx", "1" * 9, "your-key"):
+        assert secrets.PLACEHOLDER.search(text), text
+    for text in ("-00000", "123456789000", "abcdefg", "-xx", "000001"):
+        assert not secrets.PLACEHOLDER.search(text), text
+
+
 def test_secrets_of_empty_tables(spark):
     assert secrets.find_secrets(docs_of(spark, []), "doc_id", "source").count() == 0
     assert secrets.mask_live(docs_of(spark, []), "doc_id", "source").count() == 0
