@@ -148,6 +148,39 @@ def test_knn_with_hot_cell_and_small_chunks(spark, p):
     assert found == brute(points, 4, p)
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_estimates_lose_no_neighbour(p):
+    """Ties, copies, skipped pairs, bounds from nothing to all, numbers of any size: as all pairs measured."""
+    rng = np.random.default_rng(p)
+    for scale, offset in ((1, 0), (1e-6, 100), (1e6, 0), (1e200, 0)):
+        rows = rng.integers(-3, 4, (300, 5)) * float(scale) + offset
+        points = np.concatenate([rows[:40], rng.normal(size=(20, 5)) * scale + offset])
+        skip = (np.arange(40), np.arange(40))
+        gaps = np.stack([nb._distances(rows, q, p) for q in points])
+        gaps[skip] = np.inf
+        for reach in (np.full(60, np.inf), np.sort(gaps, axis=1)[:, 6], np.zeros(60)):
+            for k in (4, 400):
+                at, row, gap = nb._nearest(points, rows, reach, skip, k, p)
+                got = {i: [(g, r) for a, r, g in zip(at, row, gap) if a == i and g <= reach[i]] for i in range(60)}
+                want = {i: sorted((g, r) for r, g in enumerate(gaps[i]) if np.isfinite(g) and g <= reach[i])[:k] for i in range(60)}
+                assert got == want
+
+
+def test_merged_cells_copy_rows_once_per_chunk(spark):
+    """Vectors that do not cluster: blocks of bounded size in the place of cells, the same neighbours, repeated and null keys too."""
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 97 == 0 else i - i % 50 if i % 3 == 0 else i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    cells = nb.Cells(rng.normal(size=(40, 16)), np.ones(40), np.full(40, 10), [])
+    block, n = cells.blocks(64, 2)
+    assert n == 7 and np.bincount(block).max() == 6
+    for p in (1, 2):
+        few = nb.knn(df, df, "id", "v", 4, p, exclude_self=True, pivots=20, chunk_rows=64).select("id", "neighbour", F.round("distance", 6), "rank").collect()
+        one = nb.knn(df, df, "id", "v", 4, p, exclude_self=True, pivots=1).select("id", "neighbour", F.round("distance", 6), "rank").collect()
+        key = lambda r: str(tuple(r))
+        assert sorted(few, key=key) == sorted(one, key=key)
+
+
 def test_knn_vote_zero_distance_wins(spark):
     near = spark.createDataFrame([(1, 0.0, "b"), (1, 0.1, "a"), (1, 0.1, "a"), (2, 1.0, "z"), (2, 1.0, "y")], "id int, distance double, label string")
     assert {r["id"]: r["pred"] for r in nb.knn_vote(near, "id", "label", "distance").collect()} == {1: "b", 2: "y"}
