@@ -4,9 +4,12 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sevfold.operators import lookup
 from sevfold.plans import features as ft
@@ -82,3 +85,31 @@ def test_empty_tables_and_vocabularies(spark, docs):
     assert len(vocab) == 0
     vectors = ft.subword_vectors(docs, ft.subword_model(none, "text"), ["id"], "text")
     assert vectors.select(F.size(vector_to_array("features")).alias("n")).agg(F.max("n")).first()[0] == 0
+
+
+def test_batches_of_terms_are_bounded(spark, docs):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for build in (
+            lambda: lookup.known_terms(docs, docs.columns[0], F.array(F.lit("a")), lookup.Vocabulary(pa.array(["a"]))),
+            lambda: lookup.term_vectors(docs, docs.columns[:1], [(F.array(F.lit("a")), lookup.Vocabulary(pa.array(["a"])))]),
+            lambda: lookup.frequent_grams(docs.select(F.lit("abc")), 1, 3, 6),
+        ):
+            spark.conf.set(setting, "10000")
+            build()
+            assert int(spark.conf.get(setting)) == lookup.BATCH_ROWS
+            spark.conf.set(setting, "10")
+            build()
+            assert spark.conf.get(setting) == "10"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_stored_parts_of_a_vector_are_read_as_they_are(spark):
+    rows = [(1, Vectors.sparse(5, [1, 4], [2.0, 0.1])), (2, Vectors.dense([0.0, 1.5])), (3, None), (4, Vectors.sparse(5, [], []))]
+    df = spark.createDataFrame(rows, StructType([StructField("i", IntegerType()), StructField("v", VectorUDT())]))
+    got = {r["i"]: r["s"] for r in df.select("i", ft.stored("v").alias("s")).collect()}
+    assert (got[1]["indices"], got[1]["values"]) == ([1, 4], [2.0, 0.1]) and (got[2]["indices"], got[2]["values"]) == (None, [0.0, 1.5])
+    assert got[3] is None and got[4]["indices"] == []
+    assert "to_json" not in df.select(ft.stored("v"))._jdf.queryExecution().toString()

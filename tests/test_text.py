@@ -56,6 +56,15 @@ def test_char_ngrams_of_long_text(spark):
     assert one(spark, text, lambda c: F.size(tx.char_ngrams(c, 3, 6))) == sum(len(text) - n + 1 for n in range(3, 7))
 
 
+def test_ngrams_of_long_text_are_linear(spark):
+    """A copy of the list of words for each gram would move 5 * 10^10 words."""
+    start = time.perf_counter()
+    words = F.split(F.repeat(F.lit("ab "), 120_000), " ")
+    assert one(spark, "", lambda c: F.size(tx.ngrams(words, 1, 4))) == 4 * 120_001 - 6
+    assert time.perf_counter() - start < 20
+    assert one(spark, "", lambda c: tx.ngrams(F.array(F.lit("a"), F.lit(None), F.lit("c")), 2, 3)) == ["a", "c", "a c"]
+
+
 def test_term_counts(spark):
     rows = one(spark, "b a b c b", lambda c: tx.term_counts(F.split(c, " ")))
     assert [tuple(r) for r in rows] == [("a", 1), ("b", 3), ("c", 1)]
