@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sevfold.plans import features as ft, models as md
@@ -73,3 +74,15 @@ def test_description_grid_is_made_of_one_table(spark):
     assert len(out) == 8 and all(r["acc"] == 1.0 for r in out if r["classifier"] == "nb")
     assert md.description_models(7)["lr"] == (10,) and md.description_models(5)["lr"] == (0.1,)
     assert md.description_grid(df.limit(40), "code", "severity", models=(), configs=(1,)).count() == 0
+
+
+def test_trees_get_partitions_of_bounded_size(spark):
+    rows = [(float(i % 2), Vectors.sparse(10_000_000, [i], [1.0])) for i in range(12)]
+    train = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    needed = -(-12 * 10_000_000 * 4 // md.TREE_BYTES)
+    assert needed > 1
+    for name, params in (("rf", (2, 4)), ("gbt", (2, 4))):
+        out = md.spread(md.classifier(name, *params), train)
+        assert out.rdd.getNumPartitions() == needed and out.count() == 12
+    assert md.spread(md.classifier("nb"), train).rdd.getNumPartitions() == 1
+    assert md.spread(md.classifier("rf", 2, 4), train.filter("label > 5")).count() == 0
