@@ -65,6 +65,12 @@ def test_ngrams_of_long_text_are_linear(spark):
     assert one(spark, "", lambda c: tx.ngrams(F.array(F.lit("a"), F.lit(None), F.lit("c")), 2, 3)) == ["a", "c", "a c"]
 
 
+def test_usable_grams_are_judged_once(spark):
+    grams = F.split(F.lit(",".join([" ab", "ab ", "a b", " ab", "b", "\nabc", "ab ", "ab"] * 40)), ",")
+    assert one(spark, "", lambda c: tx.usable_grams(grams)) == ["ab", "abc"]
+    assert str(tx.usable_grams(F.col("g"))).count("array_distinct") == 2
+
+
 def test_term_counts(spark):
     rows = one(spark, "b a b c b", lambda c: tx.term_counts(F.split(c, " ")))
     assert [tuple(r) for r in rows] == [("a", 1), ("b", 3), ("c", 1)]
