@@ -41,6 +41,8 @@ CELLS = 1 << 17
 MIN_BUCKETS = 16
 BLOCK = 512
 SALTS = 64
+#: Rows of counts that a task adds up before it sends them, and rows it sends at once.
+HELD, SENT = 1 << 19, 1 << 16
 SCALE = 1_000_000_000
 TERM = ["lang", "digest", "split"]
 
@@ -48,47 +50,102 @@ TERM = ["lang", "digest", "split"]
 _OTHER = (np.arange(256, dtype=np.uint64) * np.uint64(167) + np.uint64(13)).astype(np.uint8)
 
 
-def _counter(bits: int, texts: bool):
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns ``group, digest, docs, count`` of several lists as one, equal groups and digests added up."""
+    group, digest, docs, count = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort([digest, group])
+    group, digest = group[order], digest[order]
+    first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (group[1:] != group[:-1])]))
+    return [group[first], digest[first], np.add.reduceat(docs[order], first), np.add.reduceat(count[order], first)]
+
+
+def _counter(bits: int):
+    """Kernel: ``lang, source, digest, docs, count``, added up over up to ``HELD`` rows of a task."""
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple[str, str], int] = {}
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def sent(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            lang, source = (pa.array(c, pa.string()) for c in zip(*names))
+            for lo in range(0, len(columns[0]), SENT):
+                group, digest, docs, count = (c[lo : lo + SENT] for c in columns)
+                yield pa.RecordBatch.from_arrays(
+                    [lang.take(pa.array(group)), source.take(pa.array(group)), pa.array(digest.view(np.int64)), pa.array(docs), pa.array(count)],
+                    names=["lang", "source", "digest", "docs", "count"],
+                )
+
         for batch in batches:
             for piece in K.pieces(batch.column("text")):
                 w = K.words(piece, K.LETTER)
                 if not len(w.hashes):
                     continue
-                digest = w.hashes & mask
-                pair = pa.table({c: batch.column(c)[piece.lo : piece.hi] for c in ("lang", "source")})
-                names = pair.group_by(["lang", "source"], use_threads=False).aggregate([])
-                at = {(a, b): i for i, (a, b) in enumerate(zip(names["lang"].to_pylist(), names["source"].to_pylist()))}
-                group = np.array([at[g] for g in zip(pair["lang"].to_pylist(), pair["source"].to_pylist())])
+                here = zip(*(batch.column(c)[piece.lo : piece.hi].to_pylist() for c in ("lang", "source")))
+                group = np.array([names.setdefault(g, len(names)) for g in here])
                 place = np.empty(len(group), dtype=np.int64)
                 place[np.argsort(group, kind="stable")] = np.arange(len(group))  # rows in the order of their groups
-                row = w.row_of()
-                keys = [place[row], digest]
-                if texts:
-                    low = K.LOWER[piece.data]
-                    second = K.range_hashes(_OTHER[low], w.starts, w.ends)
-                    keys.insert(1, second)
-                order = np.lexsort(keys)
+                row, digest = w.row_of(), w.hashes & mask
+                order = np.lexsort([place[row], digest])
                 row, digest = row[order], digest[order]
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (digest[1:] != digest[:-1]) | (group[row[1:]] != group[row[:-1]])
-                if texts:
-                    second = second[order]
-                    new[1:] |= second[1:] != second[:-1]
                 first = np.flatnonzero(new)
-                doc = new.copy()
-                doc[1:] |= row[1:] != row[:-1]
-                take = pa.array(group[row[first]])
-                columns = [
-                    names["lang"].combine_chunks().take(take), names["source"].combine_chunks().take(take), pa.array(digest[first].view(np.int64)),
-                    pa.array(np.add.reduceat(doc.astype(np.int64), first)), pa.array(np.diff(np.append(first, len(order)))),
-                ]
-                if texts:
-                    raw = low.tobytes()
-                    columns.append(pa.array([raw[s:e] for s, e in zip(w.starts[order[first]].tolist(), w.ends[order[first]].tolist())], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "digest", "docs", "count", "term"][: len(columns)])
+                new[1:] |= row[1:] != row[:-1]  # now the first of each document
+                held.append([group[row[first]], digest[first], np.add.reduceat(new.astype(np.int64), first), np.diff(np.append(first, len(order)))])
+                rows += len(first)
+                if rows >= HELD:
+                    held = [_added(held)]
+                    rows = len(held[0][0])
+                    if 2 * rows > HELD:
+                        yield from sent(held[0])
+                        names.clear()
+                        held, rows = [], 0
+        if held:
+            yield from sent(_added(held))
+
+    return run
+
+
+def _speller(bits: int, groups: bool):
+    """Kernel: ``digest, term`` of each piece; with ``groups`` also ``lang, source, docs, count`` of the term."""
+    mask = np.uint64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in K.pieces(batch.column("text")):
+                w = K.words(piece, K.LETTER)
+                if not len(w.hashes):
+                    continue
+                digest, row = w.hashes & mask, w.row_of()
+                low = K.LOWER[piece.data]
+                second = K.range_hashes(_OTHER[low], w.starts, w.ends)
+                keys = [second, digest]
+                if groups:
+                    pair = pa.table({c: batch.column(c)[piece.lo : piece.hi] for c in ("lang", "source")})
+                    names = pair.group_by(["lang", "source"], use_threads=False).aggregate([])
+                    at = {(a, b): i for i, (a, b) in enumerate(zip(names["lang"].to_pylist(), names["source"].to_pylist()))}
+                    group = np.array([at[g] for g in zip(pair["lang"].to_pylist(), pair["source"].to_pylist())])
+                    place = np.empty(len(group), dtype=np.int64)
+                    place[np.argsort(group, kind="stable")] = np.arange(len(group))
+                    keys = [place[row], second, digest]
+                order = np.lexsort(keys)
+                row, digest, second = row[order], digest[order], second[order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (digest[1:] != digest[:-1]) | (second[1:] != second[:-1])
+                if groups:
+                    new[1:] |= group[row[1:]] != group[row[:-1]]
+                first = np.flatnonzero(new)
+                raw = low.tobytes()
+                terms = [raw[s:e] for s, e in zip(w.starts[order[first]].tolist(), w.ends[order[first]].tolist())]
+                columns = {"digest": pa.array(digest[first].view(np.int64)), "term": pa.array(terms, pa.binary()).cast(pa.string())}
+                if groups:
+                    new[1:] |= row[1:] != row[:-1]
+                    take = pa.array(group[row[first]])
+                    columns |= {c: names[c].combine_chunks().take(take) for c in ("lang", "source")}
+                    columns |= {"docs": pa.array(np.add.reduceat(new.astype(np.int64), first)), "count": pa.array(np.diff(np.append(first, len(order))))}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -98,10 +155,15 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
 
 
-def _counted(docs: DataFrame, bits: int, texts: bool = False) -> DataFrame:
-    """``lang, source, digest, docs, count`` (and ``term``) of each piece of the texts."""
-    schema = "lang string, source string, digest long, docs long, count long"
-    return _read(docs).mapInArrow(_counter(bits, texts), schema + (", term string" if texts else ""))
+def _counted(docs: DataFrame, bits: int) -> DataFrame:
+    """``lang, source, digest, docs, count``, of parts of the texts."""
+    return _read(docs).mapInArrow(_counter(bits), "lang string, source string, digest long, docs long, count long")
+
+
+def _spelt(docs: DataFrame, bits: int, groups: bool) -> DataFrame:
+    """``digest, term`` (and ``lang, source, docs, count``) of each piece of the texts."""
+    schema = "digest long, term string" + (", lang string, source string, docs long, count long" if groups else "")
+    return _read(docs).mapInArrow(_speller(bits, groups), schema)
 
 
 def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +175,7 @@ def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tu
     counts = set_down(_counted(docs, bits).groupBy("lang", "source", "digest").agg(*sums), "counts")
     often = set_down(counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "digest"), "often")
     digests = set_down(often.select("digest").distinct(), "digests")
-    found = _counted(docs, bits, texts=True).select("digest", "term").join(sized(digests, 16), "digest")
+    found = _spelt(docs, bits, False).join(sized(digests, 16), "digest")
     known = set_down(found.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "texts")
     whole = known.filter("term = last").select("digest", F.lit("").alias("split"), "term")
     several = set_down(known.filter("term <> last").select("digest"), "several")
@@ -121,7 +183,7 @@ def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tu
     if several.isEmpty():
         return set_down(counts.select("lang", "source", "digest", F.lit("").alias("split"), "count"), "kept"), whole
     single = counts.join(sized(several, 16), "digest", "left_anti").select("lang", "source", "digest", F.lit("").alias("split"), "count")
-    again = _counted(docs, bits, texts=True).join(sized(several, 16), "digest", "left_semi")
+    again = _spelt(docs, bits, True).join(sized(several, 16), "digest", "left_semi")
     again = set_down(again.groupBy("lang", "source", "digest", F.col("term").alias("split")).agg(*sums), "again")
     enough = again.groupBy(*TERM).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select(*TERM)
     apart = again.join(enough, TERM, "left_semi").select("lang", "source", "digest", "split", "count")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
