@@ -45,6 +45,8 @@ MAX_FREQUENT = 1 << 21
 #: Logarithm of the most bits that mark repeated shingles; fuller bits let more rows pass and lose none.
 MAX_BITS = 28
 RARE = 8
+#: Bytes of texts that a task works on at once; up to four Python workers of an executor do at a time, two of them in one task.
+SMALL = 1 << 18
 #: Part of the hash range that is counted, as a multiple of the prefix share.
 SPAN = 1.5
 
@@ -72,7 +74,7 @@ def _summaries(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for piece in K.pieces(batch.column("text")):
+            for piece in K.pieces(batch.column("text"), SMALL):
                 n, n_low, one, two, low = [], [], [], [], []
                 for s in K.shingle_sets(K.words(piece, K.NOT_SPACE), size):
                     n.append(len(s))
@@ -202,7 +204,7 @@ def _sets(size: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for piece in K.pieces(batch.column("text")):
+            for piece in K.pieces(batch.column("text"), SMALL):
                 rows = list(K.shingle_sets(K.words(piece, K.NOT_SPACE), size))
                 if short:
                     column = pa.array([np.sort(r.astype(np.uint16)).tobytes() for r in rows], pa.binary())
