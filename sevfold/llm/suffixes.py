@@ -107,7 +107,7 @@ def _repeats(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _windows(shared, min_words: int):
-    """Hashes and places of the runs of ``min_words`` words whose minimiser repeats."""
+    """Hashes of the runs of ``min_words`` words whose minimiser repeats, as one list for each stretch of neighbouring places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +116,11 @@ def _windows(shared, min_words: int):
                 w, row, start, at, grams = _selected(piece, min_words)
                 start = start[_repeats(shared.value, grams[at])]
                 h = K.window_hashes(w.hashes, min_words)[start].view(np.int64)
-                doc, pos = ids[piece.lo + row[start]], start - w.first[row[start]]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"])
+                first = np.flatnonzero((np.diff(start, prepend=-2) > 1) | (np.diff(row[start], prepend=-1) != 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)).astype(np.int32)), pa.array(h))
+                begin = start[first]
+                doc, pos = ids[piece.lo + row[begin]], begin - w.first[row[begin]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int32)), lists], names=["doc_id", "pos", "hashes"])
 
     return run
 
@@ -145,7 +148,8 @@ def _shared_runs(texts: DataFrame, shared, min_words: int) -> tuple[DataFrame, D
     A run of words is owned by the smallest id that holds it. Each other holder meets the owner,
     and the owner meets the smallest of the others, so no more rows than holders are made.
     """
-    windows = set_down(texts.mapInArrow(_windows(shared, min_words), "h long, doc_id long, pos int"), "windows")
+    stretches = set_down(texts.mapInArrow(_windows(shared, min_words), "doc_id long, pos int, hashes array<long>"), "windows")
+    windows = stretches.select("doc_id", "pos", F.posexplode("hashes").alias("at", "h")).select("h", "doc_id", (F.col("pos") + F.col("at")).alias("pos"))
     owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("h", "owner")
     held = windows.join(owners, "h")
     places = held.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
