@@ -151,7 +151,7 @@ def _shared_runs(texts: DataFrame, shared, min_words: int) -> tuple[DataFrame, D
     stretches = set_down(texts.mapInArrow(_windows(shared, min_words), "doc_id long, pos int, hashes array<long>"), "windows")
     windows = stretches.select("doc_id", "pos", F.posexplode("hashes").alias("at", "h")).select("h", "doc_id", (F.col("pos") + F.col("at")).alias("pos"))
     owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("h", "owner")
-    held = windows.join(owners, "h")
+    held = set_down(windows.join(owners, "h").select("doc_id", "pos", "owner"), "held")  # both uses below read it: one join, not two
     places = held.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     ranges = places.mapInArrow(_ranges(min_words), "doc_id long, runs array<struct<start:int,end:int>>")
     pairs = held.filter("doc_id <> owner").groupBy("doc_id", "owner").agg(F.lit(1).alias("one"))
