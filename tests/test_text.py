@@ -1,13 +1,14 @@
 """Tokens, grams, stems, labels and page fields on hand-made cases."""
 
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sevfold.functions import cvss, text as tx
 from sevfold.functions.stem import porter, stem_tokens
-from sevfold.operators.vocabulary import apply_label_index, label_index, term_table, vocabulary
+from sevfold.operators.vocabulary import apply_label_index, char_gram_counts, label_index, term_table, vocabulary
 from sevfold.plans import pages as pg, prompts as pr
 
 
@@ -56,6 +57,20 @@ def test_char_ngrams_of_long_text(spark):
     assert one(spark, text, lambda c: F.size(tx.char_ngrams(c, 3, 6))) == sum(len(text) - n + 1 for n in range(3, 7))
 
 
+def test_char_gram_counts(spark, monkeypatch):
+    """Places make one gram each, of the longest size, and the counts are those of all grams cut one by one."""
+    texts = ["AbÉ  d\n", "ab", "abc", "", None, "x" * 30, "a\U0001f600b\U0001f600c\U0001f600d", "İstanbul ΑΣ ΑΣ", "ab \t\n cd \t", "one two one two one", "ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lo, hi in ((3, 6), (1, 3), (2, 2), (1, 8)):
+        cut = Counter(r["g"] for r in df.select(F.explode(tx.char_ngrams(F.col("t"), lo, hi)).alias("g")).collect())
+        counts = char_gram_counts(df, F.col("t"), lo, hi)
+        assert {r["gram"]: r["n"] for r in counts.collect()} == cut and counts.schema.simpleString() == "struct<gram:string,n:bigint>"
+    made = []
+    monkeypatch.setattr("sevfold.operators.vocabulary.char_ngrams", lambda c, *sizes: made.append(sizes) or tx.char_ngrams(c, *sizes))
+    char_gram_counts(df, F.col("t"), 3, 6)
+    assert made == [(6, 6), (3, 5)]
+
+
 def test_ngrams_of_long_text_are_linear(spark):
     """A copy of the list of words for each gram would move 5 * 10^10 words."""
     start = time.perf_counter()
