@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sevfold.functions import code as fc
+from sevfold.queries import QUERIES
 
 
 def one(spark, text, column):
@@ -83,3 +84,20 @@ def test_scopes_at_the_edges(spark):
     assert (all_lines["context"], all_lines["surrounding_only"], all_lines["random"]) == ("", "", [])
     outside = scopes(spark, "a\nb", "2 9")
     assert (outside["vuln"], outside["scope"]) == ("b", [1, 2])
+
+
+def test_functions_without_lines_list_none(spark, tmp_path):
+    big = 3 * 10**18 + 1  # seven times it is no long
+    rows = [(0, "", "a"), (1, None, "a"), (2, "one, two. three", "b"), (big, "x. y. z. w", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "length(text) AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ask = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    listed = sorted((r["id"], r["line"]) for r in ask("f4_parse_lines"))
+    assert listed == [(2, 1), (big, 2), (big, 4)]
+    for name in ("f5_slice_vuln", "f6_slice_context", "f8_slice_surrounding", "f9_slice_surrounding_only", "f10_slice_random", "f11_slice_all"):
+        code = {r["key"]: r["code"] for r in ask(name)}
+        assert len(code) == 4 and code[0] == "" and code[2] is not None
+    empty_md5 = "d41d8cd98f00b204e9800998ecf8427e"
+    assert {v for r in ask("f5_f11_all_scopes") if r["key"] == 0 for k, v in r.asDict().items() if k not in ("key", "severity")} == {empty_md5}
+    assert {r["id"]: r["scope"] for r in ask("f7_scope_lines")}[0] == ""
+    assert {r["id"]: r["numbers"] for r in ask("o2_sorted_distinct_lines")}[0] == "0 1"
